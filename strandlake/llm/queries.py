@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from strandlake.llm import exact_dedup, url_filter
+import public_tokenizers
+
+from strandlake.llm import byte_bpe, exact_dedup, token_store, url_filter
 from strandlake.llm.common import read
 
 
+def op3_token_store(spark, sf_dir):
+    return token_store.stored(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op8_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(read(spark, sf_dir, "documents"))
 
@@ -14,10 +20,16 @@ def op9_url_filter(spark, sf_dir):
     return url_filter.url_filter(read(spark, sf_dir, "pages"), url_filter.rule_table(spark))
 
 
+def op10_byte_bpe(spark, sf_dir):
+    return byte_bpe.digests(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def queries() -> dict:
     return {
+        "op3_token_store": op3_token_store,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_url_filter": op9_url_filter,
+        "op10_byte_bpe": op10_byte_bpe,
     }
 
 
