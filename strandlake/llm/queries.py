@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from strandlake.llm import byte_bpe, exact_dedup, token_store, url_filter
+from strandlake.llm import byte_bpe, exact_dedup, simhash, token_store, url_filter
 from strandlake.llm.common import read
 
 
+def op1_simhash(spark, sf_dir):
+    return simhash.near_groups(read(spark, sf_dir, "documents"))
+
+
 def op3_token_store(spark, sf_dir):
     return token_store.stored(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -26,6 +30,7 @@ def op10_byte_bpe(spark, sf_dir):
 
 def queries() -> dict:
     return {
+        "op1_simhash": op1_simhash,
         "op3_token_store": op3_token_store,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_url_filter": op9_url_filter,
