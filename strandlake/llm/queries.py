@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from strandlake.llm import byte_bpe, exact_dedup, simhash, token_store, url_filter
+from strandlake.llm import byte_bpe, exact_dedup, simhash, token_store, url_filter, warc
 from strandlake.llm.common import read
 
 
@@ -12,6 +12,10 @@ def op1_simhash(spark, sf_dir):
     return simhash.near_groups(read(spark, sf_dir, "documents"))
 
 
+def op2_warc(spark, sf_dir):
+    return warc.archived(read(spark, sf_dir, "pages"))
+
+
 def op3_token_store(spark, sf_dir):
     return token_store.stored(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -31,6 +35,7 @@ def op10_byte_bpe(spark, sf_dir):
 def queries() -> dict:
     return {
         "op1_simhash": op1_simhash,
+        "op2_warc": op2_warc,
         "op3_token_store": op3_token_store,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_url_filter": op9_url_filter,
@@ -40,6 +45,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict:
     return {
+        "op2_warc": warc.ORACLE_SQL,
         "op8_exact_dedup": exact_dedup.ORACLE_SQL,
         "op9_url_filter": url_filter.ORACLE_SQL,
     }
