@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from strandlake.llm import byte_bpe, exact_dedup, mixing, simhash, token_store, url_filter, warc
+from strandlake.llm import byte_bpe, exact_dedup, language, media, mixing, simhash, token_store, url_filter, warc
 from strandlake.llm.common import read
 
 
@@ -20,10 +20,18 @@ def op3_token_store(spark, sf_dir):
     return token_store.stored(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_language(spark, sf_dir):
+    return language.identified(read(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark, sf_dir):
     return mixing.taken(read(spark, sf_dir, "documents"))
 
 
+def op7_media(spark, sf_dir):
+    return media.features(media.store(read(spark, sf_dir, "documents")))
+
+
 def op8_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(read(spark, sf_dir, "documents"))
 
@@ -41,7 +49,9 @@ def queries() -> dict:
         "op1_simhash": op1_simhash,
         "op2_warc": op2_warc,
         "op3_token_store": op3_token_store,
+        "op4_language": op4_language,
         "op6_mixing": op6_mixing,
+        "op7_media": op7_media,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_url_filter": op9_url_filter,
         "op10_byte_bpe": op10_byte_bpe,
