@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from strandlake.llm import byte_bpe, exact_dedup, language, media, mixing, simhash, token_store, url_filter, warc
+from strandlake.llm import byte_bpe, exact_dedup, language, media, mixing, pii, simhash, token_store, url_filter, warc
 from strandlake.llm.common import read
 
 
@@ -24,6 +24,10 @@ def op4_language(spark, sf_dir):
     return language.identified(read(spark, sf_dir, "documents"))
 
 
+def op5_pii(spark, sf_dir):
+    return pii.identified(read(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark, sf_dir):
     return mixing.taken(read(spark, sf_dir, "documents"))
 
@@ -50,6 +54,7 @@ def queries() -> dict:
         "op2_warc": op2_warc,
         "op3_token_store": op3_token_store,
         "op4_language": op4_language,
+        "op5_pii": op5_pii,
         "op6_mixing": op6_mixing,
         "op7_media": op7_media,
         "op8_exact_dedup": op8_exact_dedup,
