@@ -21,7 +21,7 @@ their names; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.llm.common import text_or_empty
@@ -77,6 +77,15 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     )
 
 
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay; of rows that repeat a kept doc_id and text, one."""
+    kept = exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
+    held = docs.withColumn("_own", F.sha2(text_or_empty(), 256))
+    stay = held.join(kept, held["doc_id"].eqNullSafe(kept["_id"]) & (held["_own"] == kept["_sha"]), "left_semi")
+    first = F.row_number().over(Window.partitionBy("doc_id", "_own").orderBy("_own"))
+    return stay.withColumn("_n", first).filter("_n = 1").select(*docs.columns)
+
+
 ORACLE_SQL = """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        coalesce(doc_id = max(doc_id) OVER w, true) AS kept, sha256(coalesce(text, '')) AS text_sha256

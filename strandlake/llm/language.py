@@ -140,8 +140,14 @@ def padded(parts: list[bytes]):
 
 def sample(docs: DataFrame, per_language: int = DOCS, chars: int = CHARS) -> list:
     """(lang, text) rows to learn from: bounded, the same whatever the partitioning."""
-    labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
     place = F.xxhash64(F.lit(SEED), "doc_id")
+    labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
+    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}  # languages, not documents
+    if not counts:
+        return []
+    # Rows over four times the bound are thinned by their hash before any is moved.
+    share = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, max(1, n // (4 * per_language)))])
+    labelled = labelled.filter(F.pmod(F.xxhash64(F.lit(SEED + 1), "doc_id"), share[F.col("lang")]) == 0)
     first = F.pmod(place, F.greatest(F.lit(1), F.length("text") - chars)).cast("int") + 1
     cut = labelled.select("lang", "doc_id", place.alias("h"), F.substring("text", first, F.lit(chars)).alias("part"))
     ranked = cut.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "part"))).filter(F.col("n") <= per_language)
@@ -225,24 +231,34 @@ class Reader:
         return best, score
 
 
-def predict(docs: DataFrame, net: Network | None) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score) per row of ``docs``."""
+def annotate(docs: DataFrame, net: Network | None, label: str = "lang_pred", score: str = "score") -> DataFrame:
+    """``docs`` with two more columns, whose names must be new: the predicted language and its score."""
     if net is None:
-        return docs.select("doc_id", held_out().alias("held_out"), F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
-    names = [*net.languages, UNKNOWN]
+        return docs.withColumns({label: F.lit(UNKNOWN), score: F.lit(0.0)})
+    names, columns = [*net.languages, UNKNOWN], docs.columns
 
     def run(batches):
         reader = Reader(net)
         for batch in batches:
             for i in range(0, batch.num_rows, 128):
                 part = batch.slice(i, 128)
-                best, score = reader.documents(part.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array([names[b] for b in best]), pa.array(score)], names=["doc_id", "held_out", "lang_pred", "score"])
+                best, sure = reader.documents(part.column("text").to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([names[b] for b in best], pa.string()), pa.array(sure)], names=[*columns, label, score])
+
+    return docs.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in docs.dtypes) + f", {label} string, {score} double")
 
-    kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+
+def predict(docs: DataFrame, net: Network | None) -> DataFrame:
+    """(doc_id, held_out, lang_pred, score) per row of ``docs``."""
+    return annotate(docs.select("doc_id", held_out().alias("held_out"), "text"), net).select("doc_id", "held_out", "lang_pred", "score")
 
 
 def identified(docs: DataFrame) -> DataFrame:
     """The query's columns, learning from ``docs`` itself."""
     return predict(docs, train(sample(docs)))
+
+
+def accepted(docs: DataFrame, least: float = 0.4) -> DataFrame:
+    """The rows of ``docs`` whose language is known with at least ``least``; the others are rejected."""
+    named = annotate(docs, train(sample(docs)), "_lang_pred", "_lang_score")
+    return named.filter((F.col("_lang_pred") != UNKNOWN) & (F.col("_lang_score") >= least)).select(*docs.columns)

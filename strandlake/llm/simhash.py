@@ -230,3 +230,9 @@ def near_groups(docs: DataFrame) -> DataFrame:
     hubs = named.groupBy("hub").agg(F.min("least").alias("component_id"))
     found = save(named.join(hubs, "hub").select("fp", "component_id"), f"{base}/components")
     return held.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose component has a smaller doc_id; rows with a null doc_id stay."""
+    dropped = near_groups(docs).filter("doc_id > component_id").select("doc_id").distinct()
+    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
