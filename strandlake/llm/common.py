@@ -32,11 +32,11 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder, removed when the driver's Python ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    atexit.register(_remove, path)
+    atexit.register(remove, path)
     return path
 
 
-def _remove(path: str) -> None:
+def remove(path: str) -> None:
     fs, at = open_fs(path)
     if fs.get_file_info(at).type.name == "Directory":
         fs.delete_dir(at)
@@ -57,3 +57,29 @@ def save(df: DataFrame, path: str, **options) -> DataFrame:
 
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
+
+
+class Memo(dict):
+    """A bounded memo in two generations: when one is full it becomes the old one, whose entries come back as they are used."""
+
+    def __init__(self, limit: int):
+        super().__init__()
+        self.limit, self.old = limit, {}
+
+    def find(self, key):
+        raise NotImplementedError
+
+    def keep(self, key) -> bool:
+        return len(key) <= 64
+
+    def __missing__(self, key):
+        found = self.old.get(key)
+        if found is None:
+            found = self.find(key)
+            if not self.keep(key):
+                return found
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        self[key] = found
+        return found

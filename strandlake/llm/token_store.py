@@ -2,7 +2,8 @@
 
 ``write`` encodes every text and writes, below one folder,
 
-* ``encoded``: the encoder's output as a staging table (each text is encoded once);
+* ``encoded``: the encoder's output as a staging table (each text is encoded
+  once), removed at the end;
 * ``packs``: binary files of unique id chunks.  A rolling hash over the last
   ``WINDOW`` ids cuts an id stream where its low bits are zero, so equal runs
   of ids in different documents become equal chunks; each distinct chunk is
@@ -14,8 +15,8 @@
 
 ``read`` scans both kinds of files, recomputes every chunk digest and every
 file's Merkle root, joins recipes to chunks by digest, and rebuilds each
-document, checking its root and length.  Only digests and compressed unique
-chunks are shuffled.  A task writes under a name of its own and a manifest
+document, checking its root and length.  ``summaries`` does the same without
+moving a chunk.  Only digests and compressed unique chunks are shuffled.  A task writes under a name of its own and a manifest
 lists only files of tasks that finished, so lost executors and repeated tasks
 do no harm.
 
@@ -35,6 +36,7 @@ import hashlib
 import re
 import struct
 import uuid
+import zlib
 from functools import lru_cache
 
 import pyarrow as pa
@@ -42,50 +44,73 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import open_fs, save, scratch
+from strandlake.llm.common import Memo, open_fs, remove, save, scratch
 
 WINDOW, CUT_BITS, MIN_IDS, MAX_IDS = 16, 10, 256, 8192
-MEMO_WORDS, MEMO_WORD_LEN = 300_000, 64
+MEMO_WORDS = 200_000
 PACK, RECIPE = b"TOKPACK1", b"TOKRECI1"
 
 #: White space to Python's split() that is none to the tokenizer.
 _NO_SPACE = re.compile("[\x1c-\x1f]")
 
 
-class WordEncoder(dict):
+#: A run of Latin-1 letters between ASCII punctuation other than the apostrophe.
+_P = r"[!-&(-/:-@\[-`{-~]*"
+_PLAIN = re.compile(f"({_P})([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)({_P})")
+
+
+def byte_letters() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself if visible, else the next from 256 on."""
+    out, free = {}, 256
+    for b in range(256):
+        if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174:
+            out[b] = chr(b)
+        else:
+            out[b], free = chr(free), free + 1
+    return out
+
+
+class WordEncoder(Memo):
     """Memo from a white-space free run to its ids (u32 bytes).
 
     The tokenizer's normaliser and pre-tokenizer drop white space and never
     look across it, so encoding runs one by one equals encoding the text.
+    Normalising leaves a lower-cased Latin-1 word as it is, and the
+    pre-tokenizer cuts it from the punctuation around it, so such runs go
+    straight to the tokenizer's model; all others take its whole pipeline.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
+        super().__init__(MEMO_WORDS)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.size = self.tokenizer.get_vocab_size()
-
-    def __missing__(self, word: str) -> bytes:
-        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        found = struct.pack(f"<{len(ids)}I", *ids)
-        if len(word) <= MEMO_WORD_LEN:
-            if len(self) >= MEMO_WORDS:
-                self.clear()
-            self[word] = found
-        return found
-
-    def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self and len(w) <= MEMO_WORD_LEN][:MEMO_WORDS]
-        if len(self) + len(new) > MEMO_WORDS:
-            self.clear()
-        for word, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            self[word] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+        self.model, self.size = self.tokenizer.model, self.tokenizer.get_vocab_size()
+        self.letters = byte_letters()
+
+    def find(self, word: str) -> bytes:
+        if (m := _PLAIN.fullmatch(word)) is None:
+            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+            return struct.pack(f"<{len(ids)}I", *ids)
+        before, core, after = m.groups()
+        if before or after:
+            return (self.part(before) if before else b"") + self[core] + (self.part(after) if after else b"")
+        return self.part(core.lower())
+
+    def part(self, text: str) -> bytes:
+        """Ids of one pre-token."""
+        if not text.isascii():
+            text = text.encode("utf-8").decode("latin-1").translate(self.letters)
+        ids = [t.id for t in self.model.tokenize(text)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> bytes:
-        words = text.split() if _NO_SPACE.search(text) is None else re.split(r"[ \t-\r]+", text)
-        return b"".join(map(self.__getitem__, words))
+        return b"".join(map(self.__getitem__, runs(text)))
+
+
+def runs(text: str) -> list[str]:
+    return text.split() if _NO_SPACE.search(text) is None else re.split(r"[ \t-\r]+", text)
 
 
 @lru_cache(maxsize=2)
@@ -150,7 +175,6 @@ def encode(docs: DataFrame, path: str, end_id: int) -> DataFrame:
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             for i in range(0, len(texts), 256):
-                words.learn({w for t in texts[i : i + 256] for w in t.split()})
                 counts, digests, payloads = [], [], []
                 for t in texts[i : i + 256]:
                     ids = np.frombuffer(words.encode(t) + end, "<u4")
@@ -208,6 +232,7 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int) -> None:
     save(unique.mapInArrow(_writer(f"{folder}/packs", PACK, packed), MANIFEST), f"{folder}/packs-manifest")
     ordered = encoded.select("doc_id", "n_tokens", "digests").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     save(ordered.mapInArrow(_writer(f"{folder}/recipes", RECIPE, recipe), MANIFEST), f"{folder}/recipes-manifest")
+    remove(f"{folder}/encoded")
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
@@ -223,7 +248,9 @@ def _damaged(file: str) -> RuntimeError:
 
 
 def read_packs(files: DataFrame) -> DataFrame:
-    """(digest, payload) of every stored chunk, each digest recomputed from the ids."""
+    """(digest, n, crc, payload) of every stored chunk, the digest recomputed from its n ids; crc: their CRC-32."""
+    names = ["digest", "n", "crc", "payload"]
+    kinds = [pa.binary(), pa.int64(), pa.int64(), pa.binary()]
 
     def run(batches):
         import numpy as np
@@ -240,19 +267,21 @@ def read_packs(files: DataFrame) -> DataFrame:
                     while head := f.read(36):
                         digest, payload = head[:32], f.read(struct.unpack("<I", head[32:])[0])
                         raw = unpack.decompress(payload)
-                        if not any(hashlib.sha256(np.frombuffer(raw, t).astype("<u4").tobytes()).digest() == digest for t in ("<u2", "<u4") if len(raw) % np.dtype(t).itemsize == 0):
+                        read_as = (np.frombuffer(raw, t).astype("<u4").tobytes() for t in ("<u2", "<u4") if len(raw) % np.dtype(t).itemsize == 0)
+                        ids = next((x for x in read_as if hashlib.sha256(x).digest() == digest), None)
+                        if ids is None:
                             raise _damaged(row["file"])
                         leaves.append(digest)
-                        out.append((digest, payload))
+                        out.append((digest, len(ids) // 4, zlib.crc32(ids), payload))
                         if len(out) == 512:
-                            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out)], names=["digest", "payload"])
+                            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
                             out = []
                 if len(leaves) != row["entries"] or merkle(leaves) != row["root"]:
                     raise _damaged(row["file"])
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out)], names=["digest", "payload"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
 
-    return files.select("file", "entries", "root").mapInArrow(run, "digest binary, payload binary")
+    return files.select("file", "entries", "root").mapInArrow(run, "digest binary, n long, crc long, payload binary")
 
 
 def read_recipes(files: DataFrame) -> DataFrame:
@@ -285,17 +314,27 @@ def read_recipes(files: DataFrame) -> DataFrame:
     return files.select("part", "file", "entries", "tokens", "root", "base").mapInArrow(run, "part long, ordinal long, doc_id long, start long, n_tokens long, root binary, digests array<binary>")
 
 
-def read(spark: SparkSession, folder: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids) of every document, rebuilt and verified; ids: u32 bytes."""
+def rebuilt(spark: SparkSession, folder: str, carried: list[str]) -> DataFrame:
+    """Every document with ``parts``, its chunks in order: position, digest and the ``carried`` columns of ``read_packs``."""
     recipes = read_recipes(_files(spark, f"{folder}/recipes-manifest"))
-    chunks = read_packs(_files(spark, f"{folder}/packs-manifest"))
+    chunks = read_packs(_files(spark, f"{folder}/packs-manifest")).select("digest", *carried)
     key = ["part", "ordinal"]
     wanted = recipes.select(*key, "doc_id", "start", "n_tokens", "root", F.posexplode("digests").alias("pos", "digest"))
-    joined = wanted.join(chunks, "digest", "left")
-    whole = joined.groupBy(*key).agg(
-        *[F.first(c).alias(c) for c in ("doc_id", "start", "n_tokens", "root")], F.sort_array(F.collect_list(F.struct("pos", "digest", "payload"))).alias("parts")
+    # Spark takes the chunks for as small as the list of files: never broadcast them.
+    joined = wanted.hint("merge").join(chunks, "digest", "left")
+    return joined.groupBy(*key).agg(
+        *[F.first(c).alias(c) for c in ("doc_id", "start", "n_tokens", "root")], F.sort_array(F.collect_list(F.struct("pos", "digest", *carried))).alias("parts")
     )
 
+
+def _checked(row: dict, n: int) -> None:
+    if merkle([p["digest"] for p in row["parts"]]) != row["root"] or n != row["n_tokens"]:
+        raise RuntimeError("a document can't be rebuilt from its chunks")
+
+
+def read(spark: SparkSession, folder: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids) of every document, rebuilt and verified; ids: u32 bytes."""
+
     def run(batches):
         import numpy as np
         import zstandard
@@ -304,20 +343,71 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
         for batch in batches:
             out = []
             for row in batch.select(["n_tokens", "root", "parts"]).to_pylist():
-                if any(p["payload"] is None for p in row["parts"]) or merkle([p["digest"] for p in row["parts"]]) != row["root"]:
-                    raise RuntimeError("a document can't be rebuilt from its chunks")
-                raw = b"".join(unpack.decompress(p["payload"]) for p in row["parts"])
-                width = len(raw) // row["n_tokens"]
-                if width * row["n_tokens"] != len(raw):
-                    raise RuntimeError("a document's length differs from its recipe")
-                out.append(np.frombuffer(raw, f"<u{width}").astype("<u4").tobytes())
+                _checked(row, sum(p["n"] or 0 for p in row["parts"]))
+                raw = [(unpack.decompress(p["payload"]), p["n"]) for p in row["parts"]]
+                out.append(b"".join(np.frombuffer(x, f"<u{len(x) // n}").astype("<u4").tobytes() for x, n in raw))
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "start", "n_tokens")] + [pa.array(out, pa.binary())], names=["doc_id", "start", "n_tokens", "ids"])
 
+    whole = rebuilt(spark, folder, ["n", "payload"])
     return whole.select("doc_id", "start", "n_tokens", "root", "parts").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
 
+#: Fixed value: the CRC-32 polynomial, lowest power in the highest bit.
+CRC_POLY = 0xEDB88320
+
+
+def _times(a: int, b: int) -> int:
+    """Product of two polynomials modulo CRC_POLY, bit-reversed."""
+    out, bit = 0, 1 << 31
+    while a:
+        if a & bit:
+            out ^= b
+            a ^= bit
+        b = (b >> 1) ^ CRC_POLY if b & 1 else b >> 1
+        bit >>= 1
+    return out
+
+
+@lru_cache(maxsize=65536)
+def _shift(n: int) -> int:
+    """x to the power 8 n."""
+    out, square, n = 1 << 31, 1 << 30, 8 * n
+    while n:
+        if n & 1:
+            out = _times(square, out)
+        square, n = _times(square, square), n >> 1
+    return out
+
+
+def crc_of(parts: list[tuple[int, int]]) -> int:
+    """CRC-32 of a concatenation from the parts' (CRC-32, bytes)."""
+    crc = 0
+    for part, n in parts:
+        crc = _times(_shift(n), crc) ^ part
+    return crc
+
+
+def summaries(spark: SparkSession, folder: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) of every document.
+
+    All files are read and verified, but a document's checksum is put together
+    from those of its chunks, so no chunk is shuffled.
+    """
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for row in batch.select(["n_tokens", "root", "parts"]).to_pylist():
+                _checked(row, sum(p["n"] or 0 for p in row["parts"]))
+                out.append(crc_of([(p["crc"], 4 * p["n"]) for p in row["parts"]]))
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "start", "n_tokens")] + [pa.array(out, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+
+    whole = rebuilt(spark, folder, ["n", "crc"])
+    return whole.select("doc_id", "start", "n_tokens", "root", "parts").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+
 def stored(docs: DataFrame, path: str, end_id: int = 2) -> DataFrame:
     """The query's columns: write ``docs``, read the files back."""
     folder = scratch(docs.sparkSession, "tokens")
     write(docs, path, folder, end_id)
-    return read(docs.sparkSession, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return summaries(docs.sparkSession, folder)
