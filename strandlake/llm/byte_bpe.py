@@ -31,7 +31,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MEMO_PIECES, MEMO_PIECE_LEN, MEMO_PAIRS = 300_000, 64, 1_000_000
+from strandlake.llm.common import Memo
+
+MEMO_PIECES, MEMO_PAIRS = 150_000, 400_000
+ROWS = 512
 
 
 def class_body(prop: str, last: int) -> str:
@@ -69,16 +72,16 @@ def pieces(text: str, pattern: str) -> list[str]:
     return splitter(pattern, 0xFFFF if len(text.encode("utf-16-le")) == 2 * len(text) else 0x10FFFF)(text)
 
 
-class ByteBPE(dict):
+class ByteBPE(Memo):
     """Memo from a piece to its ids as little-endian unsigned 32-bit integers."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         import ahocorasick
 
-        super().__init__()
+        super().__init__(MEMO_PIECES)
         self.ranks, self.pattern = ranks, pattern
         self.token = {v: k for k, v in ranks.items()}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.automaton = ahocorasick.Automaton()
         for token, rank in ranks.items():
             if self.merged(token) == [rank]:
@@ -100,11 +103,12 @@ class ByteBPE(dict):
         return [ranks[p] for p in parts]
 
     def compatible(self, a: int, b: int) -> bool:
-        found = self.pairs.get((a, b))
+        key = a << 32 | b
+        found = self.pairs.get(key)
         if found is None:
             if len(self.pairs) >= MEMO_PAIRS:
                 self.pairs.clear()
-            found = self.pairs[a, b] = self.merged(self.token[a] + self.token[b]) == [a, b]
+            found = self.pairs[key] = self.merged(self.token[a] + self.token[b]) == [a, b]
         return found
 
     def encode_piece(self, piece: bytes) -> list[int]:
@@ -134,14 +138,9 @@ class ByteBPE(dict):
                 pos, _, left = out.pop()
         return [rank for _, rank, _ in out]
 
-    def __missing__(self, piece: str) -> bytes:
+    def find(self, piece: str) -> bytes:
         ids = self.encode_piece(piece.encode("utf-8"))
-        found = pack(f"<{len(ids)}I", *ids)
-        if len(piece) <= MEMO_PIECE_LEN:
-            if len(self) >= MEMO_PIECES:
-                self.clear()
-            self[piece] = found
-        return found
+        return pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> bytes:
         return b"".join(map(self.__getitem__, pieces(text, self.pattern)))
@@ -163,8 +162,10 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches):
         bpe = load(path, pattern)
         for batch in batches:
-            ids = [bpe.encode(t or "") for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "n_tokens", "ids"])
+            for i in range(0, batch.num_rows, ROWS):
+                part = batch.slice(i, ROWS)
+                ids = [bpe.encode(t or "") for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "n_tokens", "ids"])
 
     kind = dict(docs.dtypes)["doc_id"]
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids binary")
