@@ -12,6 +12,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def minutes(ts: str):
+    """Whole minutes since 1970 of a time stamp, whatever the session's time zone."""
+    days = F.datediff(F.to_date(ts), F.lit("1970-01-01").cast("date"))
+    return (days * 1440 + F.hour(ts) * 60 + F.minute(ts)).cast("long")
+
+
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(seq_id, seq): documents, their letters read as bases."""
     return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq_id"), text_to_dna("text").alias("seq"))
