@@ -85,7 +85,7 @@ def translate_codons(seq, frame: int = 0, code: str = STANDARD_CODE) -> Column:
     table = F.create_map(*[F.lit(x) for pair in zip(CODONS, code) for x in pair])
     n = F.floor(F.length(s) / 3).cast("int")
     each = F.transform(F.sequence(F.lit(1), n), lambda i: F.coalesce(F.element_at(table, F.substring(s, i * 3 - 2, F.lit(3))), F.lit("X")))
-    return F.when(n > 0, F.array_join(each, "")).otherwise(F.lit(""))
+    return F.when(n > 0, F.array_join(each, "")).when(col(seq).isNotNull(), F.lit(""))
 
 
 def split_nonempty(text, separator: str) -> Column:
