@@ -421,7 +421,7 @@ def pwm_range(spark, sf_dir):
     return P.score_range(P.pssm(matrices(spark, sf_dir))).select("name", r6("lo"), r6("hi"))
 
 
-PADDED = f"(SELECT name, pos + 2 AS pos, a, c, g, t FROM {PWM} UNION ALL SELECT n.name, p.pos, 0.25, 0.25, 0.25, 0.25 FROM (SELECT name, count(*) AS w FROM {PWM} GROUP BY name) n, (SELECT unnest([1, 2, 3, 4]) AS k) k, LATERAL (SELECT CASE WHEN k <= 2 THEN k ELSE w + k END AS pos) p)"
+PADDED = f"(SELECT name, row_number() OVER (PARTITION BY name ORDER BY pos) + 2 AS pos, a, c, g, t FROM {PWM} UNION ALL SELECT n.name, p.pos, 0.25, 0.25, 0.25, 0.25 FROM (SELECT name, count(*) AS w FROM {PWM} GROUP BY name) n, (SELECT unnest([1, 2, 3, 4]) AS k) k, LATERAL (SELECT CASE WHEN k <= 2 THEN k ELSE w + k END AS pos) p)"
 WORDS3 = f"(SELECT {LETTER.format(16)} || {LETTER.format(4)} || {LETTER.format(1)} AS x FROM range(64) t(i))"
 LMER_P = f"(SELECT u.name, x, {cell('x', '1').replace(' a ', ' u.a ').replace(' c ', ' u.c ').replace(' g ', ' u.g ').replace(' t ', ' u.t ')} * {cell('x', '2').replace(' a ', ' v.a ').replace(' c ', ' v.c ').replace(' g ', ' v.g ').replace(' t ', ' v.t ')} * {cell('x', '3').replace(' a ', ' w.a ').replace(' c ', ' w.c ').replace(' g ', ' w.g ').replace(' t ', ' w.t ')} AS p FROM {PADDED} u JOIN {PADDED} v ON u.name = v.name AND v.pos = u.pos + 1 JOIN {PADDED} w ON u.name = w.name AND w.pos = u.pos + 2 CROSS JOIN {WORDS3})"
 

@@ -18,7 +18,7 @@ def read_delimited(spark: SparkSession, path: str, columns: list[tuple[str, str]
 
     lines = spark.read.text(path)
     if header:
-        lines = spark.read.option("wholetext", True).text(path).select(F.explode(F.slice(F.split("value", r"\r?\n"), header + 1, 2**30)).alias("value"))
+        lines = spark.read.text(path, wholetext=True).select(F.explode(F.slice(F.split("value", r"\r?\n"), header + 1, 2**30)).alias("value"))
     parts = F.split("value", f"(?:{re.escape(separator)}){'+' if drop_empty else ''}")
     out = []
     for i, (name, kind) in enumerate(columns):

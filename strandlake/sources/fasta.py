@@ -13,7 +13,7 @@ def read_fasta(spark: SparkSession, path: str, dna: bool = True) -> DataFrame:
 
     Sequence lines are joined; ``dna`` turns U to T.
     """
-    records = spark.read.option("lineSep", ">").text(path).filter(F.trim("value") != "")
+    records = spark.read.text(path, lineSep=">").filter(F.trim("value") != "")
     head = F.regexp_extract("value", r"^([^\r\n]*)", 1)
     body = F.regexp_replace(F.regexp_replace("value", r"^[^\r\n]*", ""), r"\s+", "")
     seq = to_dna("body") if dna else F.col("body")

@@ -47,4 +47,4 @@ def read_meme(spark: SparkSession, path: str) -> DataFrame:
             rows = [r for text in pdf["value"] for r in parse_meme(text)]
             yield pd.DataFrame(rows, columns=["name", "n", "pos", "a", "c", "g", "t"])[["name", "pos", "a", "c", "g", "t", "n"]].astype({"n": float})
 
-    return spark.read.option("wholetext", True).text(path).mapInPandas(run, "name string, pos int, a double, c double, g double, t double, n double")
+    return spark.read.text(path, wholetext=True).mapInPandas(run, "name string, pos int, a double, c double, g double, t double, n double")
