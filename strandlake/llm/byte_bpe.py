@@ -156,19 +156,29 @@ def load(path: str, pattern: str) -> ByteBPE:
     return ByteBPE(ranks, pattern)
 
 
-def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(doc_id, n_tokens, ids) per row of ``docs``; ids: little-endian unsigned 32-bit integers."""
+def encode(docs: DataFrame, path: str, pattern: str, decoded: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids[, decoded]) per row of ``docs``; ids: little-endian unsigned 32-bit integers.
+
+    ``decoded`` adds the bytes that the ids stand for, in the same pass: a
+    second pass would keep a second Python worker, with its own memo, per task.
+    """
+    names = ["doc_id", "n_tokens", "ids", *["decoded"] * decoded]
 
     def run(batches):
+        import numpy as np
+
         bpe = load(path, pattern)
         for batch in batches:
             for i in range(0, batch.num_rows, ROWS):
                 part = batch.slice(i, ROWS)
                 ids = [bpe.encode(t or "") for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "n_tokens", "ids"])
+                columns = [part.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
+                if decoded:
+                    columns.append(pa.array([bpe.decode(np.frombuffer(x, "<u4").tolist()) for x in ids], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids binary" + ", decoded binary" * decoded)
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -188,4 +198,4 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """The query's columns: doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    return decode(encode(docs, path, pattern), path, pattern).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return encode(docs, path, pattern, True).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
