@@ -78,11 +78,16 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay; of rows that repeat a kept doc_id and text, one."""
-    kept = exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
-    held = docs.withColumn("_own", F.sha2(text_or_empty(), 256))
-    stay = held.join(kept, held["doc_id"].eqNullSafe(kept["_id"]) & (held["_own"] == kept["_sha"]), "left_semi")
-    first = F.row_number().over(Window.partitionBy("doc_id", "_own").orderBy("_own"))
+    """The rows of ``docs`` that stay; of rows that repeat a kept doc_id and text, one.
+
+    One key for (doc_id, text) serves the join and the choice among repeats, so
+    whole rows are shuffled and sorted once.
+    """
+    key = lambda sha: F.sha2(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), sha), 256)
+    kept = exact_dedup(docs).filter("kept").select(key(F.col("text_sha256")).alias("_own"))
+    held = docs.withColumn("_own", key(F.sha2(text_or_empty(), 256)))
+    stay = held.join(kept, "_own", "left_semi")
+    first = F.row_number().over(Window.partitionBy("_own").orderBy("_own"))
     return stay.withColumn("_n", first).filter("_n = 1").select(*docs.columns)
 
 
