@@ -55,6 +55,11 @@ def save(df: DataFrame, path: str, **options) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def packed(df: DataFrame, name: str = "_row") -> Column:
+    """All columns as one struct, so that no name of theirs can meet one of ours."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(name)
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

@@ -31,12 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import WORD, save, scratch, text_or_empty
+from strandlake.llm.common import WORD, packed, save, scratch, text_or_empty
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
 BLOCK_WORDS, BLOCKS = 512, 65536
-SHARDS, SEED = 16, 11
+SHARDS, SHARD_WORDS, SEED = 16, 2_000_000, 11
 MAX_SOURCES = 1_000_000
 BUCKET_DOCS, MIN_BUCKETS = 20_000, 64
 DRAWS = "array<struct<epoch:int,block:long,at:long,words:long,shard:int>>"
@@ -133,15 +133,25 @@ def catalogue(held: DataFrame, weights=WEIGHTS) -> tuple[dict, int]:
     return {r["source_key"]: planned(i, r["words"], t) for i, (r, t) in enumerate(zip(found, goal))}, sum(r["docs"] for r in found)
 
 
-def mix(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
+def shards_for(plans: dict) -> int:
+    """Output shards so that one holds about SHARD_WORDS words, SHARDS at least."""
+    return max(SHARDS, -(-round(sum(p["target"] for p in plans.values())) // SHARD_WORDS))
+
+
+def mix(docs: DataFrame, shards: int | None = None) -> DataFrame:
     """(doc_id, k, size, source_size, target, draws): the draws that take words of each document.
 
     A draw takes ``words`` words of the document from word ``at`` on, in pass
     ``epoch``, for output shard ``shard``.
     """
+    return _mix(docs, shards)[0]
+
+
+def _mix(docs: DataFrame, shards: int | None) -> tuple[DataFrame, int]:
     folder = scratch(docs.sparkSession, "mix")
     held = sized(docs, folder)
     plans, n = catalogue(held)
+    shards = shards or shards_for(plans)
     quota = split_tree([p["draws"] for p in plans.values()], shards)
     for p, row in zip(plans.values(), quota):
         p["ends"] = row.cumsum().tolist()
@@ -183,7 +193,7 @@ def mix(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
                 names=["doc_id", "k", "size", "source_size", "target", "draws"],
             )
 
-    return placed.mapInArrow(run, f"doc_id {kind}, k int, size long, source_size long, target double, draws {DRAWS}")
+    return placed.mapInArrow(run, f"doc_id {kind}, k int, size long, source_size long, target double, draws {DRAWS}"), shards
 
 
 def taken(docs: DataFrame) -> DataFrame:
@@ -191,27 +201,26 @@ def taken(docs: DataFrame) -> DataFrame:
     return mix(docs).select("doc_id", "size", "source_size", "target", F.aggregate("draws", F.lit(0).cast("long"), lambda s, d: s + d["words"]).alias("taken"))
 
 
-def materialise(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
+def materialise(docs: DataFrame, shards: int | None = None) -> DataFrame:
     """The mixed documents: ``docs``' columns, one row for each pass that takes words of a document.
 
     ``text`` holds the words taken (with the white space between adjacent
     ones; the whole text where all are), ``n_chars``, where there is one, its
     length.  Rows lie by output shard, in hashed order.
     """
-    mixed = mix(docs, shards)
-    names = docs.columns
+    mixed, count = _mix(docs, shards)
     passes = mixed.select("doc_id", F.col("k").alias("_k"), F.col("size").alias("_size"), F.explode(F.array_distinct("draws.epoch")).alias("_epoch"), F.col("draws").alias("_draws"))
     passes = passes.withColumn("_draws", F.filter("_draws", lambda d: d["epoch"] == F.col("_epoch")))
     text = text_or_empty()
-    keyed = docs.withColumn("_k", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.regexp_count(text, F.lit(WORD)), F.xxhash64(text), source_key())))
-    same = keyed["doc_id"].eqNullSafe(passes["doc_id"]) & (keyed["_k"] == passes["_k"])
-    joined = keyed.join(passes.hint("merge"), same).select(*[keyed[n] for n in names], "_size", "_epoch", "_draws")
+    order_ = Window.partitionBy("doc_id").orderBy(F.regexp_count(text, F.lit(WORD)), F.xxhash64(text), source_key())
+    keyed = docs.select(packed(docs), F.col("doc_id").alias("_id"), F.row_number().over(order_).alias("_k"))
+    joined = keyed.join(passes.hint("merge"), keyed["_id"].eqNullSafe(passes["doc_id"]) & (keyed["_k"] == passes["_k"])).select("_row", "_size", "_epoch", "_draws")
     whole = F.aggregate("_draws", F.lit(0).cast("long"), lambda s, d: s + d["words"]) == F.col("_size")
     # Pieces of a text by word numbers: its words with the white space that precedes each.
-    pieces = F.regexp_extract_all(text, F.lit(r"(?s)[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    pieces = F.regexp_extract_all(text_or_empty("_row.text"), F.lit(r"(?s)[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
     cut = F.ltrim(F.array_join(F.flatten(F.transform("_draws", lambda d: F.slice(pieces, (d["at"] + 1).cast("int"), d["words"].cast("int")))), ""))
-    out = joined.withColumn("text", F.when(whole, F.col("text")).otherwise(cut))
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
-    out = out.withColumn("_shard", F.element_at("_draws", 1)["shard"])
-    return out.repartition(shards, "_shard").sortWithinPartitions("_shard", F.xxhash64(F.lit(SEED), "doc_id", "_epoch")).select(*names)
+    row = F.col("_row").withField("text", F.when(whole, F.col("_row.text")).otherwise(cut))
+    if "n_chars" in docs.columns:
+        row = row.withField("n_chars", F.length(row["text"]).cast(dict(docs.dtypes)["n_chars"]))
+    out = joined.select(row.alias("_row"), F.element_at("_draws", 1)["shard"].alias("_shard"), "_epoch")
+    return out.repartition(count, "_shard").sortWithinPartitions("_shard", F.xxhash64(F.lit(SEED), "_row.doc_id", "_epoch")).select("_row.*")
