@@ -40,7 +40,7 @@ from strandlake.llm.common import open_fs, save, scratch
 REVISIT_BYTES = 100
 SPLIT_BYTES = 8 << 20
 PROBE_BYTES = 64 << 10
-MAGIC = b"\x1f\x8b\x08"
+MAGIC, VERSION = b"\x1f\x8b\x08", b"WARC/1."
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 MANIFEST = "file string, bytes long, records long"
@@ -125,13 +125,15 @@ class Range:
 
     def member(self, held: bytes, at: int, base: int):
         """(inflated bytes, end) of the gzip member at file offset ``at``, or None; held: bytes from offset base on."""
-        inflate, out = zlib.decompressobj(31), []
+        inflate, out, head = zlib.decompressobj(31), [], b""
         chunk, pos = held[at - base : at - base + PROBE_BYTES], at
         try:
             while chunk:
                 out.append(inflate.decompress(chunk))
-                if len(out) == 1 and not out[0].startswith(b"WARC/1."):
-                    return None  # a candidate is given up after its first bytes
+                if len(head) < len(VERSION):  # a candidate is given up after its first bytes
+                    head = (head + out[-1])[: len(VERSION)]
+                    if not VERSION.startswith(head):
+                        return None
                 pos += len(chunk)
                 if inflate.eof:
                     return b"".join(out), pos - len(inflate.unused_data)
