@@ -25,10 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandlake.llm.common import packed
+
 FOLDS = 5
 DOCS, CHARS, TRAIN_SEGMENTS = 600, 3000, 40_000
 SEGMENT, HIDDEN, SEED = 24, 16, 5
-EPOCHS, BATCH, RATE = 4, 512, 0.01
+EPOCHS, MIN_STEPS, BATCH, RATE = 4, 250, 512, 0.01
 MEMO = 250_000
 UNKNOWN = "und"
 
@@ -176,8 +178,10 @@ def train(rows: list) -> Network | None:
     net = Network(languages, rng)
     m = {k: np.zeros_like(v) for k, v in net.p.items()}
     v = {k: np.zeros_like(x) for k, x in net.p.items()}
-    step, steps = 0, max(1, EPOCHS * -(-len(parts) // BATCH))
-    for _ in range(EPOCHS):
+    a_pass = -(-len(parts) // BATCH)
+    passes = max(EPOCHS, -(-MIN_STEPS // max(1, a_pass)))
+    step, steps = 0, max(1, passes * a_pass)
+    for _ in range(passes):
         shuffled = rng.permutation(len(parts))
         batches = [shuffled[i : i + BATCH] for i in range(0, len(parts), BATCH)]
         for rows_ in batches:
@@ -231,10 +235,10 @@ class Reader:
         return best, score
 
 
-def annotate(docs: DataFrame, net: Network | None, label: str = "lang_pred", score: str = "score") -> DataFrame:
-    """``docs`` with two more columns, whose names must be new: the predicted language and its score."""
+def annotate(docs: DataFrame, net: Network | None) -> DataFrame:
+    """``docs`` with two more columns, lang_pred and score, which it must not have yet."""
     if net is None:
-        return docs.withColumns({label: F.lit(UNKNOWN), score: F.lit(0.0)})
+        return docs.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)})
     names, columns = [*net.languages, UNKNOWN], docs.columns
 
     def run(batches):
@@ -243,9 +247,9 @@ def annotate(docs: DataFrame, net: Network | None, label: str = "lang_pred", sco
             for i in range(0, batch.num_rows, 128):
                 part = batch.slice(i, 128)
                 best, sure = reader.documents(part.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([names[b] for b in best], pa.string()), pa.array(sure)], names=[*columns, label, score])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([names[b] for b in best], pa.string()), pa.array(sure)], names=[*columns, "lang_pred", "score"])
 
-    return docs.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in docs.dtypes) + f", {label} string, {score} double")
+    return docs.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in docs.dtypes) + ", lang_pred string, score double")
 
 
 def predict(docs: DataFrame, net: Network | None) -> DataFrame:
@@ -260,5 +264,5 @@ def identified(docs: DataFrame) -> DataFrame:
 
 def accepted(docs: DataFrame, least: float = 0.4) -> DataFrame:
     """The rows of ``docs`` whose language is known with at least ``least``; the others are rejected."""
-    named = annotate(docs, train(sample(docs)), "_lang_pred", "_lang_score")
-    return named.filter((F.col("_lang_pred") != UNKNOWN) & (F.col("_lang_score") >= least)).select(*docs.columns)
+    named = annotate(docs.select(packed(docs), "text"), train(sample(docs)))
+    return named.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("_row.*")

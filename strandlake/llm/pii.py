@@ -272,7 +272,7 @@ def train(texts: list[str]) -> Field | None:
     return field
 
 
-def found(texts: list[str], field: Field | None) -> list[tuple[dict, dict]]:
+def found(texts: list[str], field: Field | None, sure: float = SURE) -> list[tuple[dict, dict]]:
     """(base spans, all spans) of each text."""
     import numpy as np
 
@@ -282,7 +282,7 @@ def found(texts: list[str], field: Field | None) -> list[tuple[dict, dict]]:
         rows = [features(texts[t], a, b, v) for t, a, b, v in nodes]
         belief, _ = field.beliefs(rows, links)
         best = belief.argmax(axis=1)
-        for i in np.flatnonzero((best > 0) & (belief.max(axis=1) >= SURE)).tolist():
+        for i in np.flatnonzero((best > 0) & (belief.max(axis=1) >= sure)).tolist():
             t, a, b, verdict = nodes[i]
             if not verdict:
                 every[t][KINDS[best[i] - 1]].append((a, b))
