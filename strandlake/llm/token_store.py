@@ -47,11 +47,11 @@ from pyspark.sql import functions as F
 from strandlake.llm.common import Memo, open_fs, remove, save, scratch
 
 WINDOW, CUT_BITS, MIN_IDS, MAX_IDS = 16, 10, 256, 8192
-MEMO_WORDS = 200_000
+MEMO_WORDS = 500_000
 PACK, RECIPE = b"TOKPACK1", b"TOKRECI1"
 
 #: White space to Python's split() that is none to the tokenizer.
-_NO_SPACE = re.compile("[\x1c-\x1f]")
+_NO_SPACE = "\x1c\x1d\x1e\x1f"
 
 
 #: A run of Latin-1 letters between ASCII punctuation other than the apostrophe.
@@ -90,18 +90,18 @@ class WordEncoder(Memo):
         self.letters = byte_letters()
 
     def find(self, word: str) -> bytes:
+        if word.isascii() and word.isalpha():
+            return self.part(word.lower())
         if (m := _PLAIN.fullmatch(word)) is None:
             ids = self.tokenizer.encode(word, add_special_tokens=False).ids
             return struct.pack(f"<{len(ids)}I", *ids)
         before, core, after = m.groups()
         if before or after:
-            return (self.part(before) if before else b"") + self[core] + (self.part(after) if after else b"")
-        return self.part(core.lower())
+            return (self[before] if before else b"") + self[core] + (self[after] if after else b"")
+        return self.part(core.lower().encode("utf-8").decode("latin-1").translate(self.letters))
 
     def part(self, text: str) -> bytes:
-        """Ids of one pre-token."""
-        if not text.isascii():
-            text = text.encode("utf-8").decode("latin-1").translate(self.letters)
+        """Ids of one pre-token in the vocabulary's letters."""
         ids = [t.id for t in self.model.tokenize(text)]
         return struct.pack(f"<{len(ids)}I", *ids)
 
@@ -110,7 +110,9 @@ class WordEncoder(Memo):
 
 
 def runs(text: str) -> list[str]:
-    return text.split() if _NO_SPACE.search(text) is None else re.split(r"[ \t-\r]+", text)
+    if any(c in text for c in _NO_SPACE):
+        return re.split(r"[ \t-\r]+", text)
+    return text.split()
 
 
 @lru_cache(maxsize=2)
@@ -129,29 +131,31 @@ def gear():
     return np.random.default_rng(20).integers(0, 2**64, 65536, dtype=np.uint64)
 
 
-def cuts(ids) -> list[int]:
-    """Ends of the chunks of an id array: where the rolling hash's top CUT_BITS are zero, MIN_IDS to MAX_IDS apart."""
+def marks(ids):
+    """Ends where the rolling hash over the last WINDOW ids has CUT_BITS zero bits on top."""
     import numpy as np
 
-    n = len(ids)
-    if n <= MIN_IDS:
-        return [n]
-    g = gear()[ids & 0xFFFF]
-    h = np.zeros(n, np.uint64)
-    for k in range(WINDOW):
+    g, n = gear()[ids & 0xFFFF], len(ids)
+    h = g.copy()
+    for k in range(1, min(WINDOW, n)):
         h[k:] += g[: n - k] << np.uint64(k * (64 // WINDOW))
-    ends, last = [], 0
-    for at in (np.flatnonzero(h >> np.uint64(64 - CUT_BITS) == 0) + 1).tolist():
+    return np.flatnonzero(h >> np.uint64(64 - CUT_BITS) == 0) + 1
+
+
+def cuts(n: int, ends: list[int]) -> list[int]:
+    """Ends of the chunks of n ids: at marks, MIN_IDS to MAX_IDS apart (so no window reaches before the ids)."""
+    out, last = [], 0
+    for at in ends:
         while at - last > MAX_IDS:
             last += MAX_IDS
-            ends.append(last)
+            out.append(last)
         if at - last >= MIN_IDS:
-            ends.append(at)
+            out.append(at)
             last = at
     while n - last > MAX_IDS:
         last += MAX_IDS
-        ends.append(last)
-    return ends if last == n else [*ends, n]
+        out.append(last)
+    return out if out and last == n else [*out, n]
 
 
 def merkle(leaves: list[bytes]) -> bytes:
@@ -175,13 +179,18 @@ def encode(docs: DataFrame, path: str, end_id: int) -> DataFrame:
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             for i in range(0, len(texts), 256):
-                counts, digests, payloads = [], [], []
-                for t in texts[i : i + 256]:
-                    ids = np.frombuffer(words.encode(t) + end, "<u4")
-                    parts = np.split(ids, cuts(ids)[:-1])
-                    counts.append(len(ids))
+                coded = [words.encode(t) + end for t in texts[i : i + 256]]
+                every, at = np.frombuffer(b"".join(coded), "<u4"), 0
+                marked = marks(every)
+                counts, digests, payloads = [len(x) // 4 for x in coded], [], []
+                for n in counts:
+                    ids = every[at : at + n]
+                    inside = marked[np.searchsorted(marked, at, "right") : np.searchsorted(marked, at + n, "right")] - at if n > MIN_IDS else marked[:0]
+                    ends = cuts(n, inside.tolist())
+                    parts = [ids[a:b] for a, b in zip([0, *ends], ends)]
                     digests.append([hashlib.sha256(p.tobytes()).digest() for p in parts])
                     payloads.append([press.compress(p.astype(narrow).tobytes()) for p in parts])
+                    at += n
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(i, 256), pa.array(counts, pa.int64()), pa.array(digests, pa.list_(pa.binary())), pa.array(payloads, pa.list_(pa.binary()))],
                     names=["doc_id", "n_tokens", "digests", "payloads"],
