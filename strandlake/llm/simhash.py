@@ -1,56 +1,81 @@
 """Near-duplicate groups by SimHash fingerprints and BK-trees.
 
-``fingerprints`` hashes every 3-word shingle of a text (XXH64, seed 42) and
-sets a bit where over half the hashes have it.  Fingerprints that differ in at
-most ``RADIUS`` bits link, and a document's component is the smallest doc_id
-reachable.
-
-Equal fingerprints are one node.  By the pigeonhole principle two linked
-fingerprints agree on all but RADIUS of ``blocks`` bit blocks, so every choice
-of blocks is one table and the agreeing bits are the shard key; the number of
-blocks follows from the number of fingerprints so that a shard stays small.  A
-shard with more than ``SHARD`` fingerprints (many near copies) is dealt into
-chunks, and each pair of chunks is a task's work of its own: one chunk's tree,
-the other chunk's queries.  In a shard a BK-tree (children keyed by integer
-Hamming distance to the parent) is walked with all queries at once, each
-following only edges within the radius; a union-find keeps one link per merge,
-so a shard of n fingerprints yields fewer than n links.  Components of the
-links are found on the cluster.
+``near_groups``: every 3-word shingle of a text is hashed (XXH64, seed 42) and
+a fingerprint bit is set where over half the hashes have it; fingerprints that
+differ in at most ``RADIUS`` bits link, and a document's component is the
+smallest doc_id reachable.
+
+``near_copies`` serves filtering: distinct shingles of five words and
+fingerprints of ``WIDE`` bits, whose distance tells the similarity of two
+shingle sets to about 0.02, so that texts with 0.8 or more link.  (In 64 bits
+such texts differ in about ten.)  Its trees work on the first ``NARROW`` bits
+with a wider radius, and the whole fingerprints then confirm each link.
+
+Equal fingerprints are one node.  Shards hold nodes that agree on chosen bits.
+For ``near_groups`` two linked fingerprints agree on all but RADIUS of
+``blocks`` bit blocks, by the pigeonhole principle, so every choice of blocks
+is one table and no link is missed; the number of blocks follows from the
+number of fingerprints so that a shard stays small.  For ``near_copies`` each
+table takes bits at random, and there are so many tables that a pair at the
+threshold meets in one with probability ``RECALL``.  A shard with more than
+``SHARD`` nodes (many near copies) is dealt into chunks, and each pair of chunks
+is a task's work of its own: one chunk's tree, the other chunk's queries.  In a
+shard a BK-tree (children keyed by integer Hamming distance to the parent) is
+walked with all queries at once, each following only edges within the radius;
+a union-find keeps one link per merge, so a shard of n nodes yields fewer than
+n links.  Components of the links are found on the cluster.
 
 Defined cases: a null or wordless text has fingerprint zero, linked like any
-other; fewer than three words make one shingle; ties (exactly half) give 0;
-repeated rows share a fingerprint; null doc_ids never name a component unless
-alone; other columns are ignored; an empty table gives an empty result.
+other; fewer words than a shingle's make one shingle; ties (exactly half) give
+0; repeated rows share a fingerprint; null doc_ids never name a component
+unless alone, and their rows are never dropped; other columns are ignored; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from itertools import combinations
+from math import acos, ceil, log, pi
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import save, scratch
+from strandlake.llm.common import save, scratch, small_batches
 from strandlake.llm.components import components
 
 BITS, RADIUS, SHINGLE, SEED = 64, 3, 3, 42
 SHARD = 4096
+WIDE, NARROW, COPY_SHINGLE, SIMILARITY, RECALL = 1024, 256, 5, 0.8, 0.97
+#: Up to so many nodes a shard gives all its links to be confirmed, not only a forest.
+WHOLE = 16
 
 
-def hashes(text: str | None, xxh) -> list[int]:
+def hashes(text: str | None, xxh, shingle: int = SHINGLE) -> list[int]:
     words = (text or "").encode("utf-8").lower().split()  # bytes: ASCII letters, space and \x09-\x0d only
-    if len(words) < SHINGLE:
+    if len(words) < shingle:
         return [xxh(b" ".join(words), SEED)] if words else []
-    return [xxh(b" ".join(w), SEED) for w in zip(*(words[k:] for k in range(SHINGLE)))]
+    return [xxh(b" ".join(w), SEED) for w in zip(*(words[k:] for k in range(shingle)))]
 
 
-def majority(rows: list[list[int]]):
-    """Fingerprints (uint64) of lists of 64-bit hashes; empty lists give 0."""
+def mixed(h, k: int):
+    """Word k of the wide hash of each 64-bit hash; word 0 is the hash itself."""
+    import numpy as np
+
+    if not k:
+        return h
+    x = h + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+def majority(rows: list[list[int]], words: int = 1):
+    """Fingerprints, (rows, words) of uint64, of lists of 64-bit hashes; empty lists give 0."""
     import numpy as np
 
     sizes = np.array([len(r) for r in rows], np.int64)
-    out = np.zeros(len(rows), np.uint64)
+    out = np.zeros((len(rows), words), np.uint64)
     full = np.flatnonzero(sizes)
     if not len(full):
         return out
@@ -59,27 +84,41 @@ def majority(rows: list[list[int]]):
     # Eight byte-wide counters to a word: segments of at most 255 hashes don't overflow.
     starts = np.concatenate([np.arange(b, b + n, 255) for b, n in zip(begins, sizes[full])])
     firsts = np.searchsorted(starts, begins)
-    for shift in range(8):
-        lanes = np.add.reduceat((every >> np.uint64(shift)) & np.uint64(0x0101010101010101), starts)
-        counts = np.add.reduceat(lanes.view(np.uint8).reshape(-1, 8).astype(np.int64), firsts, axis=0)
-        for byte in range(8):
-            out[full] |= (counts[:, byte] * 2 > sizes[full]).astype(np.uint64) << np.uint64(8 * byte + shift)
+    for word in range(words):
+        wide = mixed(every, word)
+        for shift in range(8):
+            lanes = np.add.reduceat((wide >> np.uint64(shift)) & np.uint64(0x0101010101010101), starts)
+            counts = np.add.reduceat(lanes.view(np.uint8).reshape(-1, 8).astype(np.int64), firsts, axis=0)
+            for byte in range(8):
+                out[full, word] |= (counts[:, byte] * 2 > sizes[full]).astype(np.uint64) << np.uint64(8 * byte + shift)
     return out
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) per row of ``docs``; fp holds the 64 bits as a signed long."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, words: int = 1, distinct: bool = False) -> DataFrame:
+    """(doc_id, f0, f1, ...) per row of ``docs``; each f holds 64 bits as a signed long.
+
+    ``distinct`` counts a repeated shingle once.
+    """
+    names = [f"f{k}" for k in range(words)]
 
     def run(batches):
         import xxhash
 
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for i in range(0, len(texts), 128):
-                fp = majority([hashes(t, xxhash.xxh64_intdigest) for t in texts[i : i + 128]])
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, 128), pa.array(fp.view("int64"))], names=["doc_id", "fp"])
+            for i in range(0, batch.num_rows, 128):
+                part = batch.slice(i, 128)
+                rows = [hashes(t, xxhash.xxh64_intdigest, shingle) for t in part.column("text").to_pylist()]
+                fp = majority([list(set(r)) for r in rows] if distinct else rows, words)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *[pa.array(c) for c in fp.T.copy().view("int64")]], names=["doc_id", *names])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, fp long")
+    return small_batches(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, " + ", ".join(f"{n} long" for n in names))
+
+
+def distances(a, b):
+    """Hamming distances of rows of words."""
+    import numpy as np
+
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int16)
 
 
 class BKTree:
@@ -97,13 +136,13 @@ class BKTree:
         while todo:
             items, asks = todo.pop()
             node, rest = items[0], items[1:]
-            near = np.bitwise_count(fps[asks] ^ fps[node]).astype(np.int16)
+            near = distances(fps[asks], fps[node])
             hits = asks[near <= radius]
             if len(hits):
                 link(node, hits)
             if not len(rest):
                 continue
-            edge = np.bitwise_count(fps[rest] ^ fps[node])
+            edge = distances(fps[rest], fps[node])
             for k in np.unique(edge).tolist():
                 follow = asks[np.abs(near - k) <= radius]
                 if len(follow):
@@ -132,10 +171,10 @@ def small_shard(fps: list[int], radius: int, link) -> None:
             here = here[1][d]
 
 
-def shard_links(fps, side, radius=RADIUS):
+def shard_links(fps, side, radius=RADIUS, whole=0):
     """Links (a, b) of one shard that keep its connections: a spanning forest.
 
-    side: None, or 0 for the fingerprints of the tree and 1 for those that only ask.
+    Shards of up to ``whole`` nodes give every link.  fps: (n, words) of uint64.  side: None, or 0 for the fingerprints of the tree and 1 for those that only ask.
     """
     import numpy as np
 
@@ -150,13 +189,14 @@ def shard_links(fps, side, radius=RADIUS):
     out = []
 
     def link(a, b):
-        a, b = find(a), find(b)
-        if a != b:
-            parent[max(a, b)] = min(a, b)
+        x, y = find(a), find(b)
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+        if x != y or (len(fps) <= whole and a != b):
             out.append((a, b))
 
     if side is None and len(fps) <= 48:
-        small_shard(fps.tolist(), radius, link)
+        small_shard([int.from_bytes(r.tobytes(), "little") for r in fps], radius, link)
     else:
         every = np.arange(len(fps))
         tree, asks = (every, every) if side is None else (every[side == 0], every[side == 1])
@@ -178,18 +218,43 @@ def blocks_for(n: int) -> int:
     return blocks
 
 
-def links(nodes: DataFrame, n: int) -> DataFrame:
-    """(u, v): links between the fingerprints of ``nodes`` (fp), enough to connect what is connected."""
-    bounds = block_bounds(blocks_for(n))
-    keys = []
+def pigeonhole_keys(n: int) -> list:
+    """Shard keys of one-word fingerprints f0: no pair within RADIUS misses all of them."""
+    bounds, keys = block_bounds(blocks_for(n)), []
     for chosen in combinations(bounds, len(bounds) - RADIUS):
         mask = sum(((1 << (b - a)) - 1) << a for a, b in chosen)
-        keys.append(F.col("fp").bitwiseAND(F.lit(mask - (1 << 64) if mask >= 1 << 63 else mask).cast("long")))
-    dealt = nodes.select("fp", F.posexplode(F.array(*keys)).alias("t", "key"))
+        keys.append(F.col("f0").bitwiseAND(F.lit(mask - (1 << 64) if mask >= 1 << 63 else mask).cast("long")))
+    return keys
+
+
+def differing(similarity: float) -> float:
+    """Share of bits in which two equally long texts of a Jaccard similarity differ."""
+    return acos(2 * similarity / (1 + similarity)) / pi
+
+
+def random_keys(n: int, words: int = NARROW // 64) -> list:
+    """Shard keys from random bits: about four of n unrelated fingerprints to a shard, RECALL at the threshold."""
+    import random
+
+    rng, bits = random.Random(SEED), max(12, (n // 4).bit_length())
+    tables = ceil(log(1 - RECALL) / log(1 - (1 - differing(SIMILARITY)) ** bits))
+    keys = []
+    for _ in range(tables):
+        masks = [0] * words
+        for b in rng.sample(range(64 * words), bits):
+            masks[b // 64] |= 1 << b % 64
+        keys.append(F.xxhash64(*[F.col(f"f{k}").bitwiseAND(F.lit(m - (1 << 64) if m >= 1 << 63 else m).cast("long")) for k, m in enumerate(masks) if m]))
+    return keys
+
+
+def links(nodes: DataFrame, keys: list, radius: int, whole: int = 0) -> DataFrame:
+    """(u, v): links between nodes (id, f0, ...) within the radius that share a key, enough to connect what is connected."""
+    words = [c for c in nodes.columns if c != "id"]
+    dealt = nodes.select("id", *words, F.posexplode(F.array(*keys)).alias("t", "key"))
     large = dealt.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > SHARD).select("t", "key", F.ceil(F.col("n") / SHARD).cast("int").alias("c"))
-    spread = dealt.join(large, ["t", "key"], "left").withColumn("i", F.pmod(F.xxhash64("fp"), F.coalesce("c", F.lit(1))).cast("int"))
-    each = spread.select("t", "key", "fp", "i", F.explode(F.sequence(F.lit(0), F.coalesce("c", F.lit(1)) - 1)).alias("j"))
-    work = each.select("t", "key", F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "i", "fp").repartition("t", "key", "a", "b").sortWithinPartitions("t", "key", "a", "b")
+    spread = dealt.join(large, ["t", "key"], "left").withColumn("i", F.pmod(F.xxhash64("id"), F.coalesce("c", F.lit(1))).cast("int"))
+    each = spread.select("t", "key", "id", *words, "i", F.explode(F.sequence(F.lit(0), F.coalesce("c", F.lit(1)) - 1)).alias("j"))
+    work = each.select("t", "key", F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "i", "id", *words).repartition("t", "key", "a", "b").sortWithinPartitions("t", "key", "a", "b")
 
     def run(batches):
         import numpy as np
@@ -197,42 +262,64 @@ def links(nodes: DataFrame, n: int) -> DataFrame:
         def shard(rows):
             if rows.shape[1] < 2:
                 return []
-            fps = rows[5].view(np.uint64)
+            fps = np.ascontiguousarray(rows[6:].T).view(np.uint64)
             side = None if rows[2, 0] == rows[3, 0] else (rows[4] != rows[2]).astype(np.int8)
-            return [(rows[5, a], rows[5, b]) for a, b in shard_links(fps, side)]
+            return [(int(rows[5, a]), int(rows[5, b])) for a, b in shard_links(fps, side, radius, whole)]
 
-        held = np.empty((6, 0), np.int64)
+        held = np.empty((6 + len(words), 0), np.int64)
         for batch in batches:
             held = np.concatenate([held, np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])], axis=1)
             ends = np.flatnonzero((held[:4, 1:] != held[:4, :-1]).any(axis=0)) + 1
             if len(ends):
-                out = [x for part in np.split(held[:, : ends[-1]], ends[:-1], axis=1) for x in shard(part)]
-                held = held[:, ends[-1] :]
+                cut = [0, *ends.tolist()]
+                # Only shards of two or more have work.
+                out = [x for a, b in zip(cut, cut[1:]) if b - a > 1 for x in shard(held[:, a:b])]
+                held = held[:, cut[-1] :]
                 yield from edge_batch(out)
         yield from edge_batch(shard(held))
 
     def edge_batch(out):
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array([int(x) for x in c], pa.int64()) for c in zip(*out)], names=["u", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["u", "v"])
 
     return work.mapInArrow(run, "u long, v long")
 
 
-def near_groups(docs: DataFrame) -> DataFrame:
-    """(doc_id, fingerprint, component_id): fingerprint as 16 hex digits, one row per row of ``docs``."""
-    spark = docs.sparkSession
-    base = scratch(spark, "simhash")
-    held = save(fingerprints(docs), f"{base}/fingerprints")
-    nodes = save(held.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")), f"{base}/nodes")
-    star = components(links(nodes, nodes.count()))
-    named = nodes.join(star.select(F.col("u").alias("fp"), F.col("v").alias("hub")), "fp", "left").withColumn("hub", F.coalesce("hub", "fp"))
+def _named(nodes: DataFrame, edges: DataFrame, base: str) -> DataFrame:
+    """(id, component_id) of every node of ``nodes`` (id, least, ...)."""
+    star = components(edges)
+    named = nodes.select("id", "least").join(star.select(F.col("u").alias("id"), F.col("v").alias("hub")), "id", "left").withColumn("hub", F.coalesce("hub", "id"))
     named = save(named, f"{base}/named")
     hubs = named.groupBy("hub").agg(F.min("least").alias("component_id"))
-    found = save(named.join(hubs, "hub").select("fp", "component_id"), f"{base}/components")
-    return held.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return save(named.join(hubs, "hub").select("id", "component_id"), f"{base}/components")
+
+
+def near_groups(docs: DataFrame) -> DataFrame:
+    """(doc_id, fingerprint, component_id): fingerprint as 16 hex digits, one row per row of ``docs``."""
+    base = scratch(docs.sparkSession, "simhash")
+    held = save(fingerprints(docs).withColumn("id", F.col("f0")), f"{base}/fingerprints")
+    nodes = save(held.groupBy("id", "f0").agg(F.min("doc_id").alias("least")), f"{base}/nodes")
+    found = _named(nodes, links(nodes.select("id", "f0"), pigeonhole_keys(nodes.count()), RADIUS), base)
+    return held.join(found, "id").select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def near_copies(docs: DataFrame) -> DataFrame:
+    """(doc_id, component_id) per row of ``docs`` by wide fingerprints of five-word shingles."""
+    base, words = scratch(docs.sparkSession, "simhash"), [f"f{k}" for k in range(WIDE // 64)]
+    # A node's id is a hash of its fingerprint: equal ones could only join two nodes.
+    held = save(fingerprints(docs, COPY_SHINGLE, len(words), True).withColumn("id", F.xxhash64(*words)), f"{base}/fingerprints")
+    nodes = save(held.groupBy("id", *words).agg(F.min("doc_id").alias("least")), f"{base}/nodes")
+    p = differing(SIMILARITY)
+    spread = lambda bits: (p * (1 - p) * bits) ** 0.5
+    radius = round(p * NARROW + 2 * spread(NARROW))
+    found = save(links(nodes.select("id", *words[: NARROW // 64]), random_keys(nodes.count()), radius, WHOLE).distinct(), f"{base}/candidates")
+    side = lambda name: nodes.select(F.col("id").alias(name), F.array(*words).alias(f"_{name}"))
+    apart = F.aggregate(F.zip_with("_u", "_v", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    near = found.join(side("u"), "u").join(side("v"), "v").filter(apart <= round(p * WIDE + spread(WIDE))).select("u", "v")
+    return held.select("doc_id", "id").join(_named(nodes, near, base), "id").select("doc_id", "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose component has a smaller doc_id; rows with a null doc_id stay."""
-    dropped = near_groups(docs).filter("doc_id > component_id").select("doc_id").distinct()
+    """``docs`` without the rows whose near copies have a smaller doc_id; rows with a null doc_id stay."""
+    dropped = near_copies(docs).filter("doc_id > component_id").select("doc_id").distinct()
     return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)

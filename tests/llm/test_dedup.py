@@ -88,8 +88,6 @@ def test_fingerprints_and_groups_match_brute_force(spark):
     assert all(got[i]["fingerprint"] == f"{f:016x}" for i, f in fps.items())
     ids = sorted(fps)
     assert [got[i]["component_id"] for i in ids] == [ids[k] for k in reach([fps[i] for i in ids])]
-    stay = {r["doc_id"] for r in simhash.one_of_each(docs(spark, rows)).collect()}
-    assert stay == {r["component_id"] for r in got.values()}
     assert simhash.near_groups(docs(spark, rows).limit(0)).count() == 0
 
 
@@ -101,8 +99,8 @@ def test_links_connect_what_is_near(spark, monkeypatch, shard, n):
     fps = {int(centres[i % 4]) ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 5), replace=False)) for i in range(160)}
     fps = sorted(fps | {int(x) for x in rng.integers(0, 2**64, 40, dtype=np.uint64)})
     signed = lambda x: x - (1 << 64) if x >> 63 else x
-    nodes = spark.createDataFrame([(signed(x),) for x in fps], "fp long")
-    edges = simhash.links(nodes, n).collect()
+    nodes = spark.createDataFrame([(signed(x), signed(x)) for x in fps], "id long, f0 long")
+    edges = simhash.links(nodes, simhash.pigeonhole_keys(n), simhash.RADIUS).collect()
     assert all((r["u"] ^ r["v"]) & (2**64 - 1) for r in edges)
     at, root = {signed(x): i for i, x in enumerate(fps)}, list(range(len(fps)))
 
@@ -137,8 +135,9 @@ def test_both_trees_find_the_same(spark):
         return [find(i) for i in range(len(fps))]
 
     hits = []
+    fps = fps.reshape(-1, 1)
     simhash.BKTree(np.arange(len(fps))).walk(fps, np.arange(len(fps)), 3, lambda n, h: hits.extend((int(n), int(x)) for x in h))
-    assert classes(simhash.shard_links(fps, None)) == classes(hits) == reach(fps)
+    assert classes(simhash.shard_links(fps, None)) == classes(hits) == reach(fps[:, 0])
 
 
 def test_components_of_chains_and_stars(spark):
@@ -146,3 +145,30 @@ def test_components_of_chains_and_stars(spark):
     got = dict(map(tuple, components.components(spark.createDataFrame(edges, "u long, v long")).collect()))
     assert got == {i: 0 for i in range(1, 31)} | {k: 100 for k in range(101, 140)}
     assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_near_copies_go_and_clean_texts_stay(spark):
+    r = random.Random(6)
+    word = lambda: "".join(r.choices("etaoinshrdlu", k=r.randint(2, 9)))
+    rows, copies = [], set()
+    for i in range(60):
+        base = [word() for _ in range(r.randint(80, 600))]
+        rows.append((10 * i, " ".join(base)))
+        if i % 3 == 0:  # two words in a hundred exchanged: most five-word shingles stay
+            edited = [word() if r.random() < 0.015 else w for w in base]
+            rows.append((10 * i + 1, " ".join(edited)))
+            copies.add(10 * i + 1)
+        if i % 5 == 0:  # half of the words are new
+            rows.append((10 * i + 2, " ".join(base[: len(base) // 2] + [word() for _ in range(len(base) // 2)])))
+    d = docs(spark, rows + [(None, rows[0][1])])
+
+    def shingles(t):
+        w = t.lower().split()
+        return {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+
+    texts = dict(rows)
+    alike = {i for i in copies if len(shingles(texts[i]) & shingles(texts[i - 1])) / len(shingles(texts[i]) | shingles(texts[i - 1])) >= 0.8}
+    stay = {x["doc_id"] for x in simhash.one_of_each(d).collect()}
+    gone = set(texts) - stay
+    assert None in stay and gone <= copies and len(gone & alike) >= 0.9 * len(alike) and alike
+    assert simhash.one_of_each(d).columns == d.columns and simhash.one_of_each(d.limit(0)).count() == 0

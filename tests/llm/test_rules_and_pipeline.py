@@ -65,7 +65,7 @@ def test_pipeline_against_brute_force(spark):
     for i in sorted(left):
         last[left[i]["text"] or ""] = i
     left = {i: left[i] for i in last.values()}
-    groups = {r["doc_id"]: r["component_id"] for r in simhash.near_groups(docs.filter(docs.doc_id.isin(list(left)))).collect()}
+    groups = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(docs.filter(docs.doc_id.isin(list(left)))).collect()}
     left = {i: r for i, r in left.items() if groups[i] == i}
     mixed = mixing.materialise(spark.createDataFrame(list(left.values()), docs.schema))
     want = collections.Counter((r["doc_id"], hashlib.sha256(r["text"].encode()).hexdigest()) for r in mixed.collect())
