@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import Memo
+from strandlake.llm.common import Memo, small_batches
 
 MEMO_PIECES, MEMO_PAIRS = 150_000, 400_000
 ROWS = 512
@@ -176,9 +176,10 @@ def encode(docs: DataFrame, path: str, pattern: str, decoded: bool = False) -> D
                 if decoded:
                     columns.append(pa.array([bpe.decode(np.frombuffer(x, "<u4").tolist()) for x in ids], pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, names=names)
+        bpe.old = {}  # workers live on, for other stages too
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids binary" + ", decoded binary" * decoded)
+    return small_batches(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids binary" + ", decoded binary" * decoded)
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -193,7 +194,7 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
             out = [bpe.decode(np.frombuffer(x, "<u4").tolist()) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*names, "decoded"])
 
-    return encoded.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in encoded.dtypes) + ", decoded binary")
+    return small_batches(encoded).mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in encoded.dtypes) + ", decoded binary")
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import packed
+from strandlake.llm.common import fresh, small_batches
 
 FOLDS = 5
 DOCS, CHARS, TRAIN_SEGMENTS = 600, 3000, 40_000
@@ -235,10 +235,10 @@ class Reader:
         return best, score
 
 
-def annotate(docs: DataFrame, net: Network | None) -> DataFrame:
-    """``docs`` with two more columns, lang_pred and score, which it must not have yet."""
+def annotate(docs: DataFrame, net: Network | None, label: str = "lang_pred", sure: str = "score") -> DataFrame:
+    """``docs`` with two more columns of new names: the predicted language and its score."""
     if net is None:
-        return docs.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)})
+        return docs.withColumns({label: F.lit(UNKNOWN), sure: F.lit(0.0)})
     names, columns = [*net.languages, UNKNOWN], docs.columns
 
     def run(batches):
@@ -246,10 +246,10 @@ def annotate(docs: DataFrame, net: Network | None) -> DataFrame:
         for batch in batches:
             for i in range(0, batch.num_rows, 128):
                 part = batch.slice(i, 128)
-                best, sure = reader.documents(part.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([names[b] for b in best], pa.string()), pa.array(sure)], names=[*columns, "lang_pred", "score"])
+                best, scores = reader.documents(part.column("text").to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([names[b] for b in best], pa.string()), pa.array(scores)], names=[*columns, label, sure])
 
-    return docs.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in docs.dtypes) + ", lang_pred string, score double")
+    return small_batches(docs).mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in docs.dtypes) + f", `{label}` string, `{sure}` double")
 
 
 def predict(docs: DataFrame, net: Network | None) -> DataFrame:
@@ -264,5 +264,6 @@ def identified(docs: DataFrame) -> DataFrame:
 
 def accepted(docs: DataFrame, least: float = 0.4) -> DataFrame:
     """The rows of ``docs`` whose language is known with at least ``least``; the others are rejected."""
-    named = annotate(docs.select(packed(docs), "text"), train(sample(docs)))
-    return named.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("_row.*")
+    label, sure = fresh(docs, "lang_pred"), fresh(docs, "score")
+    named = annotate(docs, train(sample(docs)), label, sure)
+    return named.filter((F.col(label) != UNKNOWN) & (F.col(sure) >= least)).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -28,7 +28,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from strandlake.llm.common import save, scratch
+from strandlake.llm.common import save, scratch, small_batches
 
 BLOCK, RATE, ROWS = 64, 8000, 256
 DECLARED = "application/octet-stream"
@@ -231,7 +231,7 @@ def encode(docs: DataFrame) -> DataFrame:
                     names=["doc_id", "n_bytes", "declared", "media"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_bytes long, declared string, media binary")
+    return small_batches(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_bytes long, declared string, media binary")
 
 
 def store(docs: DataFrame) -> DataFrame:
@@ -271,6 +271,6 @@ def features(media: DataFrame) -> DataFrame:
                 rows = [row(*x) for x in zip(part.column("media").to_pylist(), part.column("declared").to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("n_bytes"), *[pa.array(c, k) for c, k in zip(zip(*rows), kinds)]], names=["doc_id", "n_bytes", *names])
 
-    return media.select("doc_id", "n_bytes", "declared", "media").mapInArrow(
+    return small_batches(media).select("doc_id", "n_bytes", "declared", "media").mapInArrow(
         run, f"doc_id {dict(media.dtypes)['doc_id']}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     )

@@ -223,4 +223,4 @@ def materialise(docs: DataFrame, shards: int | None = None) -> DataFrame:
     if "n_chars" in docs.columns:
         row = row.withField("n_chars", F.length(row["text"]).cast(dict(docs.dtypes)["n_chars"]))
     out = joined.select(row.alias("_row"), F.element_at("_draws", 1)["shard"].alias("_shard"), "_epoch")
-    return out.repartition(count, "_shard").sortWithinPartitions("_shard", F.xxhash64(F.lit(SEED), "_row.doc_id", "_epoch")).select("_row.*")
+    return out.repartitionById(count, F.col("_shard")).sortWithinPartitions("_shard", F.xxhash64(F.lit(SEED), "_row.doc_id", "_epoch")).select("_row.*")

@@ -33,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandlake.llm.common import small_batches
+
 KINDS = ("email", "ip", "card", "phone")
 DOCS, SEED, SURE = 1500, 3, 0.95
 ROUNDS, DAMPING, STEPS, RATE, HIDE = 8, 0.5, 150, 0.05, 0.4
@@ -311,7 +313,7 @@ def personal_data(docs: DataFrame, field: Field | None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *counts, digests, pa.array([joined(e) for _, e in got], pa.string())], names=names)
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return small_batches(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
 def identified(docs: DataFrame) -> DataFrame:

@@ -44,7 +44,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import Memo, open_fs, remove, save, scratch
+from strandlake.llm.common import Memo, open_fs, remove, save, scratch, small_batches
 
 WINDOW, CUT_BITS, MIN_IDS, MAX_IDS = 16, 10, 256, 8192
 MEMO_WORDS = 500_000
@@ -196,7 +196,7 @@ def encode(docs: DataFrame, path: str, end_id: int) -> DataFrame:
                     names=["doc_id", "n_tokens", "digests", "payloads"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, digests array<binary>, payloads array<binary>")
+    return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, digests array<binary>, payloads array<binary>")
 
 
 def _writer(folder: str, magic: bytes, entries):

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import open_fs, save, scratch
+from strandlake.llm.common import open_fs, save, scratch, small_batches
 
 REVISIT_BYTES = 100
 SPLIT_BYTES = 8 << 20
@@ -97,7 +97,7 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
             out.close()
             yield pa.RecordBatch.from_pydict({"file": [f"{folder}/{name}"], "bytes": [size], "records": [n]})
 
-    return save(classified(pages).mapInArrow(run, MANIFEST), f"{folder}-manifest")
+    return save(small_batches(classified(pages)).mapInArrow(run, MANIFEST), f"{folder}-manifest")
 
 
 def parsed(data: bytes) -> dict | None:
