@@ -17,9 +17,53 @@ def similarity(a: DataFrame, b: DataFrame, id_a: str = "a", id_b: str = "b", key
     return left.join(right, "kmer").groupBy(id_a, id_b).agg(F.sum(F.col("_wa") * F.col("_wb")).alias("s"))
 
 
+#: Cells (words times motifs) up to which a motif set is shipped to the tasks as one matrix.
+MATRIX_CELLS = 4_000_000
+
+
 def features(sequences: DataFrame, motifs: DataFrame) -> DataFrame:
-    """(seq_id, motif_id, bc)."""
-    return similarity(sequences, motifs, "seq_id", "motif_id").withColumnRenamed("s", "bc")
+    """(seq_id, motif_id, bc) of the pairs that share a word.
+
+    The join of ``similarity`` makes a row for every word a sequence shares
+    with every motif.  A motif set of at most ``MATRIX_CELLS`` cells, which is
+    counted first, goes to the tasks as a matrix instead, and each sequence's
+    words become one row that is multiplied there; the grouping is by the
+    sequence, as the distribution's own, so nothing more is shuffled.
+    """
+    size = motifs.agg(F.countDistinct("kmer") * F.countDistinct("seq_id")).first()[0]
+    if not size or size > MATRIX_CELLS:
+        return similarity(sequences, motifs, "seq_id", "motif_id").withColumnRenamed("s", "bc")
+    return _multiplied(sequences, motifs.select("seq_id", "kmer", "w").toPandas(), dict(sequences.dtypes)["seq_id"], dict(motifs.dtypes)["seq_id"])
+
+
+def _multiplied(sequences: DataFrame, cells, kind: str, motif_kind: str) -> DataFrame:
+    import numpy as np
+    import pyarrow as pa
+
+    words, names = sorted(set(cells["kmer"])), sorted(set(cells["seq_id"]))
+    matrix = np.zeros((len(words) + 1, len(names)))  # the last row is for words no motif has
+    at = {k: i for i, k in enumerate(words)}
+    np.add.at(matrix, (cells["kmer"].map(at).to_numpy(), cells["seq_id"].map({m: j for j, m in enumerate(names)}).to_numpy()), cells["w"].to_numpy(float))
+    rows = sequences.groupBy("seq_id").agg(F.collect_list(F.struct("kmer", "w")).alias("x"))
+
+    def run(batches):
+        import pyarrow.compute as pc
+
+        table, ids = pa.array(words), np.array(names)
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                x = part.column("x")
+                sizes = pc.list_value_length(x).to_numpy(zero_copy_only=False).astype(np.int64)
+                flat = pc.list_flatten(x)
+                kmer, w = pc.struct_field(flat, "kmer"), pc.struct_field(flat, "w").to_numpy(zero_copy_only=False)
+                index = pc.fill_null(pc.index_in(kmer, value_set=table), len(words)).to_numpy(zero_copy_only=False)
+                ends = np.cumsum(sizes)
+                bc = np.stack([w[a:b] @ matrix[index[a:b]] for a, b in zip(ends - sizes, ends)])
+                row, col = np.nonzero(bc > 0)
+                yield pa.RecordBatch.from_arrays([part.column("seq_id").take(pa.array(row)), pa.array(ids[col]), pa.array(bc[row, col])], names=["seq_id", "motif_id", "bc"])
+
+    return rows.mapInArrow(run, f"seq_id {kind}, motif_id {motif_kind}, bc double")
 
 
 def pairs(a: DataFrame, b: DataFrame, id_a: str = "a", id_b: str = "b", key: str = "seq_id") -> DataFrame:

@@ -117,3 +117,12 @@ def test_spaces_have_to_agree(spark):
 def test_translation(spark):
     row = seqs(spark, "ATGTGATAAAGNAC").select(S.translate_codons("seq").alias("a"), S.translate_codons("seq", code=S.MITOCHONDRIAL_CODE).alias("m"), S.translate_codons(F.lit("AT")).alias("s")).first()
     assert tuple(row) == ("M**X", "MW*X", "")
+
+
+def test_both_ways_to_features_agree(spark, monkeypatch):
+    d = C.distribution(seqs(spark, "ACGTACG", "TTTTTT", "ACGTTT", "NN", "GGGG"), KmerSpace(2))
+    m = C.distribution(seqs(spark, "ACGT", "TTTA"), KmerSpace(2))
+    found = lambda: {(r["seq_id"], r["motif_id"]): r["bc"] for r in M.features(d, m).collect()}
+    one = found()
+    monkeypatch.setattr(M, "MATRIX_CELLS", 0)
+    assert one == pytest.approx(found()) and (4, 0) not in one
