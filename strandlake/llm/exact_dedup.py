@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import packed, text_or_empty
+from strandlake.llm.common import packed, save, scratch, text_or_empty
 
 MIN_CHUNK, MAX_CHUNK, CUT = 256, 16384, (3, 2, 0, 3, 1)
 
@@ -61,8 +61,11 @@ def recipes(docs: DataFrame) -> DataFrame:
         F.sha2(text_or_empty(), 256).alias("text_sha256"),
         F.transform(chunks(text_or_empty()), chunk_id).alias("recipe"),
     )
+    doubted = save(ambiguous_ids(docs), scratch(docs.sparkSession, "ambiguous"))
+    if doubted.isEmpty():  # as good as always: the identifiers are verified, nothing is joined
+        return base.withColumn("tag", F.lit(None).cast("string"))
     used = base.select("doc_id", F.explode(F.array_distinct("recipe")).alias("id"))
-    doubtful = used.join(ambiguous_ids(docs), "id", "left_semi").select(F.col("doc_id").alias("_doubtful")).distinct()
+    doubtful = used.join(doubted, "id", "left_semi").select(F.col("doc_id").alias("_doubtful")).distinct()
     return base.join(doubtful, base.doc_id.eqNullSafe(F.col("_doubtful")), "left").select(
         "doc_id", "text_sha256", "recipe", F.when(F.col("_doubtful").isNotNull(), F.col("text_sha256")).alias("tag")
     )
