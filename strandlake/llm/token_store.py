@@ -37,6 +37,7 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from functools import lru_cache
 
 import pyarrow as pa
@@ -46,7 +47,7 @@ from pyspark.sql import functions as F
 
 from strandlake.llm.common import Memo, open_fs, remove, save, scratch, small_batches
 
-WINDOW, CUT_BITS, MIN_IDS, MAX_IDS = 16, 10, 256, 8192
+WINDOW, CUT_BITS, MIN_IDS, MAX_IDS = 8, 10, 256, 8192
 MEMO_WORDS = 500_000
 PACK, RECIPE = b"TOKPACK1", b"TOKRECI1"
 
@@ -102,8 +103,7 @@ class WordEncoder(Memo):
 
     def part(self, text: str) -> bytes:
         """Ids of one pre-token in the vocabulary's letters."""
-        ids = [t.id for t in self.model.tokenize(text)]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
 
     def encode(self, text: str) -> bytes:
         return b"".join(map(self.__getitem__, runs(text)))
@@ -125,10 +125,10 @@ def load(path: str) -> WordEncoder:
 
 @lru_cache(maxsize=1)
 def gear():
-    """A random 64-bit value for each residue of an id, fixed by its seed."""
+    """A random 32-bit value for each residue of an id, fixed by its seed."""
     import numpy as np
 
-    return np.random.default_rng(20).integers(0, 2**64, 65536, dtype=np.uint64)
+    return np.random.default_rng(20).integers(0, 2**32, 65536, dtype=np.uint32)
 
 
 def marks(ids):
@@ -138,8 +138,8 @@ def marks(ids):
     g, n = gear()[ids & 0xFFFF], len(ids)
     h = g.copy()
     for k in range(1, min(WINDOW, n)):
-        h[k:] += g[: n - k] << np.uint64(k * (64 // WINDOW))
-    return np.flatnonzero(h >> np.uint64(64 - CUT_BITS) == 0) + 1
+        h[k:] += g[: n - k] << np.uint32(k * (32 // WINDOW))
+    return np.flatnonzero(h < 1 << (32 - CUT_BITS)) + 1
 
 
 def cuts(n: int, ends: list[int]) -> list[int]:
