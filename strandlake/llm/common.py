@@ -72,6 +72,15 @@ def packed(df: DataFrame, name: str = "_row") -> Column:
     return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(name)
 
 
+#: Rows of a small-rowed table to a file and a task.
+FILE_ROWS = 50_000
+
+
+def few_files(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, known to have at most about ``rows`` small rows, in as many partitions as they need."""
+    return df.coalesce(max(1, -(-rows // FILE_ROWS)))
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, lengthened until no column of ``df`` has it."""
     while name.lower() in [c.lower() for c in df.columns]:
@@ -93,14 +102,11 @@ class Memo(dict):
     def find(self, key):
         raise NotImplementedError
 
-    def keep(self, key) -> bool:
-        return len(key) <= 64
-
     def __missing__(self, key):
         found = self.old.get(key)
         if found is None:
             found = self.find(key)
-            if not self.keep(key):
+            if len(key) > 64:
                 return found
         if len(self) >= self.limit:
             self.old = dict(self)

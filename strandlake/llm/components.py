@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import save, scratch
+from strandlake.llm.common import few_files, save, scratch
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -28,17 +28,19 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return across.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, most: int) -> DataFrame:
     """(u, v) with v the smallest node reachable from u, for every u that is not the smallest itself.
 
-    ``edges`` has two columns u and v of one orderable type; loops and repeats are harmless.
+    ``edges`` has two columns u and v of one orderable type; loops and repeats
+    are harmless.  ``most``: about how many edges there are at the most, which
+    only sets the number of files.
     """
     base = scratch(edges.sparkSession, "components")
-    held = save(edges.select("u", "v").filter("u != v").distinct(), f"{base}/0")
-    seen, turn = None, 0
+    held = save(few_files(edges.select("u", "v").filter("u != v").distinct(), most), f"{base}/0")
+    seen, turn, n = None, 0, held.count()
     while True:
         turn += 1
-        held = save(_small_star(_large_star(held)), f"{base}/{turn}")
+        held = save(few_files(_small_star(_large_star(held)), 2 * n), f"{base}/{turn}")
         now = held.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             return held

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import save, scratch, small_batches
+from strandlake.llm.common import few_files, save, scratch, small_batches
 from strandlake.llm.components import components
 
 BITS, RADIUS, SHINGLE, SEED = 64, 3, 3, 42
@@ -285,21 +285,27 @@ def links(nodes: DataFrame, keys: list, radius: int, whole: int = 0) -> DataFram
     return work.mapInArrow(run, "u long, v long")
 
 
-def _named(nodes: DataFrame, edges: DataFrame, base: str) -> DataFrame:
-    """(id, component_id) of every node of ``nodes`` (id, least, ...)."""
-    star = components(edges)
+def _named(nodes: DataFrame, edges: DataFrame, n: int, base: str) -> DataFrame:
+    """(id, component_id) of every one of the n nodes (id, least, ...)."""
+    star = components(edges, n)
     named = nodes.select("id", "least").join(star.select(F.col("u").alias("id"), F.col("v").alias("hub")), "id", "left").withColumn("hub", F.coalesce("hub", "id"))
-    named = save(named, f"{base}/named")
+    named = save(few_files(named, n), f"{base}/named")
     hubs = named.groupBy("hub").agg(F.min("least").alias("component_id"))
-    return save(named.join(hubs, "hub").select("id", "component_id"), f"{base}/components")
+    return save(few_files(named.join(hubs, "hub").select("id", "component_id"), n), f"{base}/components")
+
+
+def _nodes(held: DataFrame, words: list[str], base: str) -> tuple[DataFrame, int]:
+    """((id, words, least), how many): one row per fingerprint."""
+    nodes = save(few_files(held.groupBy("id", *words).agg(F.min("doc_id").alias("least")), held.count()), f"{base}/nodes")
+    return nodes, nodes.count()
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint, component_id): fingerprint as 16 hex digits, one row per row of ``docs``."""
     base = scratch(docs.sparkSession, "simhash")
     held = save(fingerprints(docs).withColumn("id", F.col("f0")), f"{base}/fingerprints")
-    nodes = save(held.groupBy("id", "f0").agg(F.min("doc_id").alias("least")), f"{base}/nodes")
-    found = _named(nodes, links(nodes.select("id", "f0"), pigeonhole_keys(nodes.count()), RADIUS), base)
+    nodes, n = _nodes(held, ["f0"], base)
+    found = _named(nodes, links(nodes.select("id", "f0"), pigeonhole_keys(n), RADIUS), n, base)
     return held.join(found, "id").select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -308,15 +314,15 @@ def near_copies(docs: DataFrame) -> DataFrame:
     base, words = scratch(docs.sparkSession, "simhash"), [f"f{k}" for k in range(WIDE // 64)]
     # A node's id is a hash of its fingerprint: equal ones could only join two nodes.
     held = save(fingerprints(docs, COPY_SHINGLE, len(words), True).withColumn("id", F.xxhash64(*words)), f"{base}/fingerprints")
-    nodes = save(held.groupBy("id", *words).agg(F.min("doc_id").alias("least")), f"{base}/nodes")
+    nodes, n = _nodes(held, words, base)
     p = differing(SIMILARITY)
     spread = lambda bits: (p * (1 - p) * bits) ** 0.5
     radius = round(p * NARROW + 2 * spread(NARROW))
-    found = save(links(nodes.select("id", *words[: NARROW // 64]), random_keys(nodes.count()), radius, WHOLE).distinct(), f"{base}/candidates")
+    found = save(few_files(links(nodes.select("id", *words[: NARROW // 64]), random_keys(n), radius, WHOLE).distinct(), 2 * n), f"{base}/candidates")
     side = lambda name: nodes.select(F.col("id").alias(name), F.array(*words).alias(f"_{name}"))
     apart = F.aggregate(F.zip_with("_u", "_v", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     near = found.join(side("u"), "u").join(side("v"), "v").filter(apart <= round(p * WIDE + spread(WIDE))).select("u", "v")
-    return held.select("doc_id", "id").join(_named(nodes, near, base), "id").select("doc_id", "component_id")
+    return held.select("doc_id", "id").join(_named(nodes, near, n, base), "id").select("doc_id", "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

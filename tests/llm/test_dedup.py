@@ -142,9 +142,9 @@ def test_both_trees_find_the_same(spark):
 
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, k) for k in range(101, 140)] + [(7, 7)]
-    got = dict(map(tuple, components.components(spark.createDataFrame(edges, "u long, v long")).collect()))
+    got = dict(map(tuple, components.components(spark.createDataFrame(edges, "u long, v long"), 80).collect()))
     assert got == {i: 0 for i in range(1, 31)} | {k: 100 for k in range(101, 140)}
-    assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
+    assert components.components(spark.createDataFrame([], "u long, v long"), 0).count() == 0
 
 
 def test_near_copies_go_and_clean_texts_stay(spark):
