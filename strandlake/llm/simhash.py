@@ -5,11 +5,11 @@ a fingerprint bit is set where over half the hashes have it; fingerprints that
 differ in at most ``RADIUS`` bits link, and a document's component is the
 smallest doc_id reachable.
 
-``near_copies`` serves filtering: distinct shingles of five words and
-fingerprints of ``WIDE`` bits, whose distance tells the similarity of two
-shingle sets to about 0.02, so that texts with 0.8 or more link.  (In 64 bits
-such texts differ in about ten.)  Its trees work on the first ``NARROW`` bits
-with a wider radius, and the whole fingerprints then confirm each link.
+``near_copies`` serves filtering: texts link whose sets of distinct five-word
+shingles have a Jaccard similarity of 0.8 or more.  Fingerprints of ``NARROW``
+bits with a wider radius gather candidates (in 64 bits such texts differ in
+about ten), and within each component of candidates the shingle sets
+themselves decide, every pair that isn't connected yet being compared.
 
 Equal fingerprints are one node.  Shards hold nodes that agree on chosen bits.
 For ``near_groups`` two linked fingerprints agree on all but RADIUS of
@@ -46,9 +46,9 @@ from strandlake.llm.components import components
 
 BITS, RADIUS, SHINGLE, SEED = 64, 3, 3, 42
 SHARD = 4096
-WIDE, NARROW, COPY_SHINGLE, SIMILARITY, RECALL = 1024, 256, 5, 0.8, 0.97
-#: Up to so many nodes a shard gives all its links to be confirmed, not only a forest.
-WHOLE = 16
+NARROW, COPY_SHINGLE, SIMILARITY, RECALL = 256, 5, 0.8, 0.97
+#: Texts and characters of a chunk of candidates that are confirmed against each other.
+CHUNK, CHUNK_CHARS = 1024, 2_000_000
 
 
 def hashes(text: str | None, xxh, shingle: int = SHINGLE) -> list[int]:
@@ -171,10 +171,10 @@ def small_shard(fps: list[int], radius: int, link) -> None:
             here = here[1][d]
 
 
-def shard_links(fps, side, radius=RADIUS, whole=0):
+def shard_links(fps, side, radius=RADIUS):
     """Links (a, b) of one shard that keep its connections: a spanning forest.
 
-    Shards of up to ``whole`` nodes give every link.  fps: (n, words) of uint64.  side: None, or 0 for the fingerprints of the tree and 1 for those that only ask.
+    fps: (n, words) of uint64.  side: None, or 0 for the fingerprints of the tree and 1 for those that only ask.
     """
     import numpy as np
 
@@ -192,7 +192,6 @@ def shard_links(fps, side, radius=RADIUS, whole=0):
         x, y = find(a), find(b)
         if x != y:
             parent[max(x, y)] = min(x, y)
-        if x != y or (len(fps) <= whole and a != b):
             out.append((a, b))
 
     if side is None and len(fps) <= 48:
@@ -247,7 +246,7 @@ def random_keys(n: int, words: int = NARROW // 64) -> list:
     return keys
 
 
-def links(nodes: DataFrame, keys: list, radius: int, whole: int = 0) -> DataFrame:
+def links(nodes: DataFrame, keys: list, radius: int) -> DataFrame:
     """(u, v): links between nodes (id, f0, ...) within the radius that share a key, enough to connect what is connected."""
     words = [c for c in nodes.columns if c != "id"]
     dealt = nodes.select("id", *words, F.posexplode(F.array(*keys)).alias("t", "key"))
@@ -264,7 +263,7 @@ def links(nodes: DataFrame, keys: list, radius: int, whole: int = 0) -> DataFram
                 return []
             fps = np.ascontiguousarray(rows[6:].T).view(np.uint64)
             side = None if rows[2, 0] == rows[3, 0] else (rows[4] != rows[2]).astype(np.int8)
-            return [(int(rows[5, a]), int(rows[5, b])) for a, b in shard_links(fps, side, radius, whole)]
+            return [(int(rows[5, a]), int(rows[5, b])) for a, b in shard_links(fps, side, radius)]
 
         held = np.empty((6 + len(words), 0), np.int64)
         for batch in batches:
@@ -309,20 +308,140 @@ def near_groups(docs: DataFrame) -> DataFrame:
     return held.join(found, "id").select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def similar(a, b) -> bool:
+    """Whether two sets have a Jaccard similarity of SIMILARITY or more."""
+    common = len(a & b)
+    return common / (len(a) + len(b) - common) >= SIMILARITY
+
+
+def few_similar(sets: list[set]) -> list[tuple[int, int]]:
+    """A spanning forest of the similar ones among few sets."""
+    out, left = [], list(range(len(sets)))
+    while left:
+        todo = [left.pop()]
+        while todo and left:
+            at = todo.pop()
+            hits = [i for i in left if similar(sets[at], sets[i])]
+            out += [(at, i) for i in hits]
+            left = [i for i in left if i not in hits]
+            todo += hits
+    return out
+
+
+def many_similar(sets: list) -> list[tuple[int, int]]:
+    """The same for many sets, arrays of distinct hashes, by lists of the sets that hold a hash.
+
+    A set asks only those not reached yet.  One that is similar to it shares one of
+    its rarest hashes, as many as may be missing and one more, so these are looked up first.
+    """
+    import numpy as np
+
+    sizes, n = np.array([len(x) for x in sets]), len(sets)
+    owner = np.repeat(np.arange(n), sizes)
+    _, token, held_by = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    order = np.lexsort((held_by[token], owner))  # a set's rarest hashes first
+    token, ends = token[order], np.cumsum(sizes)
+    left = np.ones(n, bool)
+
+    def listed():
+        keep = left[owner]
+        t, o = token[keep], owner[keep]
+        by = np.argsort(t, kind="stable")
+        return o[by], np.searchsorted(t[by], np.arange(len(held_by) + 1)), int(left.sum())
+
+    def holders(tokens):
+        begin, count = bounds[tokens], bounds[tokens + 1] - bounds[tokens]
+        at = np.repeat(begin - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(int(count.sum()))
+        return np.bincount(lists[at], minlength=n)
+
+    (lists, bounds, listed_n), remain, out = listed(), n, []
+    for root in range(n):
+        if not left[root]:
+            continue
+        left[root], remain, todo = False, remain - 1, [root]
+        while todo and remain:
+            if remain * 2 <= listed_n:
+                lists, bounds, listed_n = listed()
+            at = todo.pop()
+            mine = token[ends[at] - sizes[at] : ends[at]]
+            rare = len(mine) - ceil(SIMILARITY * len(mine) - 1e-6) + 1
+            some = holders(mine[:rare])
+            if not (some.astype(bool) & left).any():
+                continue
+            common = some + holders(mine[rare:])
+            hits = np.flatnonzero(left & (common / (sizes[at] + sizes - common) >= SIMILARITY)).tolist()
+            out += [(at, i) for i in hits]
+            left[hits] = False
+            remain -= len(hits)
+            todo += hits
+    return out
+
+
+def confirmed(texts: DataFrame) -> DataFrame:
+    """(u, v): links between texts (hub, c, id, text) of one hub whose shingle sets are similar, enough to connect what is.
+
+    All pairs of a hub's texts are looked at.  Its texts are dealt into c chunks,
+    and each pair of chunks is a task's work of its own.
+    """
+    dealt = texts.withColumn("i", F.pmod(F.xxhash64("id", F.lit(1)), F.col("c")).cast("int"))
+    each = dealt.withColumn("j", F.explode(F.expr("if(c = 1, array(0), filter(sequence(0, c - 1), j -> j != i))")))
+    work = each.select("hub", F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "id", "text").repartition("hub", "a", "b").sortWithinPartitions("hub", "a", "b")
+
+    def run(batches):
+        import numpy as np
+        import xxhash
+
+        def group(ids, sets):
+            if len(ids) <= 32:
+                found = few_similar([set(x.tolist()) for x in sets])
+            else:
+                found = many_similar(sets)
+            return [(ids[a], ids[b]) for a, b in found]
+
+        key, ids, sets, out = None, [], [], []
+        for batch in batches:
+            for i in range(0, batch.num_rows, 128):
+                part = batch.slice(i, 128).to_pydict()
+                for hub, a, b, at, text in zip(*(part[c] for c in ("hub", "a", "b", "id", "text"))):
+                    if (hub, a, b) != key:
+                        out += group(ids, sets)
+                        key, ids, sets = (hub, a, b), [], []
+                    ids.append(at)
+                    # Texts without words are alike.
+                    sets.append(np.unique(np.array(hashes(text, xxhash.xxh64_intdigest, COPY_SHINGLE) or [0], np.uint64)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["u", "v"])
+                out = []
+        out = group(ids, sets)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["u", "v"])
+
+    return work.mapInArrow(run, "u long, v long")
+
+
 def near_copies(docs: DataFrame) -> DataFrame:
-    """(doc_id, component_id) per row of ``docs`` by wide fingerprints of five-word shingles."""
-    base, words = scratch(docs.sparkSession, "simhash"), [f"f{k}" for k in range(WIDE // 64)]
-    # A node's id is a hash of its fingerprint: equal ones could only join two nodes.
-    held = save(fingerprints(docs, COPY_SHINGLE, len(words), True).withColumn("id", F.xxhash64(*words)), f"{base}/fingerprints")
+    """(doc_id, component_id) per row of ``docs`` by the exact similarity of sets of five-word shingles.
+
+    Fingerprints only gather texts: a link between candidates says nothing but
+    that both lie in one gathering, so a forest of them is enough.
+    """
+    base, words = scratch(docs.sparkSession, "simhash"), [f"f{k}" for k in range(NARROW // 64)]
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("key"), F.length(F.coalesce("text", F.lit(""))).cast("long").alias("size"))
+    marked = fingerprints(texts.withColumn("doc_id", F.struct("doc_id", "key", "size")), COPY_SHINGLE, len(words), True)
+    held = save(marked.select("doc_id.*", *words, F.xxhash64(*words).alias("id")), f"{base}/fingerprints")
     nodes, n = _nodes(held, words, base)
     p = differing(SIMILARITY)
-    spread = lambda bits: (p * (1 - p) * bits) ** 0.5
-    radius = round(p * NARROW + 2 * spread(NARROW))
-    found = save(few_files(links(nodes.select("id", *words[: NARROW // 64]), random_keys(n), radius, WHOLE).distinct(), 2 * n), f"{base}/candidates")
-    side = lambda name: nodes.select(F.col("id").alias(name), F.array(*words).alias(f"_{name}"))
-    apart = F.aggregate(F.zip_with("_u", "_v", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    near = found.join(side("u"), "u").join(side("v"), "v").filter(apart <= round(p * WIDE + spread(WIDE))).select("u", "v")
-    return held.select("doc_id", "id").join(_named(nodes, near, n, base), "id").select("doc_id", "component_id")
+    radius = round(p * NARROW + 2 * (p * (1 - p) * NARROW) ** 0.5)
+    found = save(few_files(links(nodes.select("id", *words), random_keys(n), radius).distinct(), 2 * n), f"{base}/candidates")
+    star = components(found, n).select(F.col("u").alias("id"), F.col("v").alias("hub"))
+    each = held.groupBy("key", "id").agg(F.min("doc_id").alias("least"), F.max("size").alias("size"))
+    each = save(few_files(each.join(star, "id", "left").select(F.col("key").alias("id"), "least", "size", F.coalesce("hub", "id").alias("hub")), n), f"{base}/texts")
+    chunks = F.greatest(F.ceil(F.count(F.lit(1)) / CHUNK), F.ceil(F.sum("size") / CHUNK_CHARS)).cast("int")
+    hubs = each.groupBy("hub").agg(F.count(F.lit(1)).alias("n"), F.greatest(chunks, F.lit(1)).alias("c")).filter("n > 1").select("hub", "c")
+    wanted = save(few_files(each.join(hubs, "hub").select("id", "hub", "c"), n), f"{base}/wanted")
+    near = confirmed(texts.select(F.col("key").alias("id"), "text").join(wanted, "id").dropDuplicates(["id"]))
+    named = _named(each.select("id", "least"), save(few_files(near.distinct(), n), f"{base}/links"), n, base)
+    return held.select("doc_id", F.col("key").alias("id")).join(named, "id").select("doc_id", "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

@@ -172,3 +172,36 @@ def test_near_copies_go_and_clean_texts_stay(spark):
     gone = set(texts) - stay
     assert None in stay and gone <= copies and len(gone & alike) >= 0.9 * len(alike) and alike
     assert simhash.one_of_each(d).columns == d.columns and simhash.one_of_each(d.limit(0)).count() == 0
+
+
+def test_similar_sets_connect_as_by_brute_force(monkeypatch):
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 2**63, 60, np.uint64)
+    for n in (2, 40, 150):
+        sets = [np.unique(np.where(rng.random(60) < rng.choice([0.02, 0.08, 0.12]), rng.integers(0, 2**63, 60, np.uint64), base)) for _ in range(n)]
+        sets += [sets[0], np.array([0], np.uint64), np.array([0], np.uint64), base[:5], base[:4]]
+        plain = [set(x.tolist()) for x in sets]
+        near = [(i, j) for i, a in enumerate(plain) for j, b in enumerate(plain) if i < j and len(a & b) * 5 >= len(a | b) * 4]
+
+        def groups(edges):
+            at = list(range(len(plain)))
+            for a, b in edges:
+                at = [at[a] if x == at[b] else x for x in at]
+            return sorted(map(tuple, ([i for i, x in enumerate(at) if x == k] for k in set(at))))
+
+        for found in (simhash.many_similar(sets), simhash.few_similar(plain)):
+            assert set(map(tuple, map(sorted, found))) <= set(near) and len(found) < len(plain)
+            assert groups(found) == groups(near)
+
+
+@pytest.mark.parametrize("chunk", [1024, 50])
+def test_pairs_that_share_a_template_are_found(spark, monkeypatch, chunk):
+    monkeypatch.setattr(simhash, "CHUNK", chunk)
+    r = random.Random(9)
+    words = lambda n: ["".join(r.choices("etaoinshrdlu", k=8)) for _ in range(n)]
+    template, rows = words(418), []
+    for i in range(150):  # similarity 0.85 in a pair, 0.72 across pairs
+        pair = words(41)
+        rows += [(2 * i + k, " ".join(template + pair + words(41))) for k in (0, 1)]
+    got = {x["doc_id"]: x["component_id"] for x in simhash.near_copies(docs(spark, rows)).collect()}
+    assert got == {i: i - i % 2 for i, _ in rows}
