@@ -431,7 +431,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     held = save(marked.select("doc_id.*", *words, F.xxhash64(*words).alias("id")), f"{base}/fingerprints")
     nodes, n = _nodes(held, words, base)
     p = differing(SIMILARITY)
-    radius = round(p * NARROW + 2 * (p * (1 - p) * NARROW) ** 0.5)
+    radius = round(p * NARROW + 4 * (p * (1 - p) * NARROW) ** 0.5)
     found = save(few_files(links(nodes.select("id", *words), random_keys(n), radius).distinct(), 2 * n), f"{base}/candidates")
     star = components(found, n).select(F.col("u").alias("id"), F.col("v").alias("hub"))
     each = held.groupBy("key", "id").agg(F.min("doc_id").alias("least"), F.max("size").alias("size"))

@@ -205,3 +205,18 @@ def test_pairs_that_share_a_template_are_found(spark, monkeypatch, chunk):
         rows += [(2 * i + k, " ".join(template + pair + words(41))) for k in (0, 1)]
     got = {x["doc_id"]: x["component_id"] for x in simhash.near_copies(docs(spark, rows)).collect()}
     assert got == {i: i - i % 2 for i, _ in rows}
+
+
+def test_pairs_about_the_threshold(spark):
+    r = random.Random(10)
+    words = lambda n: ["".join(r.choices("etaoinshrdlu", k=8)) for _ in range(n)]
+    rows, want = [], {}
+    for i in range(600):  # 504 words give 500 shingles, of which all but the last few are common
+        common = (446, 439)[i % 2]
+        head = words(common + 4)
+        rows += [(2 * i + k, " ".join(head + words(500 - common))) for k in (0, 1)]
+        want[i] = common / (1000 - common) >= 0.8
+    got = {x["doc_id"]: x["component_id"] for x in simhash.near_copies(docs(spark, rows)).collect()}
+    linked = {i for i in want if got[2 * i + 1] == 2 * i}
+    assert linked <= {i for i in want if want[i]} and len(linked) >= 0.9 * sum(want.values())
+    assert set(got.values()) <= {i for i, _ in rows} and all(got[2 * i] == 2 * i for i in want)
