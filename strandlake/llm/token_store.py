@@ -78,7 +78,8 @@ class WordEncoder(Memo):
     look across it, so encoding runs one by one equals encoding the text.
     Normalising leaves a lower-cased Latin-1 word as it is, and the
     pre-tokenizer cuts it from the punctuation around it, so such runs go
-    straight to the tokenizer's model; all others take its whole pipeline.
+    straight to the tokenizer's model; all others, and runs with the text of an
+    added token in them, take its whole pipeline.
     """
 
     def __init__(self, path: str):
@@ -86,14 +87,14 @@ class WordEncoder(Memo):
 
         super().__init__(MEMO_WORDS)
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model, self.size = self.tokenizer.model, self.tokenizer.get_vocab_size()
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.letters = byte_letters()
 
     def find(self, word: str) -> bytes:
         if word.isascii() and word.isalpha():
             return self.part(word.lower())
-        if (m := _PLAIN.fullmatch(word)) is None:
+        if (m := _PLAIN.fullmatch(word)) is None or any(t in word for t in self.added):
             ids = self.tokenizer.encode(word, add_special_tokens=False).ids
             return struct.pack(f"<{len(ids)}I", *ids)
         before, core, after = m.groups()

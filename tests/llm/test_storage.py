@@ -62,6 +62,17 @@ def test_runs_encode_like_the_whole_text(text):
     assert np.frombuffer(w.encode(text), "<u4").tolist() == w.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|endoftext|", "|>", "<|EndOfText|>", "<", " ", "\n", "\x1c", "a", "É", "e\u0301", "\u0301", "İ", "中", "12", "'s", "."]), max_size=12))
+def test_added_tokens_encode_as_in_the_library(parts):
+    text, t = "".join(parts), Tokenizer.from_file(WORDS)
+    assert np.frombuffer(token_store.load(WORDS).encode(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+
+
+def test_special_tokens_are_one_id():
+    assert np.frombuffer(token_store.load(WORDS).encode("a <|endoftext|> b<|startoftext|>"), "<u4").tolist() == [320, 49407, 321, 49406]
+
+
 def test_token_store_round_trip(spark):
     t = Tokenizer.from_file(WORDS)
     t.encode_special_tokens = True
