@@ -183,7 +183,7 @@ def lasso_cv(spark, sf_dir):
     return spark.createDataFrame([(int(n), float(c), float(intercept), lam, float(mean.max())) for n, c in zip(names, coef)], "motif_id long, coef double, intercept double, lambda double, auroc double")
 
 
-# Motif matching: even items are queries, all are targets.
+# Motif matching: all items are queries and targets; tom_scores, as its SQL, takes even queries only.
 TOM = (
     f"WITH d AS {dist(MOTIF_SEQ, 3)}, {DENSE_S}, i AS (SELECT seq_id, 6.0 + sum(w * w * log2(w * w)) AS ic FROM d GROUP BY seq_id), "
     "x AS (SELECT a, b, s, sqrt(greatest(u.ic * v.ic, 0)) AS x FROM q JOIN i u ON u.seq_id = a JOIN i v ON v.seq_id = b), "
@@ -199,7 +199,7 @@ def tom_target_info(spark, sf_dir):
 
 def matched(spark, sf_dir):
     m = motifs(spark, sf_dir)
-    return T.match(m.filter("seq_id % 2 = 0"), m, L3)
+    return T.match(m, m, L3)
 
 
 @query()

@@ -1,4 +1,5 @@
 import itertools
+import os
 
 import numpy as np
 import pytest
@@ -100,3 +101,16 @@ def test_motif_of_a_matrix_and_back(spark):
         P.motifs(matrices(spark), KmerSpace(2), pad=2)
     with pytest.raises(ValueError):
         P.motifs(matrices(spark), KmerSpace(3, 1), best=True)
+
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_every_motif_is_a_query(spark):
+    from strandlake.plans import motifs as Q
+
+    ids = {r[0] for r in Q.motifs(spark, SF).select("seq_id").distinct().collect()}
+    pairs = Q.tom_match(spark, SF).select("query", "target").collect()
+    assert {tuple(r) for r in pairs} == set(itertools.product(ids, ids)) and len(pairs) == len(ids) ** 2
+    assert any(r["query"] % 2 for r in Q.tom_best_hit(spark, SF).collect())
