@@ -64,22 +64,30 @@ def rank_average(partition: list[str], value, descending: bool = False):
 
 
 def adjust(df: DataFrame, partition: list[str], p: str, method: str = "BH") -> DataFrame:
-    """``df`` with ``q``: BH (fdr), BY, bonferroni, holm, hochberg or none, within each partition of tests."""
-    w = Window.partitionBy(*partition)
-    up = w.orderBy(F.col(p).asc())
-    n, i = F.count(p).over(w), F.row_number().over(up)
-    one = lambda x: F.least(F.lit(1.0), x)
+    """``df`` with ``q``: BH (fdr), BY, bonferroni, holm, hochberg or none, within each partition of tests.
+
+    Tied tests share a rank (the last of theirs; holm: the first), so each
+    extremum is a running one over the tests before in one sorted order and
+    costs one pass.  A null ``p`` is no test and has a null ``q``.
+    """
+    w, value = Window.partitionBy(*partition), F.col(p)
+    n, upto = F.count(p).over(w), F.count(p).over(w.orderBy(value.asc_nulls_last()))
     if method == "none":
-        return df.withColumn("q", F.col(p))
+        return df.withColumn("q", value)
     if method == "bonferroni":
-        return df.withColumn("q", one(F.col(p) * n))
-    scale = {"BH": lambda: n / i, "fdr": lambda: n / i, "BY": lambda: n / i * F.col("_h"), "hochberg": lambda: n - i + 1, "holm": lambda: n - i + 1}[method]
-    df = df.withColumn("_n", n).withColumn("_h", F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), F.lit(0.0), lambda s, k: s + 1 / k)).withColumn("_x", F.col(p) * scale())
-    if method == "holm":
-        q = F.max("_x").over(up.rowsBetween(Window.unboundedPreceding, 0))
+        x = value * n
+    elif method == "holm":
+        df = df.withColumn("_x", value * (n - F.rank().over(w.orderBy(value.asc_nulls_last())) + 1))
+        x = F.max("_x").over(w.orderBy(value.asc_nulls_last()))
     else:
-        q = F.min("_x").over(up.rowsBetween(0, Window.unboundedFollowing))
-    return df.withColumn("q", one(q)).drop("_n", "_h", "_x")
+        share = {"BH": n / upto, "fdr": n / upto, "BY": n / upto, "hochberg": n - upto + 1}[method]
+        df = df.withColumn("_x", value * share)
+        x = F.min("_x").over(w.orderBy(value.desc_nulls_last()))
+        if method == "BY":
+            place = F.row_number().over(w.orderBy(value.asc_nulls_last()))
+            df = df.withColumn("_i", F.when(value.isNotNull(), place))
+            x = F.min("_x").over(w.orderBy(value.desc_nulls_last())) * F.sum(1 / F.col("_i")).over(w)
+    return df.withColumn("q", F.when(value.isNotNull(), F.least(F.lit(1.0), x))).drop("_x", "_i")
 
 
 def quantile_class(df: DataFrame, value: str, classes: int) -> DataFrame:
@@ -105,5 +113,3 @@ def interval_scan(counts: DataFrame, partition: list[str], pos: str, values: lis
     ends = cum.select(*partition, F.col(pos).alias("end"), *[F.col(f"_{v}").alias(f"_{v}_end") for v in values])
     starts = cum.select(*partition, F.col(pos).alias("start"), *[(F.col(f"_{v}") - F.col(v)).alias(f"_{v}_before") for v in values])
     return starts.join(ends, partition).filter("start <= end").select(*partition, "start", "end", *[(F.col(f"_{v}_end") - F.col(f"_{v}_before")).alias(v) for v in values])
-
-
