@@ -9,11 +9,13 @@ from strandlake.functions.sequence import to_dna
 
 
 def read_fasta(spark: SparkSession, path: str, dna: bool = True) -> DataFrame:
-    """(id, description, seq): records are split at > by the text source, so files stay splittable.
+    """(id, description, seq): records are split at a > that starts a line by the text source, so files stay splittable.
 
-    Sequence lines are joined; ``dna`` turns U to T.
+    Sequence lines are joined; ``dna`` turns U to T.  A > inside a header is
+    part of it.
     """
-    records = spark.read.text(path, lineSep=">").filter(F.trim("value") != "")
+    # Only a file's first piece keeps its >.
+    records = spark.read.text(path, lineSep="\n>").select(F.regexp_replace("value", r"^\s*>", "").alias("value")).filter(F.col("value").rlike(r"\S"))
     head = F.regexp_extract("value", r"^([^\r\n]*)", 1)
     body = F.regexp_replace(F.regexp_replace("value", r"^[^\r\n]*", ""), r"\s+", "")
     seq = to_dna("body") if dna else F.col("body")

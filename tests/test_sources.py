@@ -33,6 +33,11 @@ def test_fasta(spark, tmp_path):
     assert {r["seq"] for r in fasta.read_fasta(spark, str(tmp_path / "out")).collect()} == {"ACGTTT", "NN"}
 
 
+def test_fasta_headers_may_hold_the_sign(spark, tmp_path):
+    (tmp_path / "x.fa").write_text(">s1 A>G variant\r\nAC\r\nGT\r\n>s2 >\nA")
+    assert [tuple(r) for r in fasta.read_fasta(spark, str(tmp_path / "x.fa")).collect()] == [("s1", "A>G variant", "ACGT"), ("s2", ">", "A")]
+
+
 def test_meme(spark, tmp_path):
     text = "MEME version 5\nALPHABET= ACGT\nMOTIF m1 x \nletter-probability matrix: alength= 4 w= 2 nsites= 50 E= 0\n 0.5 0.5 0 0\n 0 0 1 1\n\nMOTIF m2\nletter-probability matrix: alength= 4 w= 1\n1 0 0 0\n"
     (tmp_path / "x.meme").write_text(text)
