@@ -12,8 +12,17 @@ pages share costs one row per task.
 magic, takes a candidate as a record only if it inflates to a WARC version
 line, whole headers and the announced content length, and owns the records
 that *start* in its range; it reads past the end for the last one.  After a
-valid record the next one starts where it ends.  Payload digests are computed
-from the payloads read and checked against the headers.
+valid record the next one starts where it ends, and a file's first at its
+first byte; a place where a record must start and none does is an error.  The
+record that follows a range's last one is looked at too, so the chain of
+records is checked without a gap and a damaged one never vanishes.  Payload
+digests are computed from the payloads read and checked against the headers.
+
+Records of other writers are read as well: a record id or reference that is no
+``urn:page`` number gives null, a missing length header the payload's own
+length (null for a revisit), a digest of another kind the payload's SHA-256
+(null for a revisit); warcinfo, request and other records come with their
+type, their payload being the block.
 
 A task writes under a name of its own and the manifest lists files of tasks
 that finished, so lost executors and repeated tasks do no harm.
@@ -116,8 +125,9 @@ def parsed(data: bytes) -> dict | None:
 class Range:
     """Records of one file that start in [start, end)."""
 
-    def __init__(self, f, start: int, end: int, total: int):
-        self.f, self.start, self.end, self.total = f, start, end, total
+    def __init__(self, f, start: int, end: int, total: int, strict: bool = False):
+        """strict: the file is records from its first byte to its last, so that a gap is an error."""
+        self.f, self.start, self.end, self.total, self.strict = f, start, end, total, strict
 
     def bytes_from(self, at: int, n: int) -> bytes:
         self.f.seek(at)
@@ -144,18 +154,25 @@ class Range:
 
     def records(self):
         base, held = self.start, self.bytes_from(self.start, self.end - self.start + 2)
-        at = self.start
-        while 0 <= (found := held.find(MAGIC, at - base)) and base + found < self.end:
+        at, due = self.start, self.strict and self.start == 0  # due: a record must start at ``at``
+        while at < self.end:
+            found = at - base if due else held.find(MAGIC, at - base)
+            if found < 0 or base + found >= self.end:
+                return
             at = base + found
             whole = self.member(held, at, base)
             record = parsed(whole[0]) if whole else None
             if record is None:
+                if due:
+                    raise ValueError(f"no record at byte {at}")
                 at += 1
                 continue
             yield record
-            at = whole[1]
-            if at >= self.end:
-                return
+            at, due = whole[1], self.strict
+        if due and at < self.total:
+            whole = self.member(self.bytes_from(at, PROBE_BYTES), at, at)
+            if whole is None or parsed(whole[0]) is None:
+                raise ValueError(f"no record at byte {at}")
 
 
 def read(manifest: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
@@ -167,24 +184,34 @@ def read(manifest: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
 
     def number(text):
         text = text.removeprefix("<urn:page:").removesuffix(">")
-        return None if text in ("", "null") else int(text)
+        return int(text) if text.removeprefix("-").isdecimal() and text.isascii() else None
+
+    def row_of(x):
+        kind, http = x.get("warc-type"), x.get("content-type", "").startswith("application/http")
+        payload = x["block"].partition(b"\r\n\r\n")[2] if http else x["block"]
+        size, (name, _, digest) = x.get("x-payload-length", ""), x.get("warc-payload-digest", "").partition(":")
+        size = int(size) if size.isdecimal() else None if kind == "revisit" else len(payload)
+        if name.lower() != "sha256" or len(digest) != 64:
+            digest = None if kind == "revisit" else hashlib.sha256(payload).hexdigest()
+        if kind != "revisit" and (len(payload) != size or hashlib.sha256(payload).hexdigest() != digest):
+            raise ValueError("a payload doesn't match its digest")
+        return number(x.get("warc-record-id", "")), x.get("warc-target-uri"), size, digest, kind, number(x.get("warc-refers-to", "")), payload
 
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 fs, at = open_fs(row["file"])
                 out, held = [], 0
-                with fs.open_input_file(at) as f:
-                    for x in Range(f, row["k"] * split_bytes, min((row["k"] + 1) * split_bytes, row["bytes"]), row["bytes"]).records():
-                        payload = x["block"].partition(b"\r\n\r\n")[2]
-                        size, digest = int(x["x-payload-length"]), x["warc-payload-digest"].removeprefix("sha256:")
-                        if x["warc-type"] == "response" and (len(payload) != size or hashlib.sha256(payload).hexdigest() != digest):
-                            raise RuntimeError(f"a payload in {row['file']} doesn't match its digest")
-                        out.append((number(x["warc-record-id"]), x.get("warc-target-uri"), size, digest, x["warc-type"], number(x.get("warc-refers-to", "")), payload))
-                        held += len(payload)
-                        if held > 4 << 20:
-                            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out), kinds)], schema=kinds)
-                            out, held = [], 0
+                try:
+                    with fs.open_input_file(at) as f:
+                        for x in Range(f, row["k"] * split_bytes, min((row["k"] + 1) * split_bytes, row["bytes"]), row["bytes"], True).records():
+                            out.append(row_of(x))
+                            held += len(out[-1][-1])
+                            if held > 4 << 20:
+                                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out), kinds)], schema=kinds)
+                                out, held = [], 0
+                except ValueError as e:
+                    raise RuntimeError(f"{row['file']} is damaged: {e}") from e
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out), kinds)], schema=kinds)
 
