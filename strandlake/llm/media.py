@@ -34,7 +34,7 @@ BLOCK, RATE, ROWS = 64, 8000, 256
 DECLARED = "application/octet-stream"
 
 
-def png(d: bytes, at: int) -> int:
+def png(d: bytes, at: int, memo: dict) -> int:
     pos, first = at + 8, True
     while pos + 12 <= len(d):
         size, kind = struct.unpack(">I4s", d[pos : pos + 8])
@@ -47,31 +47,39 @@ def png(d: bytes, at: int) -> int:
     return 0
 
 
-def gif(d: bytes, at: int) -> int:
+def followed(pos: int, step, ends: dict):
+    """Where the chain of places pos, step(pos), ... ends, its last place; ``ends`` remembers it for each, so no place is walked twice."""
+    seen = []
+    while pos not in ends:
+        seen.append(pos)
+        after = step(pos)
+        if after is None:
+            ends[pos] = pos
+        else:
+            pos = after
+    ends |= dict.fromkeys(seen, ends[pos])
+    return ends[pos]
+
+
+def gif(d: bytes, at: int, memo: dict) -> int:
     def blocks(pos):
-        while pos < len(d) and d[pos]:
-            pos += d[pos] + 1
-        return pos + 1
+        return followed(pos, lambda p: p + d[p] + 1 if p < len(d) and d[p] else None, memo.setdefault("gif blocks", {})) + 1
 
     def table(flags):
         return 3 << ((flags & 7) + 1) if flags & 0x80 else 0
 
+    def part(pos):
+        if pos < len(d) and d[pos] == 0x21:
+            return blocks(pos + 2)
+        return blocks(pos + 10 + table(d[pos + 9]) + 1) if pos + 10 < len(d) and d[pos] == 0x2C else None
+
     if at + 13 > len(d) or d[at + 3 : at + 6] not in (b"87a", b"89a"):
         return 0
-    pos = at + 13 + table(d[at + 10])
-    while pos < len(d):
-        if d[pos] == 0x3B:
-            return pos + 1 - at
-        if d[pos] == 0x21:
-            pos = blocks(pos + 2)
-        elif d[pos] == 0x2C and pos + 10 < len(d):
-            pos = blocks(pos + 10 + table(d[pos + 9]) + 1)
-        else:
-            return 0
-    return 0
+    last = followed(at + 13 + table(d[at + 10]), part, memo.setdefault("gif parts", {}))
+    return last + 1 - at if last < len(d) and d[last] == 0x3B else 0
 
 
-def jpeg(d: bytes, at: int) -> int:
+def jpeg(d: bytes, at: int, memo: dict) -> int:
     pos, scanned = at + 2, False
     while pos + 2 <= len(d) and d[pos] == 0xFF:
         mark = d[pos + 1]
@@ -108,20 +116,20 @@ def riff(d: bytes, at: int) -> list[tuple[bytes, int, int]]:
     return out if pos >= end else []
 
 
-def wav(d: bytes, at: int) -> int:
+def wav(d: bytes, at: int, memo: dict) -> int:
     kinds = [k for k, _, _ in riff(d, at)]
     ok = d[at + 8 : at + 12] == b"WAVE" and b"fmt " in kinds and b"data" in kinds
     return 8 + struct.unpack("<I", d[at + 4 : at + 8])[0] if ok else 0
 
 
-def bmp(d: bytes, at: int) -> int:
+def bmp(d: bytes, at: int, memo: dict) -> int:
     if at + 30 > len(d):
         return 0
     size, reserved, offset, header, width, height, planes, bits = struct.unpack("<IIIIiiHH", d[at + 2 : at + 30])
     return size if reserved == 0 and header in (40, 108, 124) and planes == 1 and bits in (1, 4, 8, 16, 24, 32) and width > 0 and height and 14 + header <= offset <= size <= len(d) - at else 0
 
 
-def pdf(d: bytes, at: int) -> int:
+def pdf(d: bytes, at: int, memo: dict) -> int:
     if not (d[at + 5 : at + 6].isdigit() and d[at + 6 : at + 7] == b"." and d[at + 7 : at + 8].isdigit()):
         return 0
     nextone = d.find(b"%PDF-", at + 8)
@@ -129,16 +137,23 @@ def pdf(d: bytes, at: int) -> int:
     return end + 5 - at if end >= 0 and d.find(b"startxref", at, end) >= 0 else 0
 
 
-def zipped(d: bytes, at: int) -> int:
-    end = at
+def zip_ends(d: bytes) -> dict[int, int]:
+    """Start of each archive in ``d`` and the end of the first end record that points to it, from one pass over these."""
+    out, end = {}, -1
     while (end := d.find(b"PK\x05\x06", end + 1)) >= 0 and end + 22 <= len(d):
         count, size, offset, note = struct.unpack("<HIIH", d[end + 10 : end + 22])
-        if at + offset + size == end and end + 22 + note <= len(d) and (not count or d[at + offset : at + offset + 4] == b"PK\x01\x02"):
-            return end + 22 + note - at
-    return 0
+        if end + 22 + note <= len(d) and (not count or d[end - size : end - size + 4] == b"PK\x01\x02"):
+            out.setdefault(end - size - offset, end + 22 + note)
+    return out
+
 
+def zipped(d: bytes, at: int, memo: dict) -> int:
+    if "zip" not in memo:
+        memo["zip"] = zip_ends(d)
+    return memo["zip"].get(at, at) - at
 
-def gz(d: bytes, at: int) -> int:
+
+def gz(d: bytes, at: int, memo: dict) -> int:
     inflate, pos = zlib.decompressobj(31), at
     try:
         while pos < len(d) and not inflate.eof:
@@ -149,20 +164,21 @@ def gz(d: bytes, at: int) -> int:
     return min(pos, len(d)) - len(inflate.unused_data) - at if inflate.eof else 0
 
 
-def ogg(d: bytes, at: int) -> int:
-    pos, pages = at, 0
-    while d[pos : pos + 4] == b"OggS" and pos + 27 <= len(d) and d[pos + 4] == 0:
+def ogg(d: bytes, at: int, memo: dict) -> int:
+    def page(pos):
+        """End of the page at ``pos``, 0 if there is none."""
+        if d[pos : pos + 4] != b"OggS" or pos + 27 > len(d) or d[pos + 4] != 0:
+            return 0
         segments = d[pos + 26]
         end = pos + 27 + segments + sum(d[pos + 27 : pos + 27 + segments])
-        if end > len(d) or pos + 27 + segments > len(d):
-            return 0
-        last, pos, pages = d[pos + 5] & 4, end, pages + 1
-        if last:
-            return pos - at
-    return 0
+        return end if end <= len(d) and pos + 27 + segments <= len(d) else 0
 
+    last = followed(at, lambda pos: page(pos) if page(pos) and not d[pos + 5] & 4 else None, memo.setdefault("ogg", {}))
+    return page(last) - at if page(last) else 0
 
-#: Each format's magic bytes, and its validator, which returns the length or 0.
+
+#: Each format's magic bytes, and its validator, which returns the length or 0 (memo: what validators
+#: remember about one value, so that many candidates don't walk the same chain).
 FORMATS = {
     "image/png": (b"\x89PNG\r\n\x1a\n", png),
     "image/gif": (b"GIF8", gif),
@@ -189,10 +205,10 @@ def signatures():
 
 def media_in(data: bytes) -> list[tuple[str, int, int]]:
     """(type, offset, length) of the valid media in ``data``, outermost ones only, by offset."""
-    out, free = [], 0
+    out, free, memo = [], 0, {}
     for end, (kind, size) in signatures().iter(data.decode("latin-1")):
         at = end - size + 1
-        if at >= free and (length := FORMATS[kind][1](data, at)):
+        if at >= free and (length := FORMATS[kind][1](data, at, memo)):
             out.append((kind, at, length))
             free = at + length
     return out
@@ -239,17 +255,20 @@ def store(docs: DataFrame) -> DataFrame:
     return save(encode(docs), scratch(docs.sparkSession, "media"))
 
 
-def described(media: bytes, declared: str | None) -> str:
-    """Type, structure and carved media of a value, as text."""
+def opened(media: bytes, declared: str | None) -> tuple[bytes, str]:
+    """The payload of a value (a WAV's samples, else the value itself), and its type, structure and carved media as text.
+
+    What the value *is* decides, not what it was declared as.
+    """
     kind, carved = sniff(media, declared)
-    parts = [kind, f"was={declared}"]
+    parts, body = [kind, f"was={declared}"], media
     if kind == "audio/wav":
         at = next(start for k, start, _ in riff(media, 0) if k == b"fmt ")
         code, channels, rate, _, _, bits = struct.unpack("<HHIIHH", media[at : at + 16])
         body = samples(media)
-        carved = carved + [(k, a, n) for k, a, n in media_in(body)]
+        carved = carved + media_in(body)
         parts += [f"format={code}", f"channels={channels}", f"rate={rate}", f"bits={bits}", f"samples={len(body) * 8 // max(1, bits * channels)}"]
-    return ";".join([*parts, "carved=" + ",".join(f"{k}@{a}+{n}" for k, a, n in carved)])
+    return body, ";".join([*parts, "carved=" + ",".join(f"{k}@{a}+{n}" for k, a, n in carved)])
 
 
 def features(media: DataFrame) -> DataFrame:
@@ -258,8 +277,8 @@ def features(media: DataFrame) -> DataFrame:
     def row(data, declared):
         if data is None:
             return (None,) * 6
-        body = samples(data)
-        return len(body), hashlib.sha256(body).hexdigest(), zlib.crc32(body[-BLOCK:]), len(data), hashlib.sha256(data).hexdigest(), described(data, declared)
+        body, feature = opened(data, declared)
+        return len(body), hashlib.sha256(body).hexdigest(), zlib.crc32(body[-BLOCK:]), len(data), hashlib.sha256(data).hexdigest(), feature
 
     names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]

@@ -140,6 +140,37 @@ def test_archives_are_read_whole_at_any_split(spark, split):
     assert {i: r["refers_to"] for i, r in rows.items() if r["record_type"] == "revisit"} == {3: 1, 7: 6}
 
 
+@pytest.mark.parametrize("split", [50, 997, 1 << 20])
+def test_damaged_archives_are_errors(spark, split):
+    rows = [(i, "u", f"{i} " * 300) for i in range(6)]
+    manifest = warc.write(pages(spark, rows).coalesce(1), scratch(spark, "warc-test"))
+    for row in manifest.collect():
+        fs, at = open_fs(row["file"])
+        data = fs.open_input_stream(at).read()
+        for place in (0, 9, 14, len(data) // 2, len(data) - 3):
+            with fs.open_output_stream(at, compression=None) as f:
+                f.write(data[:place] + bytes([data[place] ^ 255]) + data[place + 1 :])
+            with pytest.raises(Exception, match="damaged"):
+                warc.read(manifest, split).collect()
+
+
+def test_records_of_other_writers(spark):
+    import gzip
+
+    folder = scratch(spark, "warc-test")
+    fs, base = open_fs(folder)
+    fs.create_dir(base)
+    member = lambda head, block: gzip.compress(("\r\n".join(["WARC/1.0", *head, f"Content-Length: {len(block)}"])).encode() + b"\r\n\r\n" + block + b"\r\n\r\n")
+    data = member(["WARC-Type: warcinfo", "WARC-Record-ID: <urn:uuid:1>", "Content-Type: application/warc-fields"], b"software: x") + member(
+        ["WARC-Type: response", "WARC-Record-ID: <urn:uuid:2>", "WARC-Payload-Digest: sha1:ABC", "Content-Type: application/http; msgtype=response"], b"HTTP/1.1 200 OK\r\nA: b\r\n\r\nhello"
+    )
+    with fs.open_output_stream(f"{base}/x.warc.gz", compression=None) as f:
+        f.write(data)
+    manifest = spark.createDataFrame([(f"{folder}/x.warc.gz", len(data), 2)], warc.MANIFEST)
+    got = [(r["page_id"], r["payload_bytes"], r["record_type"], bytes(r["payload"])) for r in warc.read(manifest).collect()]
+    assert got == [(None, 11, "warcinfo", b"software: x"), (None, 5, "response", b"hello")]
+
+
 def test_magic_inside_a_member_is_no_record():
     fake = warc.record(9, "u", b"inner", hashlib.sha256(b"inner").hexdigest(), None)
     junk = b"\x1f\x8b\x08\x00" + random.Random(1).randbytes(3000) + b"\x1f\x8b\x08"
@@ -192,6 +223,20 @@ def samples():
     return {"image/png": a_png(), "image/gif": gif, "image/jpeg": jpeg, "image/bmp": bmp, "audio/wav": media.as_wav(bytes(9)) + b"\0", "audio/ogg": ogg, "application/pdf": pdf, "application/zip": a_zip(), "application/gzip": gzip.compress(b"hi")}
 
 
+@pytest.mark.parametrize("part", [b"PK\3\4PK\5\6", b"GIF87a......!aaaaaa", b"OggS\0\0" + bytes(20) + b"\0", b"%PDF-1.4 startxref"])
+def test_many_candidates_take_linear_time(part):
+    import time
+
+    began = time.process_time()
+    media.media_in(part * (2_000_000 // len(part)))
+    assert time.process_time() - began < 20
+
+
+def test_what_a_value_is_decides_over_its_declared_type():
+    wav = media.as_wav(b"abcd" * 16)
+    assert media.opened(wav, "text/plain")[0] == b"abcd" * 16 and media.opened(b"plain", "audio/wav")[0] == b"plain"
+
+
 @pytest.mark.parametrize("kind", sorted(media.FORMATS))
 def test_sniffing_corrects_and_carves(kind):
     data = samples()[kind]
