@@ -30,12 +30,17 @@ def small_batches(df: DataFrame) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor sees: ``spark.checkpoint.dir``; one of our own only where that is unset."""
+    """Folder every executor sees: ``spark.checkpoint.dir``; one of our own only in local mode where that is unset.
+
+    On a cluster other executors can't see a folder of this machine, so there it is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = known.get().rsplit("/", 1)[0] if known.isDefined() else None
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="strandlake-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import few_files, save, scratch, small_batches
+from strandlake.llm.common import few_files, packed, save, scratch, small_batches
 from strandlake.llm.components import components
 
 BITS, RADIUS, SHINGLE, SEED = 64, 3, 3, 42
@@ -285,12 +285,13 @@ def links(nodes: DataFrame, keys: list, radius: int) -> DataFrame:
 
 
 def _named(nodes: DataFrame, edges: DataFrame, n: int, base: str) -> DataFrame:
-    """(id, component_id) of every one of the n nodes (id, least, ...)."""
+    """(id, component_id, first) of every one of the n nodes (id, least, ...); first: the id of the node that holds the component's least."""
     star = components(edges, n)
     named = nodes.select("id", "least").join(star.select(F.col("u").alias("id"), F.col("v").alias("hub")), "id", "left").withColumn("hub", F.coalesce("hub", "id"))
     named = save(few_files(named, n), f"{base}/named")
-    hubs = named.groupBy("hub").agg(F.min("least").alias("component_id"))
-    return save(few_files(named.join(hubs, "hub").select("id", "component_id"), n), f"{base}/components")
+    first = F.min(F.when(F.col("least").isNotNull(), F.struct("least", "id")))
+    hubs = named.groupBy("hub").agg(first.alias("first"))
+    return save(few_files(named.join(hubs, "hub").select("id", F.col("first.least").alias("component_id"), F.col("first.id").alias("first")), n), f"{base}/components")
 
 
 def _nodes(held: DataFrame, words: list[str], base: str) -> tuple[DataFrame, int]:
@@ -420,7 +421,9 @@ def confirmed(texts: DataFrame) -> DataFrame:
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
-    """(doc_id, component_id) per row of ``docs`` by the exact similarity of sets of five-word shingles.
+    """(doc_id, key, component_id, first) per row of ``docs`` by the exact similarity of sets of five-word shingles.
+
+    key: XXH64 of the text; first: the key of the component's text that holds its smallest doc_id.
 
     Fingerprints only gather texts: a link between candidates says nothing but
     that both lie in one gathering, so a forest of them is enough.
@@ -441,10 +444,16 @@ def near_copies(docs: DataFrame) -> DataFrame:
     wanted = save(few_files(each.join(hubs, "hub").select("id", "hub", "c"), n), f"{base}/wanted")
     near = confirmed(texts.select(F.col("key").alias("id"), "text").join(wanted, "id").dropDuplicates(["id"]))
     named = _named(each.select("id", "least"), save(few_files(near.distinct(), n), f"{base}/links"), n, base)
-    return held.select("doc_id", F.col("key").alias("id")).join(named, "id").select("doc_id", "component_id")
+    return held.select("doc_id", F.col("key").alias("id")).join(named, "id").select("doc_id", F.col("id").alias("key"), "component_id", "first")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose near copies have a smaller doc_id; rows with a null doc_id stay."""
-    dropped = near_copies(docs).filter("doc_id > component_id").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` without the rows whose near copies come before them, by doc_id and then by the text's hash.
+
+    A row is told by its doc_id and text, so rows that share a doc_id stay or
+    go each for itself; rows that repeat both stay or go together, and rows
+    with a null doc_id stay.
+    """
+    dropped = near_copies(docs).filter("doc_id > component_id OR doc_id = component_id AND key != first").select(F.col("doc_id").alias("_gone"), "key").distinct()
+    held = docs.select(packed(docs), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_key"))
+    return held.join(dropped, (F.col("_id") == F.col("_gone")) & (F.col("_key") == F.col("key")), "left_anti").select("_row.*")

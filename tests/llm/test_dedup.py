@@ -174,6 +174,15 @@ def test_near_copies_go_and_clean_texts_stay(spark):
     assert simhash.one_of_each(d).columns == d.columns and simhash.one_of_each(d.limit(0)).count() == 0
 
 
+def test_rows_that_share_a_doc_id_go_each_for_itself(spark):
+    base = [f"w{i}" for i in range(200)]
+    rows = [(3, " ".join(base)), (7, " ".join([*base, "more"])), (7, "another text " * 9), (7, " ".join(base[:-1] + ["end"])), (8, None), (None, " ".join(base))]
+    stay = sorted(map(repr, ((x["doc_id"], x["text"]) for x in simhash.one_of_each(docs(spark, rows)).collect())))
+    assert stay == sorted(map(repr, (rows[0], rows[2], rows[4], rows[5])))
+    pair = simhash.one_of_each(docs(spark, [(4, rows[0][1]), (4, rows[1][1])]))
+    assert pair.count() == 1
+
+
 def test_similar_sets_connect_as_by_brute_force(monkeypatch):
     rng = np.random.default_rng(8)
     base = rng.integers(0, 2**63, 60, np.uint64)
