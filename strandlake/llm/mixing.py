@@ -1,26 +1,35 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree.
 
 A source is the stream of its documents in the order of a seeded hash, cut
-into equal blocks of words.  Its target says how many words the mix takes:
-whole passes over the source, then the first blocks of one more permuted
-pass, the last of them cut so that the sum is exact.  Draw number d of a
-source is block ``p`` of pass ``d // n`` where the pass's permutation puts p at
-``d % n``, so draws of one pass are disjoint.  The tree starts with every
-source's number of draws and halves the output shards; at each node a
-multivariate hypergeometric draw fixes how many of each source's draws go
-left, so shards have equal sizes and the quotas stay exact.  A shard takes a
-consecutive range of each source's draws and is shuffled locally by a hash.
-
-Only (source, words, documents) sums reach the driver, one row a source;
-``MAX_SOURCES`` is checked and a longer catalogue is an error, never a cut.  A
-document's place in its stream is a two-level prefix sum over hash buckets, so
-a source with a third of all rows is dealt over many tasks.
+into blocks of ``BLOCK_WORDS`` words.  Its target says how many words the mix
+takes: whole passes over the source, then the first blocks of one more
+permuted pass, the last of them cut so that the sum is exact.  Draw number d
+of a source is block ``p`` of pass ``d // n`` where the pass's permutation puts
+p at ``d % n``, so draws of one pass are disjoint.  The permutations are keyed
+Feistel networks, so a place costs the same however many blocks there are.
+
+The tree starts with every source's number of draws and halves the output
+shards; at each node a multivariate hypergeometric draw fixes how many of each
+source's draws go left, so shards have equal sizes and the quotas stay exact.
+That draw is taken by halving the catalogue of sources as well: the share of
+its first half is hypergeometric, and so on within each half.  Every single
+draw has a seed of its own (tree node, range of sources), so a task works out
+the few nodes its draws pass through when it meets them; nothing of the size
+sources times shards exists anywhere.  A shard takes a consecutive range of
+each source's draws, and the words of the mix are what the shards hold, each
+shuffled locally by a hash.
+
+Only (source, words, documents) sums reach the driver and the tasks, one row a
+source; ``MAX_SOURCES`` is checked and a longer catalogue is an error, never a
+cut.  A document's place in its stream is a two-level prefix sum over hash
+buckets, so a source with a third of all rows is dealt over many tasks.
 
 Defined cases: null text has size 0; the null source comes last; sources
 without words have target 0; empty texts are taken 0 words; rows that share a
-doc_id are documents of their own, ordered by size and text hash; other
-columns pass through ``materialise`` untouched and don't matter before; empty
-tables give empty results.
+doc_id, null ones too, are documents of their own, told apart by text and
+source, and by number where these are equal as well; other columns pass
+through ``materialise`` untouched and don't matter before; empty tables give
+empty results.
 """
 
 from __future__ import annotations
@@ -35,11 +44,17 @@ from strandlake.llm.common import WORD, packed, save, scratch, text_or_empty
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
-BLOCK_WORDS, BLOCKS = 512, 65536
+BLOCK_WORDS = 512
 SHARDS, SHARD_WORDS, SEED = 16, 2_000_000, 11
-MAX_SOURCES = 1_000_000
+MAX_SOURCES = 100_000
 BUCKET_DOCS, MIN_BUCKETS = 20_000, 64
+#: Nodes a task remembers; more are worked out again.
+TREE_NODES = 500_000
+#: Partitions of the mixed documents at most; a partition holds whole shards.
+PARTITIONS = 20_000
 DRAWS = "array<struct<epoch:int,block:long,at:long,words:long,shard:int>>"
+#: What tells documents apart.
+KEY = ["doc_id", "t", "source_key", "k"]
 
 
 def targets(words: list[int], weights: list[float]) -> list[float]:
@@ -61,22 +76,39 @@ def targets(words: list[int], weights: list[float]) -> list[float]:
     return out
 
 
-@lru_cache(maxsize=64)
-def order(n: int, key: int, epoch: int):
-    """Place of each of n blocks in a pass of a source."""
+@lru_cache(maxsize=1024)
+def keys(*of: int) -> tuple:
+    """Six seeded 64-bit words."""
     import numpy as np
 
-    return np.random.default_rng((SEED, key, epoch)).permutation(n)
+    return tuple(np.random.SeedSequence((SEED, *of)).generate_state(6, np.uint64))
+
+
+def places(n: int, key: int, epoch: int, blocks):
+    """Places of ``blocks`` (an array) in a pass over the n blocks of a source: a Feistel network, walked until within n."""
+    import numpy as np
+
+    half = np.uint64(max(1, -(-(n - 1).bit_length() // 2)))
+    mask, out, todo = np.uint64((1 << int(half)) - 1), np.array(blocks, np.uint64), np.arange(len(blocks))
+    while len(todo):
+        left, right = out[todo] >> half, out[todo] & mask
+        for k in keys(key, epoch):
+            x = (right + k) * np.uint64(0xD6E8FEB86659FD93)
+            x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+            left, right = right, left ^ ((x ^ (x >> np.uint64(32))) & mask)
+        out[todo] = (left << half) | right
+        todo = todo[out[todo] >= n]
+    return out.astype(np.int64)
 
 
 def planned(key: int, words: int, target: float) -> dict:
-    """How a source is drawn: block size, blocks, whole passes, draws, words of the last draw."""
-    want, block = round(target), max(BLOCK_WORDS, -(-words // BLOCKS))
+    """How a source is drawn: blocks, whole passes, draws, words of the last draw."""
+    want, block = round(target), BLOCK_WORDS
     n = -(-words // block) if words else 0
     passes, rest = divmod(want, words) if words else (0, 0)
-    plan = {"key": key, "words": words, "target": target, "block": block, "n": n, "draws": passes * n, "last": None}
+    plan = {"key": key, "words": words, "target": target, "n": n, "draws": passes * n, "last": None}
     if rest:
-        short, at = block - (n * block - words), int(order(n, key, passes)[n - 1])  # the stream's last block may be short
+        short, at = block - (n * block - words), int(places(n, key, passes, [n - 1])[0])  # the stream's last block may be short
         m = -(-rest // block)
         if m > at:
             m = -(-(rest + block - short) // block)
@@ -85,41 +117,99 @@ def planned(key: int, words: int, target: float) -> dict:
     return plan
 
 
-def split_tree(draws: list[int], shards: int, seed: int = SEED):
-    """quota[source][shard]: the draws that each shard gets, by recursive multivariate hypergeometric splits."""
-    import numpy as np
+def hypergeometric(rng, good: int, bad: int, need: int) -> int:
+    """Good ones among ``need`` taken of good and bad; beyond the library's 10^9 by the normal limit."""
+    if not good or not need:
+        return 0
+    if max(good, bad) < 10**9:
+        return int(rng.hypergeometric(good, bad, need)) if bad else need
+    total = good + bad
+    mean = need * good / total
+    sd = (mean * (bad / total) * ((total - need) / max(1, total - 1))) ** 0.5
+    return min(max(round(mean + sd * rng.standard_normal()), need - bad, 0), good, need)
 
-    out = np.zeros((len(draws), shards), np.int64)
-
-    def split(held, first, last):
-        if last - first == 1:
-            out[:, first] = held
-            return
-        mid = (first + last) // 2
-        size = int(held.sum()) * (mid - first) // (last - first)
-        rng = np.random.default_rng((seed, first, last))
-        left, rest, need = np.zeros_like(held), int(held.sum()), size
-        for i in np.flatnonzero(held).tolist():  # marginals one after another: exact for any total below 10^9 draws a step
-            rest -= int(held[i])
-            left[i] = rng.hypergeometric(held[i], rest, need) if rest and need else min(need, int(held[i]))
-            need -= int(left[i])
-        split(left, first, mid)
-        split(held - left, mid, last)
-
-    split(np.array(draws, np.int64), 0, shards)
-    return out
+
+class Tree:
+    """The splitting tree over ``draws`` (one number a source) and output shards, worked out where it is asked.
+
+    Nodes and ranges of sources are numbered like a heap: 1 is the whole, 2 x
+    and 2 x + 1 are the halves of x.
+    """
+
+    def __init__(self, draws: list[int], shards: int, seed: int = SEED):
+        self.shards, self.seed, self.sources, self.memo = shards, seed, len(draws), {}
+        self.before = [0]
+        for d in draws:
+            self.before.append(self.before[-1] + d)
+
+    @staticmethod
+    def span(x: int, n: int) -> tuple[int, int]:
+        """What part of 0..n heap number x is."""
+        lo, hi = 0, n
+        for bit in f"{x:b}"[1:]:
+            mid = (lo + hi) // 2
+            lo, hi = (mid, hi) if bit == "1" else (lo, mid)
+        return lo, hi
+
+    @lru_cache(maxsize=4096)  # noqa: B019
+    def leaf(self, source: int) -> int:
+        x, lo, hi = 1, 0, self.sources
+        while hi - lo > 1:
+            mid = (lo + hi) // 2
+            x, lo, hi = (2 * x, lo, mid) if source < mid else (2 * x + 1, mid, hi)
+        return x
+
+    def held(self, node: int, of: int) -> int:
+        """Draws of the sources in range ``of`` that node ``node`` holds."""
+        import numpy as np
+
+        found = self.memo.get((node, of))
+        if found is not None:
+            return found
+        if node == 1:
+            lo, hi = self.span(of, self.sources)
+            found = self.before[hi] - self.before[lo]
+        elif node & 1:
+            found = self.held(node >> 1, of) - self.held(node - 1, of)
+        elif of == 1:
+            lo, hi = self.span(node >> 1, self.shards)
+            found = self.held(node >> 1, 1) * ((lo + hi) // 2 - lo) // (hi - lo)
+        elif of & 1:
+            found = self.held(node, of >> 1) - self.held(node, of - 1)
+        else:
+            good, bad, need = self.held(node >> 1, of), self.held(node >> 1, of + 1), self.held(node, of >> 1)
+            found = hypergeometric(np.random.default_rng((self.seed, node, of)), good, bad, need)
+        if len(self.memo) >= TREE_NODES:
+            self.memo.clear()
+        self.memo[node, of] = found
+        return found
+
+    def shard(self, source: int, draw: int) -> int:
+        """The shard that a draw of a source goes to."""
+        node, lo, hi, of = 1, 0, self.shards, self.leaf(source)
+        while hi - lo > 1:
+            mid, left = (lo + hi) // 2, self.held(2 * node, of)
+            if draw < left:
+                node, hi = 2 * node, mid
+            else:
+                node, lo, draw = 2 * node + 1, mid, draw - left
+        return lo
 
 
 def source_key(name: str = "source"):
     return F.coalesce(F.concat(F.lit("s"), F.col(name).cast("string")), F.lit("n"))
 
 
+def keyed(df: DataFrame, *more) -> DataFrame:
+    """(doc_id, t, source_key, k, ...) of rows with doc_id, t and source_key; k numbers rows that are equal in these."""
+    return df.withColumn("k", F.row_number().over(Window.partitionBy("doc_id", "t", "source_key").orderBy(F.lit(0)))).select(*KEY, *more)
+
+
 def sized(docs: DataFrame, folder: str) -> DataFrame:
-    """(doc_id, source_key, size, h, k) of every document, saved; k tells rows of one doc_id apart."""
+    """(doc_id, t, source_key, k, size, h) of every document, saved."""
     text = text_or_empty()
-    held = docs.select("doc_id", source_key().alias("source_key"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), F.xxhash64(F.lit(SEED), "doc_id").alias("h"), F.xxhash64(text).alias("t"))
-    held = held.withColumn("k", F.row_number().over(Window.partitionBy("doc_id").orderBy("size", "t", "source_key")))
-    return save(held.drop("t"), f"{folder}/sized")
+    held = docs.select("doc_id", source_key().alias("source_key"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), F.xxhash64(text).alias("t"))
+    return save(keyed(held.withColumn("h", F.xxhash64(F.lit(SEED), "doc_id", "t")), "size", "h"), f"{folder}/sized")
 
 
 def catalogue(held: DataFrame, weights=WEIGHTS) -> tuple[dict, int]:
@@ -139,7 +229,7 @@ def shards_for(plans: dict) -> int:
 
 
 def mix(docs: DataFrame, shards: int | None = None) -> DataFrame:
-    """(doc_id, k, size, source_size, target, draws): the draws that take words of each document.
+    """(doc_id, t, source_key, k, size, source_size, target, draws): the draws that take words of each document.
 
     A draw takes ``words`` words of the document from word ``at`` on, in pass
     ``epoch``, for output shard ``shard``.
@@ -152,75 +242,94 @@ def _mix(docs: DataFrame, shards: int | None) -> tuple[DataFrame, int]:
     held = sized(docs, folder)
     plans, n = catalogue(held)
     shards = shards or shards_for(plans)
-    quota = split_tree([p["draws"] for p in plans.values()], shards)
-    for p, row in zip(plans.values(), quota):
-        p["ends"] = row.cumsum().tolist()
+    tree = Tree([p["draws"] for p in plans.values()], shards)
     buckets = max(MIN_BUCKETS, -(-n // BUCKET_DOCS))
     dealt = held.withColumn("bucket", F.pmod(F.shiftrightunsigned("h", 16), F.lit(buckets)))
     sums = dealt.groupBy("source_key", "bucket").agg(F.sum("size").alias("of"))
     base = sums.select("source_key", "bucket", (F.sum("of").over(Window.partitionBy("source_key").orderBy("bucket")) - F.col("of")).alias("base"))
-    inner = F.sum("size").over(Window.partitionBy("source_key", "bucket").orderBy("h", "doc_id", "k").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
-    placed = dealt.withColumn("inner", inner).join(base, ["source_key", "bucket"]).select("doc_id", "k", "source_key", "size", (F.col("base") + F.col("inner")).alias("start"))
-    kind = dict(docs.dtypes)["doc_id"]
+    inner = F.sum("size").over(Window.partitionBy("source_key", "bucket").orderBy("h", "doc_id", "t", "k").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
+    placed = dealt.withColumn("inner", inner).join(base, ["source_key", "bucket"]).select(*KEY, "size", (F.col("base") + F.col("inner")).alias("start"))
 
-    def run(batches):
+    def drawn(p, start, size):
         import numpy as np
 
+        first, last, n, out = start // BLOCK_WORDS, (start + size - 1) // BLOCK_WORDS, p["n"], []
+        for epoch in range(-(-p["draws"] // n)):
+            place = epoch * n + places(n, p["key"], epoch, np.arange(first, last + 1))
+            for j in np.flatnonzero(place < p["draws"]).tolist():
+                draw, begin = int(place[j]), (first + j) * BLOCK_WORDS
+                end = begin + p["last"] if p["last"] is not None and draw == p["draws"] - 1 else min(begin + BLOCK_WORDS, p["words"])
+                a, b = max(begin, start), min(end, start + size)
+                if a < b:
+                    out.append({"epoch": epoch, "block": first + j, "at": a - start, "words": b - a, "shard": tree.shard(p["key"], draw)})
+        return out
+
+    def run(batches):
+        kinds = pa.list_(pa.struct([("epoch", pa.int32()), ("block", pa.int64()), ("at", pa.int64()), ("words", pa.int64()), ("shard", pa.int32())]))
         for batch in batches:
-            sources = batch.column("source_key").to_pylist()
-            words, goal, draws = [], [], []
-            for source, size, start in zip(sources, batch.column("size").to_pylist(), batch.column("start").to_pylist()):
-                p = plans[source]
-                words.append(p["words"])
-                goal.append(p["target"])
-                mine = []
-                if size:
-                    first, last, n = start // p["block"], (start + size - 1) // p["block"], p["n"]
-                    for epoch in range(-(-p["draws"] // n)):
-                        place = epoch * n + order(n, p["key"], epoch)[first : last + 1]
-                        for j in np.flatnonzero(place < p["draws"]).tolist():
-                            begin = (first + j) * p["block"]
-                            end = min(begin + p["block"], p["words"])
-                            if p["last"] is not None and place[j] == p["draws"] - 1:
-                                end = begin + p["last"]
-                            a, b = max(begin, start), min(end, start + size)
-                            if a < b:
-                                mine.append({"epoch": epoch, "block": first + j, "at": a - start, "words": b - a, "shard": int(np.searchsorted(p["ends"], place[j], side="right"))})
-                draws.append(mine)
-            kinds = pa.list_(pa.struct([("epoch", pa.int32()), ("block", pa.int64()), ("at", pa.int64()), ("words", pa.int64()), ("shard", pa.int32())]))
+            of = [plans[x] for x in batch.column("source_key").to_pylist()]
+            draws = [drawn(p, start, size) if size else [] for p, start, size in zip(of, batch.column("start").to_pylist(), batch.column("size").to_pylist())]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("k"), batch.column("size"), pa.array(words, pa.int64()), pa.array(goal, pa.float64()), pa.array(draws, kinds)],
-                names=["doc_id", "k", "size", "source_size", "target", "draws"],
+                [*(batch.column(c) for c in (*KEY, "size")), pa.array([p["words"] for p in of], pa.int64()), pa.array([p["target"] for p in of], pa.float64()), pa.array(draws, kinds)],
+                names=[*KEY, "size", "source_size", "target", "draws"],
             )
 
-    return placed.mapInArrow(run, f"doc_id {kind}, k int, size long, source_size long, target double, draws {DRAWS}"), shards
+    kind = dict(docs.dtypes)["doc_id"]
+    mixed = placed.mapInArrow(run, f"doc_id {kind}, t long, source_key string, k int, size long, source_size long, target double, draws {DRAWS}")
+    return save(mixed, f"{folder}/mixed"), shards
+
+
+def local_order(*of):
+    """A shard's own shuffle."""
+    return F.xxhash64(F.lit(SEED), *of)
+
+
+def shard_rows(mixed: DataFrame) -> DataFrame:
+    """(shard, place, doc_id, t, source_key, k, epoch, block, at, words): what each shard holds, in its shuffled order."""
+    rows = mixed.select(*KEY, F.explode("draws").alias("d")).select("d.shard", *KEY, "d.epoch", "d.block", "d.at", "d.words")
+    turn = Window.partitionBy("shard").orderBy(local_order("doc_id", "t", "k", "epoch"), "block", "at")
+    return rows.withColumn("place", F.row_number().over(turn))
 
 
 def taken(docs: DataFrame) -> DataFrame:
-    """The query's columns: doc_id, size, source_size, target, taken."""
-    return mix(docs).select("doc_id", "size", "source_size", "target", F.aggregate("draws", F.lit(0).cast("long"), lambda s, d: s + d["words"]).alias("taken"))
+    """The query's columns, summed over what the shards hold, and ``shards``: shard:place:words of each piece, by shard."""
+    mixed = mix(docs)
+    own = [*KEY, "size", "source_size", "target"]
+    piece = F.struct("shard", "place", "words")
+    held = mixed.select(*own, F.lit(None).cast("struct<shard:int,place:int,words:bigint>").alias("p"))
+    pieces = shard_rows(mixed.filter(F.size("draws") > 0)).select(*KEY, *[F.lit(None).cast(t).alias(c) for c, t in (("size", "long"), ("source_size", "long"), ("target", "double"))], piece.alias("p"))
+    each = held.unionByName(pieces).groupBy(*KEY).agg(*[F.max(c).alias(c) for c in ("size", "source_size", "target")], F.sort_array(F.collect_list("p")).alias("p"))
+    listed = F.array_join(F.transform("p", lambda p: F.concat_ws(":", p["shard"].cast("string"), p["place"].cast("string"), p["words"].cast("string"))), ",")
+    return each.select("doc_id", "size", "source_size", "target", F.aggregate("p", F.lit(0).cast("long"), lambda s, p: s + p["words"]).alias("taken"), listed.alias("shards"))
 
 
 def materialise(docs: DataFrame, shards: int | None = None) -> DataFrame:
-    """The mixed documents: ``docs``' columns, one row for each pass that takes words of a document.
+    """The mixed documents: ``docs``' columns, one row for each pass and shard that takes words of a document.
 
     ``text`` holds the words taken (with the white space between adjacent
     ones; the whole text where all are), ``n_chars``, where there is one, its
     length.  Rows lie by output shard, in hashed order.
     """
     mixed, count = _mix(docs, shards)
-    passes = mixed.select("doc_id", F.col("k").alias("_k"), F.col("size").alias("_size"), F.explode(F.array_distinct("draws.epoch")).alias("_epoch"), F.col("draws").alias("_draws"))
-    passes = passes.withColumn("_draws", F.filter("_draws", lambda d: d["epoch"] == F.col("_epoch")))
+    pieces = mixed.select(*KEY, F.col("size").alias("_size"), F.explode("draws").alias("d"))
+    piece = F.struct("d.block", "d.at", "d.words")
+    passes = pieces.groupBy(*KEY, "_size", F.col("d.epoch").alias("_epoch"), F.col("d.shard").alias("_shard")).agg(F.sort_array(F.collect_list(piece)).alias("_draws"))
     text = text_or_empty()
-    order_ = Window.partitionBy("doc_id").orderBy(F.regexp_count(text, F.lit(WORD)), F.xxhash64(text), source_key())
-    keyed = docs.select(packed(docs), F.col("doc_id").alias("_id"), F.row_number().over(order_).alias("_k"))
-    joined = keyed.join(passes.hint("merge"), keyed["_id"].eqNullSafe(passes["doc_id"]) & (keyed["_k"] == passes["_k"])).select("_row", "_size", "_epoch", "_draws")
+    held = docs.select(packed(docs), "doc_id", F.xxhash64(text).alias("t"), source_key().alias("source_key"))
+    rows = keyed(held, "_row")
+    same = rows["doc_id"].eqNullSafe(passes["doc_id"])
+    for c in KEY[1:]:
+        same = same & (rows[c] == passes[c])
+    joined = rows.join(passes.hint("merge"), same).select("_row", rows["t"], rows["k"], "_size", "_epoch", "_shard", "_draws")
     whole = F.aggregate("_draws", F.lit(0).cast("long"), lambda s, d: s + d["words"]) == F.col("_size")
     # Pieces of a text by word numbers: its words with the white space that precedes each.
-    pieces = F.regexp_extract_all(text_or_empty("_row.text"), F.lit(r"(?s)[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
-    cut = F.ltrim(F.array_join(F.flatten(F.transform("_draws", lambda d: F.slice(pieces, (d["at"] + 1).cast("int"), d["words"].cast("int")))), ""))
+    words = F.regexp_extract_all(text_or_empty("_row.text"), F.lit(r"(?s)[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    some = F.array_join(F.flatten(F.transform("_draws", lambda d: F.slice(words, (d["at"] + 1).cast("int"), d["words"].cast("int")))), "")
+    cut = F.regexp_replace(some, r"^[\x20\x09-\x0D]+", "")
     row = F.col("_row").withField("text", F.when(whole, F.col("_row.text")).otherwise(cut))
     if "n_chars" in docs.columns:
         row = row.withField("n_chars", F.length(row["text"]).cast(dict(docs.dtypes)["n_chars"]))
-    out = joined.select(row.alias("_row"), F.element_at("_draws", 1)["shard"].alias("_shard"), "_epoch")
-    return out.repartitionById(count, F.col("_shard")).sortWithinPartitions("_shard", F.xxhash64(F.lit(SEED), "_row.doc_id", "_epoch")).select("_row.*")
+    out = joined.select(row.alias("_row"), "_shard", "_epoch", "t", "k")
+    parts = min(count, PARTITIONS)
+    dealt = out.repartitionById(parts, F.pmod(F.col("_shard"), F.lit(parts)).cast("int"))
+    return dealt.sortWithinPartitions("_shard", local_order("_row.doc_id", "t", "k", "_epoch")).select("_row.*")

@@ -168,18 +168,71 @@ def test_targets_by_hand():
 def test_a_source_gives_exactly_its_words(words, target):
     p = mixing.planned(3, words, target)
     sizes = []
+    order = [mixing.places(p["n"], 3, epoch, np.arange(p["n"])) for epoch in range(p["draws"] // p["n"] + 1)] if p["n"] else []
+    assert all(sorted(x) == list(range(p["n"])) for x in order)
     for d in range(p["draws"]):
         epoch, at = divmod(d, p["n"])
-        block = int(np.flatnonzero(mixing.order(p["n"], 3, epoch) == at)[0])
-        full = min((block + 1) * p["block"], words) - block * p["block"]
+        block = int(np.flatnonzero(order[epoch] == at)[0])
+        full = min((block + 1) * mixing.BLOCK_WORDS, words) - block * mixing.BLOCK_WORDS
         sizes.append(p["last"] if p["last"] is not None and d == p["draws"] - 1 else full)
     assert sum(sizes) == round(target) and min(sizes, default=1) > 0
 
 
-def test_splitting_tree_keeps_quotas_and_shard_sizes():
-    q = mixing.split_tree([100, 7, 0, 53], 16)
-    assert q.sum(axis=1).tolist() == [100, 7, 0, 53] and q.sum(axis=0).max() - q.sum(axis=0).min() <= 4 and (q >= 0).all()
-    assert (q == mixing.split_tree([100, 7, 0, 53], 16)).all()
+def quotas(tree, draws, shards):
+    q = np.zeros((len(draws), shards), int)
+    for i, n in enumerate(draws):
+        found = [tree.shard(i, d) for d in range(n)]
+        assert found == sorted(found)  # consecutive ranges
+        for x in found:
+            q[i, x] += 1
+    return q
+
+
+def test_splitting_tree_keeps_quotas_and_shard_sizes(monkeypatch):
+    draws = [100, 7, 0, 53, 1]
+    for shards in (1, 5, 16):
+        q = quotas(mixing.Tree(draws, shards), draws, shards)
+        assert q.sum(axis=1).tolist() == draws and q.sum(axis=0).max() - q.sum(axis=0).min() <= 4
+    monkeypatch.setattr(mixing, "TREE_NODES", 3)  # forgetting changes nothing
+    assert (quotas(mixing.Tree(draws, 16), draws, 16) == q).all() and (quotas(mixing.Tree(draws, 16, 12), draws, 16) != q).any()
+
+
+def test_splits_are_hypergeometric():
+    first = np.array([mixing.Tree([30, 10, 20], 2, seed).held(2, mixing.Tree([30, 10, 20], 2).leaf(0)) for seed in range(3000)])
+    assert first.mean() == pytest.approx(15, abs=0.15) and first.var() == pytest.approx(30 * 30 / 60 * 30 / 60 * 30 / 59, rel=0.1)
+
+
+def test_many_sources_and_large_numbers():
+    draws = [10**10 + i for i in range(5000)]
+    tree = mixing.Tree(draws, 1 << 24)
+    assert tree.shard(0, 0) >= 0 and tree.shard(4999, draws[-1] - 1) < 1 << 24 and tree.shard(2500, 0) < tree.shard(2500, draws[2500] - 1)
+    p = mixing.places(10**12 + 7, 1, 2, np.arange(1000))
+    assert len(set(p.tolist())) == 1000 and p.min() >= 0 and p.max() < 10**12 + 7
+
+
+def test_the_mix_is_what_the_shards_hold(spark, monkeypatch):
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(700 + i)), "en", "ab"[i % 2]) for i in range(40)]
+    d = docs(spark, rows)
+    mixed = mixing.mix(d, 8)
+    got = mixing.shard_rows(mixed).collect()
+    # Brute force: every draw by its definition.
+    words = [sum(700 + i for i in range(40) if i % 2 == s) for s in (0, 1)]
+    plans = [mixing.planned(s, w, t) for s, (w, t) in enumerate(zip(words, mixing.targets(words, [5, 2])))]
+    tree, want = mixing.Tree([p["draws"] for p in plans], 8), {}
+    for s, p in enumerate(plans):
+        for epoch in range(-(-p["draws"] // p["n"])):
+            for block, place in enumerate(mixing.places(p["n"], s, epoch, np.arange(p["n"])).tolist()):
+                if epoch * p["n"] + place < p["draws"]:
+                    want[s, epoch, block] = tree.shard(s, epoch * p["n"] + place)
+    assert {("ab".index(r["source_key"][1]), r["epoch"], r["block"]): r["shard"] for r in got} == want
+    for s in range(8):
+        assert sorted(r["place"] for r in got if r["shard"] == s) == list(range(1, sum(r["shard"] == s for r in got) + 1))
+    q = np.bincount([r["shard"] for r in got], minlength=8)
+    one = {r["doc_id"]: (r["taken"], r["shards"]) for r in mixing.taken(d).collect()}
+    assert q.max() - q.min() <= 12 and sum(t for t, _ in one.values()) == sum(words)
+    assert all(sum(int(x.split(":")[2]) for x in s.split(",") if s) == t for t, s in one.values())
+    monkeypatch.setattr(mixing, "SEED", 12)
+    assert {r["doc_id"]: (r["taken"], r["shards"]) for r in mixing.taken(d).collect()} != one
 
 
 def test_mix_over_rows(spark):
