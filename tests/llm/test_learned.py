@@ -1,3 +1,4 @@
+import functools
 import random
 import re
 import zlib
@@ -111,23 +112,56 @@ def test_base_spans_match_the_patterns(letters):
 PERSONAL = "Write to jo.doe@mail.org or call +1 (743) 555-3824 now. Later: 743-555-3824. Card 4111 1111 1111 1111, again 4111.1111.1111.1111. Host 10.0.0.256 is no host, 10.0.0.25 is. Order 1234567890123456."
 
 
+@functools.lru_cache(maxsize=1)
 def field():
     r = random.Random(7)
     texts = []
     for i in range(400):
         phone = f"+1 ({r.randint(200, 999)}) 555-{r.randint(1000, 9999)}"
-        texts.append(" ".join(r.sample(["and", "the", phone, f"user{i}@site{i % 9}.net", f"{r.randint(1, 255)}.{r.randint(0, 255)}.1.9", "4111 1111 1111 1111", str(r.randint(10**15, 10**16 - 1)), "of", "from"], 9)))
+        items = r.sample([phone, f"user{i}@site{i % 9}.net", f"{r.randint(1, 255)}.{r.randint(0, 255)}.1.9", "4111 1111 1111 1111", str(r.randint(10**15, 10**16 - 1))], 5)
+        texts.append(" ".join(x for item in items for x in (*r.choices(["and", "the", "of", "from", "alpha", "beta"], k=4), item)))
     return pii.train(texts)
 
 
 def test_linked_mentions_become_spans_and_strangers_do_not():
     f = field()
-    base, every = pii.found([PERSONAL], f, 0.7)[0]
+    base, every = pii.found([PERSONAL], f)[0]
     added = {PERSONAL[a:b] for k in pii.KINDS for a, b in set(every[k]) - set(base[k])}
     assert all(set(base[k]) <= set(every[k]) for k in pii.KINDS)
     assert any("743-555-3824" in x for x in added) and not any("1234567890123456" in x for x in added)
     clean = "A plain text of the year 1984 with 2.0 versions, section 3.1.2 and 1,000,000 words."
-    assert pii.joined(pii.found([clean], f, 0.7)[0][1]) == ""
+    assert pii.joined(pii.found([clean], f)[0][1]) == ""
+
+
+def test_planted_mentions_in_other_forms():
+    f, r, cases = field(), random.Random(4), []
+    for i in range(300):
+        words = [r.choice(["and", "the", "of", "from", "alpha", "beta"]) for _ in range(60)]
+        known, stranger = (f"{r.randint(200, 999)}555{r.randint(0, 9999):04}" for _ in range(2))
+        form = lambda d: r.choice("-. ").join([d[:3], d[3:6], d[6:]])
+        again, other = form(known), form(stranger)
+        text = " ".join([*words[:20], f"+1 ({known[:3]}) {known[3:6]}-{known[6:]}", *words[20:40], again, *words[40:50], other, *words[50:]])
+        cases.append((text, again))
+    added = []
+    for (text, _), (base, every) in zip(cases, pii.found([t for t, _ in cases], f)):
+        added.append({text[a:b] for k in pii.KINDS for a, b in set(every[k]) - set(base[k])})
+    right = sum(again in x for (_, again), x in zip(cases, added))
+    assert right >= 0.9 * len(cases) and right >= 0.9 * sum(map(len, added))
+
+
+def test_evidence_reaches_every_repeat():
+    number = "743-555-3824"
+    text = f"call +1 (743) 555-3824 now " + f"and {number} of " * 40
+    base, every = pii.found([text], field())[0]
+    assert len(set(every["phone"]) - set(base["phone"])) == 40
+
+
+def test_numbers_beside_others_are_found():
+    f = field()
+    text = "the 4111111111111111 1234567890123456 and from +1 (843) 555-7672 170.106.47.218 of"
+    base, every = pii.found([text], f)[0]
+    added = {(k, text[a:b]) for k in pii.KINDS for a, b in set(every[k]) - set(base[k])}
+    assert ("card", "4111111111111111") in added and not any("1234567890123456" in x for _, x in added)
 
 
 def test_message_passing_is_exact_on_a_chain():
