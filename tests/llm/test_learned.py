@@ -68,18 +68,40 @@ def test_held_out_rows_and_other_columns_teach_nothing(spark):
 
 
 def test_unlabelled_tables_give_unknown(spark):
-    d = docs(spark, [(1, "abc", None, None)])
+    d = docs(spark, [(1, "abc", None, None), (2, "12", None, None)])
     assert language.identified(d).first()["lang_pred"] == "und"
+    assert [r["doc_id"] for r in language.accepted(d).collect()] == [1]
 
 
-def test_memo_generations_change_nothing(monkeypatch):
-    net = language.Network(["a", "b"], np.random.default_rng(1))
-    texts = [f"alpha{i} beta{i % 7} gamma" for i in range(50)]
-    one = language.Reader(net).documents(texts)
-    monkeypatch.setattr(language, "MEMO", 5)
-    r = language.Reader(net)
-    parts = [r.documents(texts[i : i + 3]) for i in range(0, 50, 3)]
-    assert (np.concatenate([p[0] for p in parts]) == one[0]).all() and np.allclose(np.concatenate([p[1] for p in parts]), one[1])
+def test_windows_read_like_whole_documents(spark, monkeypatch):
+    rows = corpus()
+    net = language.train(language.sample(docs(spark, rows)))
+    texts = [t * 3 for _, t, _, _ in rows[:12]] + ["", "a", "12", None]
+    best, score = language.documents(net, texts)
+    monkeypatch.setattr(language, "WINDOW", 10**6)  # one window holds a document: no context is cut
+    whole, sure = language.documents(net, texts)
+    assert (best == whole).all() and np.abs(score - sure).max() < 0.01 and (best[-4:] == [-1, best[-3], -1, -1]).all()
+    monkeypatch.undo()
+    monkeypatch.setattr(language, "ROWS", 3)  # nor do batches matter
+    assert np.allclose(language.documents(net, texts)[1], score, atol=1e-5)
+
+
+def test_windows_cover_every_position_once():
+    data = bytes(range(256)) * 5
+    for n in (0, 1, 191, 192, 193, 1000):
+        parts = language.windows(data[:n])
+        assert b"".join(p[lead : lead + own] for p, lead, own in parts) == data[:n]
+
+
+def test_both_readings_agree():
+    net = language.Network(["a", "b", "c"], np.random.default_rng(3))
+    x, mask = language.padded([b"hello there", b"ab", b"zzz z"])
+    for d in "fb":
+        assert np.allclose(net.states(x, mask, d)[0], net.read(x, mask, d), atol=1e-6)
+
+
+def test_the_least_score_follows_the_number_of_languages():
+    assert language.least_score(4) == 0.4 and language.least_score(100) < 0.02
 
 
 def brute(text):
