@@ -15,10 +15,11 @@
 
 ``read`` scans both kinds of files, recomputes every chunk digest and every
 file's Merkle root, joins recipes to chunks by digest, and rebuilds each
-document, checking its root and length.  ``summaries`` does the same without
-moving a chunk.  Only digests and compressed unique chunks are shuffled.  A task writes under a name of its own and a manifest
-lists only files of tasks that finished, so lost executors and repeated tasks
-do no harm.
+document, checking its root and length; the query's results come from the ids
+so rebuilt.  ``summaries`` puts checksums together from those of the chunks
+without moving one.  Only digests and compressed chunks are shuffled.  A task
+writes under a name of its own and a manifest lists only files of tasks that
+finished, so lost executors and repeated tasks do no harm.
 
 File formats (little-endian).  Pack: ``TOKPACK1``, then per chunk 32 bytes
 digest, u32 length, that many bytes of zstd over ids (u16 if the vocabulary
@@ -26,13 +27,15 @@ fits, else u32).  Recipe: ``TOKRECI1``, then per document u8 (1: has id),
 i64 doc_id, u64 ids, u32 chunks, 32 bytes root, 32 bytes a chunk.
 
 Defined cases: null text is empty and gives the end id alone; null doc_ids sort
-first; rows that share a doc_id are documents of their own (order among them
-is not fixed); empty tables give an empty result; other columns are ignored.
+first; rows that share a doc_id are documents of their own, in the order of
+their texts' hashes; empty tables give an empty result; other columns are
+ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import struct
 import uuid
@@ -71,8 +74,43 @@ def byte_letters() -> dict[int, str]:
     return out
 
 
+#: The normaliser and the pre-tokenizer for which the rules of ``WordEncoder`` hold.
+NORMALISER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
+def by_words(path: str) -> bool:
+    """Whether the tokenizer in ``path`` is of the make whose texts can be encoded word by word."""
+    with open(path, encoding="utf-8") as f:
+        made = json.load(f)
+    whole = all(not (t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]) and t["content"].split() == [t["content"]] for t in made.get("added_tokens") or [])
+    plain = (made["normalizer"], made["pre_tokenizer"], made["model"]["type"], made.get("truncation"), made.get("padding")) == (NORMALISER, PRE_TOKENIZER, "BPE", None, None)
+    return whole and plain and not made["model"].get("dropout")
+
+
+class TextEncoder:
+    """Any tokenizer, text by text."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.size = self.tokenizer.get_vocab_size()
+
+    def encode(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+
 class WordEncoder(Memo):
-    """Memo from a white-space free run to its ids (u32 bytes).
+    """Memo from a white-space free run to its ids (u32 bytes), for a tokenizer of which ``by_words`` holds.
 
     The tokenizer's normaliser and pre-tokenizer drop white space and never
     look across it, so encoding runs one by one equals encoding the text.
@@ -117,11 +155,11 @@ def runs(text: str) -> list[str]:
 
 
 @lru_cache(maxsize=2)
-def load(path: str) -> WordEncoder:
+def load(path: str) -> WordEncoder | TextEncoder:
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return WordEncoder(path)
+    return WordEncoder(path) if by_words(path) else TextEncoder(path)
 
 
 @lru_cache(maxsize=1)
@@ -168,7 +206,7 @@ def merkle(leaves: list[bytes]) -> bytes:
 
 
 def encode(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """(doc_id, n_tokens, digests, payloads): the chunks of each text's ids, compressed."""
+    """(doc_id, turn, n_tokens, digests, payloads): the chunks of each text's ids, compressed; turn: the text's hash."""
 
     def run(batches):
         import numpy as np
@@ -193,11 +231,12 @@ def encode(docs: DataFrame, path: str, end_id: int) -> DataFrame:
                     payloads.append([press.compress(p.astype(narrow).tobytes()) for p in parts])
                     at += n
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(i, 256), pa.array(counts, pa.int64()), pa.array(digests, pa.list_(pa.binary())), pa.array(payloads, pa.list_(pa.binary()))],
-                    names=["doc_id", "n_tokens", "digests", "payloads"],
+                    [batch.column("doc_id").slice(i, 256), batch.column("turn").slice(i, 256), pa.array(counts, pa.int64()), pa.array(digests, pa.list_(pa.binary())), pa.array(payloads, pa.list_(pa.binary()))],
+                    names=["doc_id", "turn", "n_tokens", "digests", "payloads"],
                 )
 
-    return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, digests array<binary>, payloads array<binary>")
+    held = small_batches(docs).select(F.col("doc_id").cast("long"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("turn"))
+    return held.mapInArrow(run, "doc_id long, turn long, n_tokens long, digests array<binary>, payloads array<binary>")
 
 
 def _writer(folder: str, magic: bytes, entries):
@@ -240,8 +279,8 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int) -> None:
     # Equal digests with unlike chunks would both stay here and fail when read.
     unique = encoded.select(F.explode(F.arrays_zip("digests", "payloads")).alias("c")).select("c.digests", "c.payloads").distinct()
     save(unique.mapInArrow(_writer(f"{folder}/packs", PACK, packed), MANIFEST), f"{folder}/packs-manifest")
-    ordered = encoded.select("doc_id", "n_tokens", "digests").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    save(ordered.mapInArrow(_writer(f"{folder}/recipes", RECIPE, recipe), MANIFEST), f"{folder}/recipes-manifest")
+    ordered = encoded.select("doc_id", "turn", "n_tokens", "digests").repartitionByRange("doc_id", "turn").sortWithinPartitions("doc_id", "turn")
+    save(ordered.select("doc_id", "n_tokens", "digests").mapInArrow(_writer(f"{folder}/recipes", RECIPE, recipe), MANIFEST), f"{folder}/recipes-manifest")
     remove(f"{folder}/encoded")
 
 
@@ -420,4 +459,4 @@ def stored(docs: DataFrame, path: str, end_id: int = 2) -> DataFrame:
     """The query's columns: write ``docs``, read the files back."""
     folder = scratch(docs.sparkSession, "tokens")
     write(docs, path, folder, end_id)
-    return summaries(docs.sparkSession, folder)
+    return read(docs.sparkSession, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

@@ -75,7 +75,6 @@ def test_special_tokens_are_one_id():
 
 def test_token_store_round_trip(spark):
     t = Tokenizer.from_file(WORDS)
-    t.encode_special_tokens = True
     d, folder = docs(spark), scratch(spark, "tokens-test")
     token_store.write(d, WORDS, folder, 2)
     whole = {(r["doc_id"], r["start"]): np.frombuffer(r["ids"], "<u4").tolist() for r in token_store.read(spark, folder).collect()}
@@ -89,9 +88,22 @@ def test_token_store_round_trip(spark):
         start += len(ids)
     order = [-1 if i is None else i for i, _ in sorted(whole, key=lambda k: k[1])]
     assert order == sorted(order)
+    rows = sorted(map(tuple, token_store.stored(d.repartition(5), WORDS).collect()), key=lambda r: r[1])
+    assert rows == sorted(((i, at, *short[i, at]) for i, at in short), key=lambda r: r[1])  # repeats in the same order
     assert token_store.stored(d.limit(0), WORDS).count() == 0
 
 
+def test_other_makes_of_tokenizers_take_whole_texts(tmp_path):
+    import json
+
+    made = json.load(open(WORDS))
+    made["normalizer"] = {"type": "NFC"}
+    (tmp_path / "other.json").write_text(json.dumps(made))
+    path, text = str(tmp_path / "other.json"), "Hello World <|endoftext|> it's\u2028x  12"
+    assert token_store.by_words(WORDS) and not token_store.by_words(path)
+    assert np.frombuffer(token_store.load(path).encode(text), "<u4").tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+
+
 def test_equal_chunks_are_stored_once_and_damage_is_seen(spark):
     text = " ".join(f"w{i % 211}x{i % 17}" for i in range(4000))
     d, folder = docs(spark, [(i, text) for i in range(20)]), scratch(spark, "tokens-test")
