@@ -126,3 +126,24 @@ class Condition:
         for s, u in self.terms:
             out = out | ((f.bitwiseAND(F.lit(s)) == s) & (f.bitwiseAND(F.lit(u)) == 0))
         return out
+
+
+def order(array) -> Column:
+    """Places (from 0) of an array's elements in ascending order; nulls first, ties by place."""
+    pairs = F.transform(col(array), lambda x, i: F.struct(x.alias("x"), i.alias("i")))
+    return F.transform(F.array_sort(pairs), lambda p: p["i"])
+
+
+def is_sorted(array) -> Column:
+    return F.array_sort(col(array)) == col(array)
+
+
+def choose(n: Column, k: Column) -> Column:
+    """Binomial coefficient, also of negative ``n``; 0 for negative ``k``."""
+    product = F.aggregate(F.sequence(F.lit(1).cast("long"), F.greatest(k, F.lit(1))), F.lit(1.0), lambda p, i: p * (n - i + 1) / i)
+    return F.when(k < 0, 0.0).when(k == 0, 1.0).otherwise(product)
+
+
+def aic(f: Column, n: Column, k: int) -> Column:
+    """n ln(f / n) + 2 (k + 1): ``f`` a residual sum of squares over ``n`` points, ``k`` parameters."""
+    return n * F.log(f / n) + 2 * (k + 1)

@@ -158,3 +158,38 @@ def region_features(regions: DataFrame, track: DataFrame, before: int, after: in
     grid = regions.select("element_id", "site", "s", "e", F.col("pos").alias("_at"), F.explode(F.sequence(F.lit(-before), F.lit(after))).alias("offset")).withColumn("pos", F.col("_at") + F.col("offset"))
     held = grid.join(track, ["element_id", "pos"], "left")
     return held.select("element_id", "site", "offset", F.when((F.col("pos") >= F.col("s")) & (F.col("pos") < F.col("e")), F.col("value")).alias("value"))
+
+
+def find_connections(wanted: DataFrame, site_table: DataFrame, edges: DataFrame) -> DataFrame:
+    """``wanted`` (element_id, s, e, reversed) with from_site, to_site and connection, null where there is none.
+
+    On a reversed element the ends swap.
+    """
+    turned = wanted.withColumns({"_f": F.when(F.col("reversed"), F.col("e")).otherwise(F.col("s")), "_u": F.when(F.col("reversed"), F.col("s")).otherwise(F.col("e"))})
+    at = lambda pos, site: site_table.select("element_id", F.col("pos").alias(pos), F.col("site").alias(site))
+    held = turned.join(at("_f", "from_site"), ["element_id", "_f"], "left").join(at("_u", "to_site"), ["element_id", "_u"], "left")
+    return held.join(edges.select("element_id", "from_site", "to_site", "connection"), ["element_id", "from_site", "to_site"], "left").select(*wanted.columns, "from_site", "to_site", "connection")
+
+
+def connection_elements(edges: DataFrame, site_table: DataFrame, before: int, after: int) -> DataFrame:
+    """(element_id, connection, s, e, forward): the part each connection spans, ``before`` its first site and ``after`` its last.
+
+    Along a reverse connection the first site is the right one, so the offsets swap.
+    """
+    at = lambda site, pos: site_table.select("element_id", F.col("site").alias(site), F.col("pos").alias(pos))
+    t = edges.join(at("from_site", "_p"), ["element_id", "from_site"]).join(at("to_site", "_q"), ["element_id", "to_site"])
+    s = F.when(F.col("forward"), F.col("_p") - before).otherwise(F.col("_q") - after)
+    e = F.when(F.col("forward"), F.col("_q") + 1 + after).otherwise(F.col("_p") + 1 + before)
+    return t.select("element_id", "connection", s.alias("s"), e.alias("e"), "forward")
+
+
+def map_connections(connections: DataFrame, elements: DataFrame, others: DataFrame) -> DataFrame:
+    """(element_id, other_id, s, e, other_s, other_e): both ends of each connection on another element, null on a different reference."""
+    a = elements.select("element_id", *[F.col(c).alias(f"_{c}") for c in ("ref", "start", "end", "forward")])
+    b = others.select(F.col("element_id").alias("other_id"), *[F.col(c).alias(f"_o_{c}") for c in ("ref", "start", "end", "forward")])
+
+    def there(pos):
+        at = to_reference(F.col(pos), F.col("_start"), F.col("_end"), F.col("_forward"))
+        return F.when(F.col("_ref") == F.col("_o_ref"), to_element(at, F.col("_o_start"), F.col("_o_end"), F.col("_o_forward")))
+
+    return connections.join(a, "element_id").join(b, "other_id").select("element_id", "other_id", "s", "e", there("s").alias("other_s"), there("e").alias("other_e"))

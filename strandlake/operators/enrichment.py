@@ -116,11 +116,38 @@ def central(tested: DataFrame, significance: float = 0.05) -> DataFrame:
 
     n = tested.agg(F.countDistinct("motif_id").alias("_n"))
     kept = tested.join(F.broadcast(n)).filter((F.col("centrality_q") * F.col("_n") < significance) & (F.col("enrichment_q") * F.col("_n") < significance) & (F.col("centrality") > 1) & (F.col("enrichment") > 1))
-    logs = kept.withColumns({"_a": -F.log10(F.greatest("centrality_q", F.lit(1e-300))), "_b": -F.log10(F.greatest("enrichment_q", F.lit(1e-300)))}).withColumn("_all", F.lit(1))
+    logs = kept.withColumns({"_a": F.round(-F.log10(F.greatest("centrality_q", F.lit(1e-300))), 9), "_b": F.round(-F.log10(F.greatest("enrichment_q", F.lit(1e-300))), 9)}).withColumn("_all", F.lit(1))
     scored = logs.withColumn("score", rank_average(["_all"], "_a") + rank_average(["_all"], "_b"))
     return scored.withColumn("place", F.row_number().over(Window.partitionBy("_all").orderBy(F.col("score").desc(), F.col("_a").desc(), "motif_id", "start", "end"))).drop("_a", "_b", "_all", "_n")
 
 
+def label_sizes(seqs: DataFrame) -> tuple[int, int]:
+    """Numbers of positives and negatives."""
+    n = {r["label"]: r["count"] for r in seqs.groupBy("label").count().collect()}
+    return n.get(1, 0), sum(c for k, c in n.items() if k != 1)
+
+
+def binned(counts: DataFrame, width: int) -> DataFrame:
+    """Position counts in bins of ``width`` positions."""
+    return counts.groupBy("motif_id", (F.floor(F.col("pos") / width) + 1).alias("pos")).agg(F.sum("np").alias("np"), F.sum("nn").alias("nn"))
+
+
+def motif_map(seqs: DataFrame, motifs: DataFrame, half_win: int, space: KmerSpace, positions: int, tolerance: float = 1e-10, width: int = 1, significance: float = 0.05) -> DataFrame:
+    """(motif_id, rank, auroc, threshold, start, end, centrality, ..., score): enriched motifs, the best interval of each, best first.
+
+    ``seqs``: (seq_id, label, seq), all of one length, positives with label 1;
+    ``positions``: window starts of a sequence.
+    """
+    p = profiles(seqs, motifs, half_win, space)
+    scores = best_scores(p, seqs, motifs, tolerance)
+    cut = thresholds(scores)
+    counts = position_counts(hits(p, scores, cut, tolerance), motifs, positions)
+    ranked = central(tests(binned(counts, width) if width > 1 else counts, *label_sizes(seqs)), significance)
+    best = ranked.withColumn("_k", F.row_number().over(Window.partitionBy("motif_id").orderBy("place"))).filter("_k = 1").drop("_k")
+    # One row a motif is left to number.
+    return best.join(cut, "motif_id").withColumn("_all", F.lit(1)).withColumn("rank", F.row_number().over(Window.partitionBy("_all").orderBy("place"))).drop("_all", "place")
+
+
 def fit_profile(ratio: DataFrame, center: int, restarts: int = 8, seed: int = 0) -> DataFrame:
     """(motif_id, shape, height, width, position, base, aic, peak95): which curve fits each motif's mean ratio best.
 

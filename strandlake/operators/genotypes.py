@@ -127,3 +127,54 @@ def variations(genotypes: DataFrame, variants: DataFrame) -> DataFrame:
     t = matrix(genotypes).filter("allele > 0").join(variants, KEY)
     alt = F.get("alleles", "allele")
     return t.filter(F.length(alt) == F.length(F.get("alleles", F.lit(0)))).select("interval", "subject", "copy", "pos", alt.alias("seq"))
+
+
+def outside(genotypes: DataFrame, intervals: DataFrame) -> DataFrame:
+    """Calls inside none of (interval, start, end); a missing bound is open."""
+    t = intervals.select(F.col("interval").alias("_i"), F.col("start").alias("_s"), F.col("end").alias("_e"))
+    hit = (F.col("_s").isNull() | F.col("_e").isNull()) | ((F.col("pos") >= F.col("_s")) & (F.col("pos") < F.col("_e")))
+    return genotypes.join(t, (F.col("interval") == F.col("_i")) & hit, "left_anti")
+
+
+def split_intervals(intervals: DataFrame, removed: DataFrame) -> DataFrame:
+    """(interval, start, end): what is left of each interval without the removed ones, which may split it.
+
+    The cuts of an interval are gathered in one row: they are those of a list
+    of removed intervals, not of the data.
+    """
+    own = intervals.select("interval", "start", "end")
+    cuts = merged_intervals(removed.select("interval", "start", "end")).select(F.col("interval").alias("_i"), F.col("start").alias("_s"), F.col("end").alias("_e"))
+    whole = F.col("_s").isNull() | F.col("_e").isNull()
+    meets = (F.col("interval") == F.col("_i")) & (whole | ((F.col("_s") < F.col("end")) & (F.col("_e") > F.col("start"))))
+    held = own.join(cuts, meets, "left").groupBy("interval", "start", "end").agg(F.sort_array(F.collect_list(F.when(F.col("_i").isNotNull() & ~whole, F.struct("_s", "_e")))).alias("x"), F.bool_or(F.coalesce(F.col("_i").isNotNull() & whole, F.lit(False))).alias("gone"))
+    starts = F.concat(F.array("start"), F.transform("x", lambda c: c["_e"]))
+    ends = F.concat(F.transform("x", lambda c: c["_s"]), F.array("end"))
+    parts = held.filter("NOT gone").select("interval", F.explode(F.arrays_zip(starts.alias("s"), ends.alias("e"))).alias("p"))
+    return parts.select("interval", F.col("p.s").alias("start"), F.col("p.e").alias("end")).filter("start < end")
+
+
+def sorted_subjects(genotypes: DataFrame, order: DataFrame) -> DataFrame:
+    """Calls of the subjects in (subject, place), with ``turn``: the subject's number by place within its variant."""
+    w = Window.partitionBy(*KEY).orderBy("place", "subject")
+    return genotypes.join(order, "subject").withColumn("turn", F.row_number().over(w).cast("long"))
+
+
+def genotyping_intervals(variants: DataFrame) -> DataFrame:
+    """From resequencing to genotyping: one interval a name, from its first variant to its last."""
+    return variants.groupBy("interval").agg(F.min("pos").alias("start"), (F.max("pos") + 1).alias("end"))
+
+
+def whole(start, end):
+    """A missing bound on either end: the whole reference."""
+    return start.isNull() | end.isNull()
+
+
+def contains(a: tuple, b: tuple):
+    """Whether interval ``a`` (start, end) of the same name holds ``b``; one with a missing bound holds all."""
+    return whole(*a) | (~whole(*b) & (a[0] <= b[0]) & (b[1] <= a[1]))
+
+
+def compare(a: tuple, b: tuple):
+    """-1, 0 or 1 by start, then by end; a missing bound compares equal."""
+    first = F.when(a[0] < b[0], -1).when(a[0] > b[0], 1).when(a[1] < b[1], -1).when(a[1] > b[1], 1).otherwise(0)
+    return F.when(whole(*a) | whole(*b), 0).otherwise(first)

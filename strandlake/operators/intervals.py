@@ -127,11 +127,11 @@ def background(selected: DataFrame, excluded: DataFrame, candidates: DataFrame,
     if n > total:
         raise ValueError("more background than selected regions")
     free = excluding(key(candidates), excluded.select("chrom", "start", "end").unionByName(selected.select("chrom", "start", "end")))
-    turn = F.xxhash64("chrom", "start", "end")
+    turn = F.md5(F.concat_ws(":", "chrom", "start", "end"))
     apart = first_come(free.join(wanted.select("size", "key"), ["size", "key"], "left_semi").select("chrom", "start", "end", "size", "key").withColumn("turn", turn), "turn")
     ranked = apart.join(wanted, ["size", "key"]).withColumn("i", F.row_number().over(Window.partitionBy("size", "key").orderBy("turn", "chrom", "start"))).filter("i <= need")
     out = ranked.select("chrom", "start", "end", "size", "key")
-    return out.orderBy(F.xxhash64("chrom", "start"), "chrom", "start").limit(n) if n else out
+    return out.orderBy(F.md5(F.concat_ws(":", "chrom", "start")), "chrom", "start").limit(n) if n else out
 
 
 def random_intervals(spark: SparkSession, lengths: dict[str, int], n: int, size: int, seed: int) -> DataFrame:

@@ -33,6 +33,13 @@ def mse(a: DataFrame, b: DataFrame, rows: int, cols: int) -> DataFrame:
     return both.agg((F.coalesce(F.sum(d * d), F.lit(0.0)) / (rows * cols)).alias("mse"))
 
 
+def find(a: DataFrame, least: float) -> DataFrame:
+    """(row, col) of the cells at or above ``least``; absent cells are zeros, so it has to be positive."""
+    if least <= 0:
+        raise ValueError("zeros aren't held")
+    return a.filter(F.col("x") >= least).select("row", "col")
+
+
 def select_columns(a: DataFrame, columns: DataFrame) -> DataFrame:
     """Columns listed in (col, new), renumbered."""
     return a.join(columns, "col").select("row", F.col("new").alias("col"), "x")
@@ -40,5 +47,5 @@ def select_columns(a: DataFrame, columns: DataFrame) -> DataFrame:
 
 def sample_columns(a: DataFrame, n: int, seed: int) -> DataFrame:
     """``n`` columns chosen by a seeded hash, the same on every run."""
-    chosen = a.select("col").distinct().orderBy(F.xxhash64(F.lit(seed), "col"), "col").limit(n)
+    chosen = a.select("col").distinct().orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("col").cast("string"))), "col").limit(n)
     return a.join(chosen, "col", "left_semi")

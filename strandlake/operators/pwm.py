@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import floor
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -124,7 +126,7 @@ def distribution(columns: list[list[float]], background=UNIFORM, granularity: fl
     for col in columns:
         nxt: dict[int, float] = {}
         for b, q in zip(col, background):
-            step = int(b // granularity)
+            step = floor(b / granularity)
             for s, p in held.items():
                 nxt[s + step] = nxt.get(s + step, 0.0) + p * q
         held = nxt
@@ -149,7 +151,11 @@ def threshold(columns: list[list[float]], alpha: float, background=UNIFORM, gran
 
 def p_value(columns: list[list[float]], score: float, background=UNIFORM, granularity: float = 1e-3) -> float:
     """P(score or more), read off the distribution linearly between its scores."""
-    d = distribution(columns, background, granularity)[::-1]
+    return read_off(distribution(columns, background, granularity)[::-1], score)
+
+
+def read_off(d: list[tuple[float, float]], score: float) -> float:
+    """P(score or more) by a distribution in ascending order of scores."""
     if score <= d[0][0]:
         return 1.0
     if score > d[-1][0]:
@@ -173,6 +179,26 @@ def distributions(scoring: DataFrame, granularity: float = 1e-2) -> DataFrame:
     return scoring.groupBy("name").applyInPandas(run, "name string, score double, p double")
 
 
+def p_values(scores: DataFrame, scoring: DataFrame, score: str, granularity: float = 1e-3) -> DataFrame:
+    """``scores`` (name, score, ...) with ``p``, the tail probability under the matrix of that name.
+
+    A matrix and the scores asked of it meet in one group; its distribution is
+    worked out once there.
+    """
+    kinds = ", ".join(f"`{n}` {t}" for n, t in scores.dtypes)
+
+    def run(matrix, asked):
+        import pandas as pd
+
+        if not len(matrix) or not len(asked):
+            return asked.assign(p=pd.Series(dtype=float))[[*names, "p"]].iloc[:0]
+        d = distribution(matrix.sort_values("pos")[list(BASES)].to_numpy().tolist(), granularity=granularity)[::-1]
+        return asked.assign(p=[read_off(d, x) for x in asked[score]])[[*names, "p"]]
+
+    names = scores.columns
+    return scoring.withColumnRenamed("name", "_name").select(F.col("_name"), F.col("pos").alias("pos"), *[F.col(b).alias(b) for b in BASES]).groupBy("_name").cogroup(scores.groupBy("name")).applyInPandas(run, f"{kinds}, p double")
+
+
 def thresholds(scoring: DataFrame, alpha: float) -> DataFrame:
     """(name, threshold, p) of every scoring matrix."""
 

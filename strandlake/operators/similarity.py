@@ -66,12 +66,20 @@ def _multiplied(sequences: DataFrame, cells, kind: str, motif_kind: str) -> Data
     return rows.mapInArrow(run, f"seq_id {kind}, motif_id {motif_kind}, bc double")
 
 
+#: Ids that a set of motifs may have where all pairs with it are the result.
+SET_IDS = 100_000
+
+
 def pairs(a: DataFrame, b: DataFrame, id_a: str = "a", id_b: str = "b", key: str = "seq_id") -> DataFrame:
     """All pairs of ids: the dense shape of a result between sets of motifs.
 
-    The second set's ids travel as one array, so it has to be a set of motifs.
+    The second set's ids travel as one array, so it has to be a set of motifs:
+    they are counted first, and more than ``SET_IDS`` are an error.
     """
-    ids = b.select(F.col(key).alias("_id")).distinct().agg(F.collect_list("_id").alias("_ids"))
+    one = b.select(F.col(key).alias("_id")).distinct()
+    if one.limit(SET_IDS + 1).count() > SET_IDS:
+        raise ValueError(f"more than {SET_IDS} ids: not a set of motifs")
+    ids = one.agg(F.collect_list("_id").alias("_ids"))
     return a.select(F.col(key).alias(id_a)).distinct().join(F.broadcast(ids)).select(id_a, F.explode("_ids").alias(id_b))
 
 

@@ -108,3 +108,26 @@ def sequences(tx: DataFrame, reference: DataFrame, exon_table: DataFrame) -> Dat
     u, c, v = F.col("utr5"), F.col("cds"), F.col("utr3")
     out = t.select("tx_id", F.col("_m").alias("mrna"), cut(F.lit(0), u).alias("utr5"), cut(u, c).alias("cds"), cut(u + c, v).alias("utr3"))
     return out.withColumn("protein", translate_codons("cds"))
+
+
+def intervals_on_mrna(intervals: DataFrame, exon_table: DataFrame) -> DataFrame:
+    """(tx_id, s, e, mrna_s, mrna_e, utr5_s, ..., utr3_e): both ends of element intervals mapped, each for itself."""
+    parts = ("mrna", "utr5", "cds", "utr3")
+    ends = intervals.select("tx_id", F.explode(F.array("s", "e")).alias("pos")).distinct()
+    at = on_mrna(ends, exon_table)
+    for end in ("s", "e"):
+        own = at.select("tx_id", F.col("pos").alias(end), *[F.col(p).alias(f"{p}_{end}") for p in parts])
+        intervals = intervals.join(own, ["tx_id", end])
+    return intervals.select("tx_id", "s", "e", *[f"{p}_{end}" for p in parts for end in ("s", "e")])
+
+
+def from_protein(positions: DataFrame, exon_table: DataFrame) -> DataFrame:
+    """(tx_id, protein, pos): amino acids to the element position of their first base."""
+    bases = positions.withColumn("cds", F.col("protein") * 3).select("tx_id", "cds")
+    return from_cds(bases, exon_table).select("tx_id", F.floor(F.col("cds") / 3).alias("protein"), "pos")
+
+
+def on_protein(positions: DataFrame, exon_table: DataFrame) -> DataFrame:
+    """(tx_id, pos, protein): the amino acid each element position codes for, null outside the coding region."""
+    t = on_mrna(positions, exon_table)
+    return t.select("tx_id", "pos", F.when(F.col("kind") == "cds", F.floor(F.col("cds") / 3)).alias("protein"))

@@ -31,8 +31,10 @@ def profile(seqs: DataFrame, win: int, space: KmerSpace) -> DataFrame:
 
 def features_profile(motifs: DataFrame, seqs: DataFrame, win: int, space: KmerSpace) -> DataFrame:
     """(seq_id, start, motif_id, bc)."""
-    m = motifs.select(F.col("seq_id").alias("motif_id"), "kmer", F.col("w").alias("_wm"))
-    return profile(seqs, win, space).join(m, "kmer").groupBy("seq_id", "start", "motif_id").agg(F.sum(F.col("w") * F.col("_wm")).alias("bc"))
+    from strandlake.operators.similarity import features
+
+    windows = profile(seqs, win, space).select(F.struct("seq_id", "start").alias("seq_id"), "kmer", "w")
+    return features(windows, motifs).select("seq_id.seq_id", "seq_id.start", "motif_id", "bc")
 
 
 def sliding(df: DataFrame, partition: list[str], order: str, value: str, length: int, pos: int) -> DataFrame:

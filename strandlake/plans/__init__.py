@@ -6,7 +6,7 @@ from importlib import import_module
 
 from strandlake.plans.registry import QUERIES, SQL
 
-MODULES = ("sequences", "relational", "motifs", "genome", "events", "matrices")
+MODULES = ("sequences", "relational", "motifs", "genome", "events", "matrices", "files")
 
 
 def _load() -> None:

@@ -21,11 +21,11 @@ def event_sessions(spark, sf_dir):
     return S.sessions(e, "user_id", "30 minutes", "1 hour").groupBy("user_id", "n").agg(F.count(F.lit(1)).alias("sessions"))
 
 
-@query("SELECT cast(floor(epoch(ts)) AS BIGINT) // 86400 AS day, k AS kmer, count(*) AS n FROM (SELECT ts, unnest([event_type[1:2], event_type[2:3], event_type[3:4]]) AS k FROM (SELECT ts, translate(event_type, 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC') AS event_type FROM events)) WHERE length(k) = 2 GROUP BY ALL")
+@query("SELECT cast(floor(epoch(ts)) AS BIGINT) // 86400 AS day, k AS kmer, count(*) AS n FROM (SELECT ts, unnest(list_transform(range(1, length(event_type)), lambda i: substr(event_type, i, 2))) AS k FROM (SELECT ts, translate(event_type, 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC') AS event_type FROM events)) WHERE length(k) = 2 GROUP BY ALL")
 def streaming_kmers(spark, sf_dir):
     from strandlake.functions.sequence import text_to_dna
     from strandlake.operators.space import KmerSpace
 
-    e = read(spark, sf_dir, "events").select("ts", F.substring(text_to_dna("event_type"), 1, 4).alias("seq"))
+    e = read(spark, sf_dir, "events").select("ts", text_to_dna("event_type").alias("seq"))
     days = S.windowed_counts(e, KmerSpace(2), "1 day", "2 days")
     return days.select(F.datediff(F.to_date("window_start"), F.lit("1970-01-01").cast("date")).cast("long").alias("day"), "kmer", "n")

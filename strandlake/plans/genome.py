@@ -9,7 +9,7 @@ from strandlake.operators import genotypes as G
 from strandlake.operators import intervals as I
 from strandlake.operators import transcripts as X
 from strandlake.plans.registry import query
-from strandlake.plans.relational import spans
+from strandlake.plans.relational import first_come_sql, spans
 from strandlake.plans.tables import MOTIF_SEQ, motif_sequences, read
 
 ELEMENTS = "(SELECT o_orderkey AS element_id, o_orderpriority AS ref, o_custkey * 10 AS s, o_custkey * 10 + 20 + o_orderkey % 50 AS e, o_orderkey % 3 <> 0 AS forward, o_orderkey % 20 AS pos FROM orders)"
@@ -92,6 +92,35 @@ def element_connections(spark, sf_dir):
     return E.connected(e, E.sites(e))
 
 
+WANTED = f"wanted AS (SELECT element_id, s, e, element_id % 2 = 1 AS reversed FROM {EDGES} UNION SELECT o_orderkey, o_custkey % 100, o_orderkey % 100, o_orderkey % 2 = 1 FROM orders)"
+
+
+@query(f"WITH {CONN}, {WANTED}, t AS (SELECT *, CASE WHEN reversed THEN e ELSE s END AS f, CASE WHEN reversed THEN s ELSE e END AS u FROM wanted) SELECT t.element_id, t.s, t.e, reversed, a.site AS from_site, b.site AS to_site, connection FROM t LEFT JOIN st a ON a.element_id = t.element_id AND a.pos = t.f LEFT JOIN st b ON b.element_id = t.element_id AND b.pos = t.u LEFT JOIN cn ON cn.element_id = t.element_id AND cn.from_site = a.site AND cn.to_site = b.site")
+def connection_lookup(spark, sf_dir):
+    e = edges(spark, sf_dir)
+    o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("element_id"), (F.col("o_custkey") % 100).alias("s"), (F.col("o_orderkey") % 100).alias("e"))
+    wanted = e.unionByName(o).distinct().withColumn("reversed", F.col("element_id") % 2 == 1)
+    s = E.sites(e)
+    return E.find_connections(wanted, s, E.connected(e, s))
+
+
+@query(f"WITH {CONN}, x AS (SELECT cn.*, a.pos AS p, b.pos AS q FROM cn JOIN st a ON a.element_id = cn.element_id AND a.site = from_site JOIN st b ON b.element_id = cn.element_id AND b.site = to_site) SELECT element_id, connection, CASE WHEN forward THEN p - 3 ELSE q - 2 END AS s, CASE WHEN forward THEN q + 1 + 2 ELSE p + 1 + 3 END AS e, forward FROM x")
+def connection_elements(spark, sf_dir):
+    e = edges(spark, sf_dir)
+    s = E.sites(e)
+    return E.connection_elements(E.connected(e, s), s, 3, 2)
+
+
+@query(
+    f"WITH e AS {ELEMENTS}, ed AS (SELECT DISTINCT element_id, s % 20 AS s, e % 20 AS e FROM {EDGES} WHERE s % 20 <> e % 20), m AS (SELECT ed.element_id, b.element_id AS other_id, ed.s, ed.e, a.ref = b.ref AS same, CASE WHEN a.forward THEN a.s + ed.s ELSE a.e - 1 - ed.s END AS x, CASE WHEN a.forward THEN a.s + ed.e ELSE a.e - 1 - ed.e END AS y, b.s AS bs, b.e AS be, b.forward AS bf FROM ed JOIN e a USING (element_id) JOIN e b ON b.element_id = ed.element_id + 7) "
+    "SELECT element_id, other_id, s, e, CASE WHEN same THEN CASE WHEN bf THEN x - bs ELSE be - 1 - x END END AS other_s, CASE WHEN same THEN CASE WHEN bf THEN y - bs ELSE be - 1 - y END END AS other_e FROM m"
+)
+def connection_map(spark, sf_dir):
+    own = edges(spark, sf_dir).select("element_id", (F.col("s") % 20).alias("s"), (F.col("e") % 20).alias("e")).filter("s <> e").distinct()
+    e = elements(spark, sf_dir).drop("pos")
+    return E.map_connections(own.withColumn("other_id", F.col("element_id") + 7), e, e)
+
+
 @query(f"WITH {CONN} SELECT a.element_id, a.connection, b.connection AS next FROM cn a JOIN cn b ON a.element_id = b.element_id AND a.to_site = b.from_site")
 def connection_neighbours(spark, sf_dir):
     e = edges(spark, sf_dir)
@@ -198,6 +227,30 @@ def cds_to_element(spark, sf_dir):
     return X.from_cds(some_positions(spark, sf_dir, "cds", (-2, 0, 1, 30, 70)), exon_rows(spark, sf_dir))
 
 
+PAIRS = ((0, 17), (4, 33), (5, 60), (33, 95))
+
+
+@query(f"WITH {MAPPED}, ab AS (SELECT tx_id, a, b FROM tr CROSS JOIN (VALUES {', '.join(map(str, PAIRS))}) v(a, b)) SELECT ab.tx_id, a AS s, b AS e, CAST(x.m AS BIGINT) AS mrna_s, CAST(y.m AS BIGINT) AS mrna_e, CAST(CASE WHEN x.cs IS NOT NULL THEN x.m - x.five END AS BIGINT) AS cds_s, CAST(CASE WHEN y.cs IS NOT NULL THEN y.m - y.five END AS BIGINT) AS cds_e FROM ab JOIN kd x ON x.tx_id = ab.tx_id AND x.pos = a JOIN kd y ON y.tx_id = ab.tx_id AND y.pos = b")
+def transcript_intervals(spark, sf_dir):
+    each = transcripts(spark, sf_dir).select("tx_id", F.explode(F.array(*[F.struct(F.lit(a).cast("long").alias("s"), F.lit(b).cast("long").alias("e")) for a, b in PAIRS])).alias("x")).select("tx_id", "x.*")
+    return X.intervals_on_mrna(each, exon_rows(spark, sf_dir)).select("tx_id", "s", "e", "mrna_s", "mrna_e", "cds_s", "cds_e")
+
+
+@query(f"WITH {EXONS}, ps AS (SELECT tx_id, p AS protein FROM tr CROSS JOIN (SELECT unnest([0, 1, 10, 33]) AS p)), f AS (SELECT tx_id, sum(greatest(0, least(e, cs) - s)) AS five FROM eb GROUP BY tx_id) SELECT tx_id, protein, CAST(max(CASE WHEN 3 * protein + five >= before AND 3 * protein + five < before + e - s THEN s + 3 * protein + five - before END) AS BIGINT) AS pos FROM ps JOIN f USING (tx_id) JOIN eb USING (tx_id) GROUP BY tx_id, protein")
+def protein_to_element(spark, sf_dir):
+    return X.from_protein(some_positions(spark, sf_dir, "protein", (0, 1, 10, 33)), exon_rows(spark, sf_dir))
+
+
+@query(f"WITH {MAPPED} SELECT tx_id, pos, CAST(CASE WHEN kind = 'cds' THEN floor((m - five) / 3) END AS BIGINT) AS protein FROM kd")
+def protein_map(spark, sf_dir):
+    return X.on_protein(some_positions(spark, sf_dir), exon_rows(spark, sf_dir))
+
+
+@query(f"WITH {EXONS}, f AS (SELECT tx_id, exon, (((before - sum(greatest(0, least(e, cs) - s)) OVER (PARTITION BY tx_id)) % 3) + 3) % 3 AS p, cs FROM eb) SELECT tx_id, CAST(sum(p) AS BIGINT) AS phases FROM f WHERE cs IS NOT NULL GROUP BY tx_id")
+def phase_sums(spark, sf_dir):
+    return X.phases(exon_rows(spark, sf_dir)).groupBy("tx_id").agg(F.sum("start_phase").alias("phases"))
+
+
 @query(f"WITH {EXONS}, f AS (SELECT tx_id, sum(greatest(0, least(e, cs) - s)) AS five FROM eb GROUP BY tx_id) SELECT tx_id, exon, CAST(((before - five) % 3 + 3) % 3 AS BIGINT) AS start_phase, CAST(((before - five + e - s) % 3 + 3) % 3 AS BIGINT) AS end_phase FROM eb JOIN f USING (tx_id) WHERE cs IS NOT NULL")
 def exon_phases(spark, sf_dir):
     return X.phases(exon_rows(spark, sf_dir))
@@ -247,15 +300,25 @@ def genotype_matrix(spark, sf_dir):
     return G.matrix(genotypes(spark, sf_dir), True)
 
 
-@query(f"SELECT interval, pos FROM {GENO} WHERE subject < 3 GROUP BY ALL HAVING NOT coalesce(bool_or(a1 <> a2), false) AND len(list_distinct(list_filter(list(a1) || list(a2), lambda x: x IS NOT NULL))) <= 1")
+STILL = f"(SELECT interval, pos, subject, CASE WHEN pos % 7 = 0 THEN 0 ELSE a1 END AS a1, CASE WHEN pos % 7 = 0 THEN 0 ELSE a2 END AS a2, phased FROM {GENO})"
+
+
+def partly_still(spark, sf_dir):
+    """The genotypes, with the reference alone at every seventh position."""
+    still = F.col("pos") % 7 == 0
+    return genotypes(spark, sf_dir).withColumns({c: F.when(still, F.lit(0)).otherwise(F.col(c)) for c in ("a1", "a2")})
+
+
+@query(f"SELECT interval, pos FROM {STILL} GROUP BY ALL HAVING NOT coalesce(bool_or(a1 <> a2), false) AND len(list_distinct(list_filter(list(a1) || list(a2), lambda x: x IS NOT NULL))) <= 1")
 def invariant_sites(spark, sf_dir):
-    return G.invariant(genotypes(spark, sf_dir).filter("subject < 3"))
+    return G.invariant(partly_still(spark, sf_dir))
 
 
-@query(f"WITH g AS (SELECT * FROM {GENO} WHERE subject IN (1, 3, 5)), i AS (SELECT interval, pos FROM g GROUP BY ALL HAVING NOT coalesce(bool_or(a1 <> a2), false) AND len(list_distinct(list_filter(list(a1) || list(a2), lambda x: x IS NOT NULL))) <= 1) SELECT g.* FROM g ANTI JOIN i USING (interval, pos)")
+@query(f"WITH g AS (SELECT * FROM {STILL} WHERE subject % 3 < 2), i AS (SELECT interval, pos FROM g GROUP BY ALL HAVING NOT coalesce(bool_or(a1 <> a2), false) AND len(list_distinct(list_filter(list(a1) || list(a2), lambda x: x IS NOT NULL))) <= 1) SELECT g.* FROM g ANTI JOIN i USING (interval, pos)")
 def group_genotypes(spark, sf_dir):
-    groups = spark.createDataFrame([("x", 1), ("x", 3), ("y", 5), ("z", 7)], "group string, subject long")
-    return G.selected(genotypes(spark, sf_dir), groups, ["x", "y"], True).select("interval", "pos", "subject", "a1", "a2", "phased")
+    g = partly_still(spark, sf_dir)
+    groups = g.select("subject").distinct().select(F.element_at(F.array(*map(F.lit, "xyz")), (F.col("subject") % 3 + 1).cast("int")).alias("group"), "subject")
+    return G.selected(g, groups, ["x", "y"], True).select("interval", "pos", "subject", "a1", "a2", "phased")
 
 
 @query(f"SELECT interval, pos, subject FROM {GENO} WHERE interval = 'c1' OR (interval = 'c2' AND pos >= 50 AND pos < 120)")
@@ -292,9 +355,9 @@ def contig_spans(spark, sf_dir):
     return G.spans(spans(spark, sf_dir).select(F.col("chrom").alias("interval"), "start", "end"))
 
 
-@query("SELECT interval, pos, k, CASE WHEN lag(pos) OVER w = pos THEN 'drop' WHEN lead(pos) OVER w = pos THEN 'mark' ELSE 'keep' END AS action FROM (SELECT DISTINCT 'c' || CAST(p_partkey % 5 AS VARCHAR) AS interval, p_partkey % 40 AS pos, p_size AS k FROM part WHERE p_size < 12) WINDOW w AS (PARTITION BY interval ORDER BY pos, k)")
+@query("SELECT interval, pos, k, CASE WHEN lag(pos) OVER w = pos THEN 'drop' WHEN lead(pos) OVER w = pos THEN 'mark' ELSE 'keep' END AS action FROM (SELECT DISTINCT 'c' || CAST(p_partkey % 5 AS VARCHAR) AS interval, p_partkey % 40 AS pos, p_size AS k FROM part) WINDOW w AS (PARTITION BY interval ORDER BY pos, k)")
 def discordancies(spark, sf_dir):
-    p = read(spark, sf_dir, "part").filter("p_size < 12").select(F.concat(F.lit("c"), (F.col("p_partkey") % 5).cast("string")).alias("interval"), (F.col("p_partkey") % 40).alias("pos"), F.col("p_size").alias("alleles")).distinct()
+    p = read(spark, sf_dir, "part").select(F.concat(F.lit("c"), (F.col("p_partkey") % 5).cast("string")).alias("interval"), (F.col("p_partkey") % 40).alias("pos"), F.col("p_size").alias("alleles")).distinct()
     return G.discordant(p).withColumnRenamed("alleles", "k")
 
 
@@ -308,9 +371,67 @@ def reverse_variants(spark, sf_dir):
     return G.reverse(variants(spark, sf_dir)).select("interval", "pos", F.array_join("alleles", ",").alias("alleles"))
 
 
-@query()
+WINDOWS = (
+    "w AS (SELECT doc_id, source AS chrom, doc_id * 1000000 + 100 * i AS s, substr(text, CAST(100 * i + 1 AS INTEGER), 200) AS t FROM (SELECT doc_id, source, text, unnest(range(0, greatest(0, (length(text) - 101) // 100) + 1)) AS i FROM documents WHERE length(text) > 0)), "
+    "k AS (SELECT doc_id, chrom, s, s + length(t) AS e, length(t) AS size, (length(regexp_replace(t, '[^GCgc]', '', 'g')) * 20 // length(t)) * 21 + length(regexp_replace(t, '[^acgtn]', '', 'g')) * 20 // length(t) AS key FROM w), "
+    "need AS (SELECT size, key, count(*) AS need FROM k WHERE doc_id % 5 = 0 GROUP BY ALL), free AS (SELECT k.*, md5(concat_ws(':', chrom, s, e)) AS turn, struct_pack(size := size, key := key, turn := md5(concat_ws(':', chrom, s, e)), chrom := chrom) AS id FROM k SEMI JOIN need USING (size, key) WHERE doc_id % 5 > 1)"
+)
+
+
+@query(
+    f"WITH {WINDOWS}, f AS ({first_come_sql('free', 'doc_id', 'turn')}), a AS (SELECT k.s AS s, k.e AS e, k.id AS id FROM (SELECT unnest(kept) AS k FROM f)), "
+    "r AS (SELECT id.chrom AS chrom, s, e, id.size AS size, id.key AS key, row_number() OVER (PARTITION BY id.size, id.key ORDER BY id.turn, id.chrom, s) AS i FROM a) "
+    "SELECT chrom, s AS start, e AS \"end\", r.size, r.key FROM r JOIN need ON need.size = r.size AND need.key = r.key WHERE i <= need"
+)
 def background(spark, sf_dir):
-    """Regions matched in length and GC bin: windows of documents, selected from even ones, candidates from odd ones."""
-    d = read(spark, sf_dir, "documents").filter(F.length("text") >= 200).select(F.col("source").alias("chrom"), (F.col("doc_id") * 300).alias("start"), (F.col("doc_id") * 300 + 200).alias("end"), F.substring("text", 1, 200).alias("seq"), "doc_id")
+    """Regions matched in length and GC bin: overlapping windows of whole documents, selected from every fifth, candidates from others."""
+    t = read(spark, sf_dir, "documents").filter(F.length("text") > 0).select("doc_id", F.col("source").alias("chrom"), "text", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.length("text") - 101) / 100).cast("int")))).alias("i"))
+    cut = t.select("doc_id", "chrom", (F.col("doc_id") * 1000000 + 100 * F.col("i")).alias("start"), F.col("text").substr(100 * F.col("i") + 1, F.lit(200)).alias("seq"))
+    d = cut.select("chrom", "start", (F.col("start") + F.length("seq")).alias("end"), "seq", "doc_id")
     chosen, rest = d.filter("doc_id % 5 = 0").drop("doc_id"), d.filter("doc_id % 5 > 1").drop("doc_id")
     return I.background(chosen, d.filter("doc_id % 5 = 1").drop("doc_id"), rest)
+
+
+@query(f"SELECT interval, pos, subject, a1, a2, phased, row_number() OVER (PARTITION BY interval, pos ORDER BY subject DESC) AS turn FROM {GENO} WHERE subject % 4 <> 0")
+def sorted_subjects(spark, sf_dir):
+    """Calls with the place of their subject in a given order of names, the others left out."""
+    g = genotypes(spark, sf_dir)
+    order = g.select("subject").distinct().filter("subject % 4 <> 0").withColumn("place", -F.col("subject"))
+    s = G.sorted_subjects(g, order)
+    return s.select("interval", "pos", "subject", "a1", "a2", "phased", "turn")
+
+
+GONE = "(VALUES ('c1', 20, 40), ('c1', 150, 300), ('c2', 0, 200), ('c3', 77, 78), ('c4', 500, 600))"
+
+
+@query(
+    f"WITH iv AS (SELECT interval, min(pos) AS s, max(pos) + 1 AS e FROM {VARI} GROUP BY interval), g AS (SELECT * FROM {GONE} v(interval, gs, ge)), r AS (SELECT i.interval, i.s, i.e, list_sort(list(struct_pack(gs := gs, ge := ge)) FILTER (gs < i.e AND ge > i.s)) AS x FROM iv i LEFT JOIN g USING (interval) GROUP BY ALL), "
+    "c AS (SELECT interval, unnest(list_zip([s] || coalesce(list_transform(x, lambda y: y.ge), []), coalesce(list_transform(x, lambda y: y.gs), []) || [e])) AS z FROM r) SELECT interval, z[1] AS start, z[2] AS \"end\" FROM c WHERE z[1] < z[2]"
+)
+def split_intervals(spark, sf_dir):
+    """What removed intervals leave of the covered ones, which they split."""
+    v = variants(spark, sf_dir)
+    covered = G.genotyping_intervals(v)
+    gone = spark.createDataFrame([("c1", 20, 40), ("c1", 150, 300), ("c2", 0, 200), ("c3", 77, 78), ("c4", 500, 600)], "interval string, start long, end long")
+    return G.split_intervals(covered, gone)
+
+
+@query(f"SELECT interval, pos, subject FROM {GENO} t WHERE NOT EXISTS (SELECT 1 FROM {GONE} v(i, s, e) WHERE i = interval AND pos >= s AND pos < e)")
+def genotypes_outside(spark, sf_dir):
+    gone = spark.createDataFrame([("c1", 20, 40), ("c1", 150, 300), ("c2", 0, 200), ("c3", 77, 78), ("c4", 500, 600)], "interval string, start long, end long")
+    return G.outside(genotypes(spark, sf_dir), gone).select("interval", "pos", "subject")
+
+
+@query(f"SELECT interval, min(pos) AS start, max(pos) + 1 AS \"end\" FROM {VARI} GROUP BY interval")
+def genotyping_intervals(spark, sf_dir):
+    return G.genotyping_intervals(variants(spark, sf_dir))
+
+
+@query(
+    "SELECT o_orderkey, a0 IS NULL OR (a0 <= b0 AND b1 <= a1) AS holds, a0 IS NULL AS whole, CASE WHEN a0 IS NULL THEN 0 WHEN a0 < b0 THEN -1 WHEN a0 > b0 THEN 1 WHEN a1 < b1 THEN -1 WHEN a1 > b1 THEN 1 ELSE 0 END AS cmp FROM "
+    "(SELECT o_orderkey, CASE WHEN o_custkey % 4 > 0 THEN o_custkey % 40 END AS a0, o_custkey % 40 + 30 AS a1, o_orderkey % 40 AS b0, o_orderkey % 40 + o_orderkey % 9 AS b1 FROM orders)"
+)
+def interval_contains(spark, sf_dir):
+    o, k, c = read(spark, sf_dir, "orders"), F.col("o_orderkey"), F.col("o_custkey")
+    a, b = (F.when(c % 4 > 0, c % 40), c % 40 + 30), (k % 40, k % 40 + k % 9)
+    return o.select("o_orderkey", G.contains(a, b).alias("holds"), G.whole(*a).alias("whole"), G.compare(a, b).alias("cmp"))

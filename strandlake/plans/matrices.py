@@ -52,6 +52,11 @@ def matrix_mse(spark, sf_dir):
     return L.mse(m.filter("row % 2 = 0"), m.filter("col % 2 = 0"), 100, 10).select(F.round("mse", 4).alias("mse"))
 
 
-@query()
+@query(f"WITH a AS {A} SELECT * FROM a WHERE col IN (SELECT col FROM (SELECT DISTINCT col FROM a) ORDER BY md5('1:' || CAST(col AS VARCHAR)), col LIMIT 5)")
 def matrix_sample(spark, sf_dir):
     return L.sample_columns(a(spark, sf_dir), 5, 1)
+
+
+@query(f"SELECT row, col FROM {A} WHERE x >= 60")
+def matrix_find(spark, sf_dir):
+    return L.find(a(spark, sf_dir), 60.0)

@@ -14,6 +14,7 @@ from strandlake.operators import pwm as P
 from strandlake.operators.similarity import distance, features, similarity
 from strandlake.operators.space import KmerSpace
 from strandlake.plans.registry import query
+from strandlake.plans.relational import erf_sql
 from strandlake.plans.sequences import L3, DENSE_S, LETTER, motifs, r6
 from strandlake.plans.tables import DOC_SEQ, MOTIF_SEQ, dist, motif_sequences, read, sequences
 
@@ -36,6 +37,14 @@ def centroid(spark, sf_dir):
     return C.centroids(v, labels.withColumnRenamed("id", "seq_id")).select("cluster", "kmer", r6("w"))
 
 
+@query(f"WITH d AS {dist(MOTIF_SEQ, 3)}, n AS (SELECT seq_id % 4 AS cluster, count(DISTINCT seq_id) AS n FROM d GROUP BY 1) SELECT cluster, kmer, round(sqrt(sum(w * w) / any_value(n)), 6) AS w FROM d JOIN n ON n.cluster = seq_id % 4 GROUP BY cluster, kmer")
+def cluster_motifs(spark, sf_dir):
+    """Motifs of given clusters: the root mean of their members' distributions."""
+    m = motifs(spark, sf_dir)
+    labels = m.select("seq_id").distinct().withColumn("cluster", F.col("seq_id") % 4)
+    return C.centroids(m, labels).select("cluster", "kmer", r6("w"))
+
+
 CLUSTERED = "(SELECT DISTINCT seq_id AS id, seq_id % 4 AS cluster FROM d)"
 SIL = (
     f"WITH d AS {dist(MOTIF_SEQ, 3)}, {DENSE_S}, dd AS (SELECT a, b, sqrt(greatest(1 - s, 0)) AS d FROM q WHERE a <> b), l AS {CLUSTERED}, "
@@ -183,7 +192,7 @@ def lasso_cv(spark, sf_dir):
     return spark.createDataFrame([(int(n), float(c), float(intercept), lam, float(mean.max())) for n, c in zip(names, coef)], "motif_id long, coef double, intercept double, lambda double, auroc double")
 
 
-# Motif matching: all items are queries and targets; tom_scores, as its SQL, takes even queries only.
+# Motif matching: all items are queries and targets.
 TOM = (
     f"WITH d AS {dist(MOTIF_SEQ, 3)}, {DENSE_S}, i AS (SELECT seq_id, 6.0 + sum(w * w * log2(w * w)) AS ic FROM d GROUP BY seq_id), "
     "x AS (SELECT a, b, s, sqrt(greatest(u.ic * v.ic, 0)) AS x FROM q JOIN i u ON u.seq_id = a JOIN i v ON v.seq_id = b), "
@@ -202,22 +211,35 @@ def matched(spark, sf_dir):
     return T.match(m, m, L3)
 
 
-@query()
+MATCHED = (
+    f"{TOM}, z AS (SELECT r.a AS query, r.b AS target, r.s, (r.d - t.mean) / t.sd AS z FROM r JOIN t ON t.target = r.b), pv AS (SELECT query, target, s, (1 - {erf_sql('z / sqrt(2)')}) / 2 AS p FROM z), "
+    "ir AS (SELECT *, count(*) OVER (PARTITION BY query) AS n, rank() OVER (PARTITION BY query ORDER BY p) + count(*) OVER (PARTITION BY query, p) - 1 AS i FROM pv), "
+    "mt AS (SELECT query, target, s, p, least(1, min(p * n / i) OVER (PARTITION BY query ORDER BY p DESC)) AS q, p * 2 * n AS e FROM ir)"
+)
+MATCH_COLUMNS = "query, target, round(p, 6) AS p, round(q, 6) AS q, round(e, 4) AS e, round(s, 6) AS similarity"
+
+
+def shown(matches, *more):
+    return matches.select("query", "target", r6("p"), r6("q"), F.round("e", 4).alias("e"), r6("similarity"), *more)
+
+
+@query(f"{MATCHED} SELECT {MATCH_COLUMNS} FROM mt")
 def tom_match(spark, sf_dir):
-    return matched(spark, sf_dir)
+    return shown(matched(spark, sf_dir))
 
 
-@query(f"{TOM} SELECT r.a AS query, r.b AS target, round((r.d - t.mean) / t.sd, 5) + 0.0 AS z, round(r.s, 6) AS similarity FROM r JOIN t ON t.target = r.b WHERE r.a % 2 = 0")
+@query(f"{TOM} SELECT r.a AS query, r.b AS target, round((r.d - t.mean) / t.sd, 5) + 0.0 AS z, round(r.s, 6) AS similarity FROM r JOIN t ON t.target = r.b")
 def tom_scores(spark, sf_dir):
     """The standardised residuals behind the matches' p-values (SQL has no error function)."""
     m = motifs(spark, sf_dir)
-    fit = T._residuals(T._scored(m.filter("seq_id % 2 = 0"), m, L3), "a").join(T.target_info(m, L3).select(F.col("target").alias("b"), "mean", "sd"), "b")
+    fit = T._residuals(T._scored(m, m, L3), "a").join(T.target_info(m, L3).select(F.col("target").alias("b"), "mean", "sd"), "b")
     return fit.select(F.col("a").alias("query"), F.col("b").alias("target"), (F.round((F.col("d") - F.col("mean")) / F.col("sd"), 5) + 0.0).alias("z"), (F.round("s", 6)).alias("similarity"))
 
 
-@query()
+@query(f"{MATCHED} SELECT {MATCH_COLUMNS}, k AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(s, 9) DESC, target) AS k FROM mt WHERE query <> target AND p < 0.5) WHERE k = 1")
 def tom_best_hit(spark, sf_dir):
-    return T.select_hits(matched(spark, sf_dir).filter("query <> target"), 0.5, "p", True, "similarity")
+    m = matched(spark, sf_dir).withColumn("similarity", F.round("similarity", 9))
+    return shown(T.select_hits(m.filter("query <> target"), 0.5, "p", True, "similarity"), "rank")
 
 
 @query(
@@ -231,19 +253,16 @@ def annotate(spark, sf_dir):
     return T.annotate(m, m, 0.95, names).select("motif", "name", "hits", r6("mean_rank"), r6("mean_score"))
 
 
-# Enrichment: items of at least 150 characters, their first 150; even items are positives.
-LABELLED = f"(SELECT seq_id, substr(seq, 1, 150) AS seq, 1 - seq_id % 2 AS label FROM {MOTIF_SEQ} WHERE length(seq) >= 150)"
+# Enrichment: whole items in tiles of 150 characters, the last one filled with N; tiles of even items are positives.
+LABELLED = f"(SELECT seq_id * 1000 + t AS seq_id, rpad(substr(seq, 150 * t + 1, 150), 150, 'N') AS seq, 1 - seq_id % 2 AS label FROM (SELECT seq_id, seq, CAST(unnest(range(0, (length(seq) + 149) // 150)) AS INTEGER) AS t FROM {MOTIF_SEQ}))"
 N_POS = 150 - 31 + 1
 
 
 def labelled(spark, sf_dir):
-    s = motif_sequences(spark, sf_dir).filter(F.length("seq") >= 150)
-    return s.select("seq_id", (1 - F.col("seq_id") % 2).alias("label"), F.substring("seq", 1, 150).alias("seq"))
-
-
-def some_motifs(spark, sf_dir):
-    """Motifs to look for: those of items 0 to 9."""
-    return motifs(spark, sf_dir).filter("seq_id < 10")
+    s = motif_sequences(spark, sf_dir).filter(F.length("seq") > 0)
+    tiles = s.select("seq_id", "seq", F.explode(F.sequence(F.lit(0), F.floor((F.length("seq") - 1) / 150).cast("int"))).alias("t"))
+    part = F.rpad(F.col("seq").substr(150 * F.col("t") + 1, F.lit(150)), 150, "N")
+    return tiles.select((F.col("seq_id") * 1000 + F.col("t")).alias("seq_id"), (1 - F.col("seq_id") % 2).alias("label"), part.alias("seq"))
 
 
 def window31(source: str) -> str:
@@ -252,11 +271,11 @@ def window31(source: str) -> str:
     return f"(SELECT seq_id, label, pos, kmer, sqrt(n / sum(n) OVER (PARTITION BY seq_id, pos)) AS w FROM {n})"
 
 
-PROFILE = f"(SELECT p.seq_id, label, m.seq_id AS motif_id, pos, sum(p.w * m.w) AS bc FROM {window31(LABELLED)} p JOIN (SELECT * FROM {dist(MOTIF_SEQ, 3)} WHERE seq_id < 10) m USING (kmer) GROUP BY ALL)"
+PROFILE = f"(SELECT p.seq_id, label, m.seq_id AS motif_id, pos, sum(p.w * m.w) AS bc FROM {window31(LABELLED)} p JOIN {dist(MOTIF_SEQ, 3)} m USING (kmer) GROUP BY ALL)"
 
 
 def profiled(spark, sf_dir):
-    s, m = labelled(spark, sf_dir), some_motifs(spark, sf_dir)
+    s, m = labelled(spark, sf_dir), motifs(spark, sf_dir)
     return E.profiles(s, m, 15, L3), s, m
 
 
@@ -268,7 +287,7 @@ def profile_ratio(spark, sf_dir):
 
 TOL = 1e-6
 HITS = (
-    f"WITH f AS (SELECT seq_id, label, motif_id, pos, round(bc / {TOL}) * {TOL} AS v FROM {PROFILE}), g AS (SELECT l.seq_id, l.label, m.seq_id AS motif_id FROM {LABELLED} l CROSS JOIN (SELECT DISTINCT seq_id FROM {dist(MOTIF_SEQ, 3)} WHERE seq_id < 10) m), "
+    f"WITH f AS (SELECT seq_id, label, motif_id, pos, round(bc / {TOL}) * {TOL} AS v FROM {PROFILE}), g AS (SELECT l.seq_id, l.label, m.seq_id AS motif_id FROM {LABELLED} l CROSS JOIN (SELECT DISTINCT seq_id FROM {dist(MOTIF_SEQ, 3)}) m), "
     "sc AS (SELECT g.motif_id, g.seq_id, g.label, coalesce(max(v), 0) AS score FROM g LEFT JOIN f USING (seq_id, motif_id) GROUP BY ALL), "
     "a AS (SELECT x.motif_id, avg(CASE WHEN x.score > y.score THEN 1 WHEN x.score = y.score THEN 0.5 ELSE 0 END) AS a FROM sc x JOIN sc y ON x.motif_id = y.motif_id AND x.label = 1 AND y.label = 0 GROUP BY x.motif_id), "
     "e AS (SELECT c.motif_id, c.score, a.a, count(*) FILTER (o.label = (CASE WHEN a.a > 0.5 THEN 1 ELSE 0 END) AND o.score <= c.score) + count(*) FILTER (o.label <> (CASE WHEN a.a > 0.5 THEN 1 ELSE 0 END) AND o.score > c.score) AS err FROM (SELECT DISTINCT motif_id, score FROM sc) c JOIN a USING (motif_id) JOIN sc o USING (motif_id) GROUP BY ALL), "
@@ -320,10 +339,7 @@ def r8(name):
 def binned(spark, sf_dir):
     """Position counts in bins of six positions, with the numbers of positives and negatives."""
     h, _, s, m = found(spark, sf_dir)
-    n = s.groupBy("label").count().collect()
-    counts = E.position_counts(h, m, N_POS).groupBy("motif_id", (F.floor(F.col("pos") / 6) + 1).alias("pos")).agg(F.sum("np").alias("np"), F.sum("nn").alias("nn"))
-    size = {r["label"]: r["count"] for r in n}
-    return counts, size.get(1, 0), size.get(0, 0)
+    return E.binned(E.position_counts(h, m, N_POS), 6), *E.label_sizes(s)
 
 
 @query(
@@ -343,8 +359,26 @@ def enrichment(spark, sf_dir):
     return E.tests(*binned(spark, sf_dir)).select("motif_id", "start", "end", r6("enrichment"), r8("enrichment_p"))
 
 
-@query()
+def bh_sql(p: str, group: str) -> str:
+    """SQL for the adjusted p-values of a window over the tests in a group: a fold over ranks that come first."""
+    return f"least(1, min({p} * n / {p}_i) OVER (PARTITION BY {group} ORDER BY {p} DESC))"
+
+
+TESTED = (
+    f"{SCAN}, tp AS (SELECT motif_id, s, e, np, nn, np_all, npos, np / nullif(np_all, 0) / ((e - s + 1) / npos) AS centrality, np / (SELECT p FROM n) / nullif(nn / (SELECT n FROM n), 0) AS enrichment, {BINOM.format(n='np_all', p='(e - s + 1) / npos')} AS cp, {BINOM.format(n='(SELECT p FROM n)', p='nn / (SELECT n FROM n)')} AS ep FROM iv JOIN w USING (motif_id)), "
+    "ti AS (SELECT *, count(*) OVER (PARTITION BY motif_id) AS n, rank() OVER (PARTITION BY motif_id ORDER BY cp) + count(*) OVER (PARTITION BY motif_id, cp) - 1 AS cp_i, rank() OVER (PARTITION BY motif_id ORDER BY ep) + count(*) OVER (PARTITION BY motif_id, ep) - 1 AS ep_i FROM tp), "
+    f"tq AS (SELECT *, {bh_sql('cp', 'motif_id')} AS cq, {bh_sql('ep', 'motif_id')} AS eq FROM ti)"
+)
+
+
+@query(f"{TESTED} SELECT motif_id, s AS start, e AS \"end\", round(cq, 6) AS centrality_q, round(eq, 6) AS enrichment_q FROM tq")
 def enrichment_q(spark, sf_dir):
+    return E.tests(*binned(spark, sf_dir)).select("motif_id", "start", "end", r6("centrality_q"), r6("enrichment_q"))
+
+
+@query()
+def enrichment_two_tailed(spark, sf_dir):
+    """Two tails need the outcomes as rare on the other side; tested by value."""
     return E.tests(*binned(spark, sf_dir), tail="two")
 
 
@@ -354,9 +388,28 @@ def folded_counts(spark, sf_dir):
     return E.folded(E.position_counts(h, m, N_POS).filter("pos <= 117"), 117)
 
 
-@query()
+#: Made-up texts hold no motif that stands out, so the level lets through all that are above 1 on both tests.
+LEVEL = 1e6
+RANKED = (
+    f"{TESTED}, kp AS (SELECT motif_id, s, e, centrality, enrichment, cq, eq, round(-log10(greatest(cq, 1e-300)), 9) AS a, round(-log10(greatest(eq, 1e-300)), 9) AS b FROM tq WHERE cq * (SELECT count(DISTINCT motif_id) FROM tq) < {LEVEL} AND eq * (SELECT count(DISTINCT motif_id) FROM tq) < {LEVEL} AND centrality > 1 AND enrichment > 1), "
+    "rk AS (SELECT *, rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2 + rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2 AS score FROM kp), "
+    "pl AS (SELECT *, row_number() OVER (ORDER BY score DESC, a DESC, motif_id, s, e) AS place FROM rk)"
+)
+
+
+@query(f"{RANKED} SELECT motif_id, s AS start, e AS \"end\", score, place FROM pl")
 def central_motifs(spark, sf_dir):
-    return E.central(E.tests(*binned(spark, sf_dir)), 0.9)
+    return E.central(E.tests(*binned(spark, sf_dir)), LEVEL).select("motif_id", "start", "end", "score", F.col("place").cast("long").alias("place"))
+
+
+@query(
+    f"{RANKED}, best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY motif_id ORDER BY place) AS k FROM pl) WHERE k = 1) "
+    "SELECT best.motif_id, row_number() OVER (ORDER BY place) AS rank, round(t.auroc, 6) AS auroc, s AS start, e AS \"end\", round(centrality, 6) AS centrality, round(enrichment, 6) AS enrichment FROM best JOIN t ON t.motif_id = best.motif_id"
+)
+def motif_map(spark, sf_dir):
+    """From labelled sequences and motifs to the ranked table of enriched motifs, in one call."""
+    m = E.motif_map(labelled(spark, sf_dir), motifs(spark, sf_dir), 15, L3, N_POS, TOL, 6, LEVEL)
+    return m.select("motif_id", F.col("rank").cast("long").alias("rank"), r6("auroc"), "start", "end", r6("centrality"), r6("enrichment"))
 
 
 @query()
@@ -436,9 +489,28 @@ def pwm_to_motif_max(spark, sf_dir):
     return P.motifs(matrices(spark, sf_dir), L3, best=True).select("name", "kmer", r6("w"))
 
 
-@query()
+SIX = range(1, 7)
+STEPS6 = (
+    f"SELECT name, g, count(*) / 4096.0 AS p FROM (SELECT name, {' + '.join(f'floor(s{i}[1 + (w // {4 ** (i - 1)}) % 4] / 0.05)' for i in SIX)} AS g FROM "
+    f"(SELECT name, {', '.join(f'max([a, c, g, t]) FILTER (pos = {i}) AS s{i}' for i in SIX)} FROM {PSSM} GROUP BY name HAVING count(*) = 6), range(4096) t(w)) GROUP BY name, g"
+)
+
+
+@query(f"SELECT name, CAST(g AS BIGINT) AS step, round(sum(p) OVER (PARTITION BY name ORDER BY g DESC), 6) AS p FROM ({STEPS6})")
 def pwm_distribution(spark, sf_dir):
-    return P.distributions(scoring(spark, sf_dir), 0.05)
+    return P.distributions(scoring(spark, sf_dir), 0.05).select("name", F.round(F.col("score") / 0.05).cast("long").alias("step"), r6("p"))
+
+
+@query(
+    f"WITH d AS (SELECT name, g * 0.05 AS score, sum(p) OVER (PARTITION BY name ORDER BY g DESC) AS p FROM ({STEPS6})), w AS (SELECT DISTINCT name, x AS asked FROM d, (SELECT CAST(unnest([-9.03, -2.02, 0.01, 1.51, 3.33]) AS DOUBLE) AS x)), "
+    "lo AS (SELECT w.name, asked, max_by(struct_pack(s := score, p := p), score) FILTER (score < asked) AS lo, min_by(struct_pack(s := score, p := p), score) FILTER (score >= asked) AS hi FROM w JOIN d USING (name) GROUP BY ALL) "
+    "SELECT name, asked, round(CASE WHEN lo IS NULL THEN 1 WHEN hi IS NULL THEN 0 ELSE lo.p + (hi.p - lo.p) * (asked - lo.s) / (hi.s - lo.s) END, 6) AS p FROM lo"
+)
+def pwm_pvalues(spark, sf_dir):
+    """Scores to p-values, linearly between the scores of a matrix' distribution."""
+    m = scoring(spark, sf_dir)
+    asked = m.select("name").distinct().select("name", F.explode(F.array(*map(F.lit, (-9.03, -2.02, 0.01, 1.51, 3.33)))).alias("asked"))
+    return P.p_values(asked, m, "asked", 0.05).select("name", "asked", r6("p"))
 
 
 @query()

@@ -119,7 +119,14 @@ def interval_merge(spark, sf_dir):
     return I.merged(spans(spark, sf_dir), True)
 
 
-@query()
+def first_come_sql(rows: str, group: str, order: str) -> str:
+    """SQL for the greedy choice: (group, list ``kept``) from rows with s, e, an order and a payload ``id``."""
+    one = "struct_pack(s := s, e := e, id := id)"
+    meets = "len(list_filter(kept, lambda k: k.s <= x[1].e AND x[1].s <= k.e)) > 0"
+    return f"SELECT {group}, list_reduce(list([{one}] ORDER BY {order}), lambda kept, x: CASE WHEN {meets} THEN kept ELSE kept || x END) AS kept FROM {rows} GROUP BY {group}"
+
+
+@query(f"SELECT k.id AS event_id, chrom, k.s AS start, k.e AS \"end\" FROM (SELECT chrom, unnest(kept) AS k FROM ({first_come_sql(f'(SELECT *, event_id AS id FROM {SPANS})', 'chrom', 'event_id')}))")
 def remove_overlaps(spark, sf_dir):
     return I.first_come(spans(spark, sf_dir), "event_id")
 
@@ -315,24 +322,61 @@ def binomial_test(spark, sf_dir):
     return t.select("x", "n", F.round("p", 2).alias("p"), r6(binomial_test_udf("x", "n", "p", F.lit("upper")), "upper"))
 
 
-@query()
+def erf_sql(x: str) -> str:
+    """SQL for the error function, by a series of positive terms (it is 1 to the last digit beyond 6)."""
+    y = f"greatest(least(abs({x}), 6), 1e-150)"
+    return f"(sign({x}) * 2 / sqrt(pi()) * list_sum(list_transform(range(0, 160), lambda k: exp((2 * k + 1) * ln({y}) + 2 * k * ln(2) + lgamma(k + 1) - lgamma(2 * k + 2) - {y} * {y}))))"
+
+
+@query(f"SELECT p_partkey, round(({erf_sql('(p_size / 10.0 + 1.5) / 2.0')} - {erf_sql('(p_size / 10.0 - 1.5) / 2.0')}) / 2, 6) AS mass FROM part")
 def erf_integral(spark, sf_dir):
     p = read(spark, sf_dir, "part")
     return p.select("p_partkey", r6(gauss_mass_udf(F.col("p_size") / 10.0, F.lit(1.5), F.lit(2.0)), "mass"))
 
 
 @query(
-    "WITH t AS (SELECT o_orderpriority AS g, count(*) FILTER (o_orderstatus = 'F' AND o_custkey % 2 = 0 AND o_orderkey % 50 = 0) AS a, count(*) FILTER (o_orderstatus = 'F' AND o_custkey % 2 = 1 AND o_orderkey % 50 = 0) AS b, count(*) FILTER (o_orderstatus <> 'F' AND o_custkey % 2 = 0 AND o_orderkey % 50 = 0) AS c, count(*) FILTER (o_orderstatus <> 'F' AND o_custkey % 2 = 1 AND o_orderkey % 50 = 0) AS d FROM orders GROUP BY 1), "
+    "WITH t AS (SELECT o_orderpriority AS g, count(*) FILTER (o_orderstatus = 'F' AND o_custkey % 2 = 0) AS a, count(*) FILTER (o_orderstatus = 'F' AND o_custkey % 2 = 1) AS b, count(*) FILTER (o_orderstatus <> 'F' AND o_custkey % 2 = 0) AS c, count(*) FILTER (o_orderstatus <> 'F' AND o_custkey % 2 = 1) AS d FROM orders GROUP BY 1), "
     "k AS (SELECT *, unnest(range(a, least(a + b, a + c) + 1)) AS k FROM t) SELECT g, a, b, c, d, round(sum(exp(lgamma(a + c + 1) - lgamma(k + 1) - lgamma(a + c - k + 1) + lgamma(b + d + 1) - lgamma(a + b - k + 1) - lgamma(b + d - a - b + k + 1) - lgamma(a + b + c + d + 1) + lgamma(a + b + 1) + lgamma(c + d + 1))), 6) AS p FROM k GROUP BY g, a, b, c, d"
 )
 def fisher_test(spark, sf_dir):
-    o = read(spark, sf_dir, "orders").filter("o_orderkey % 50 = 0")
+    o = read(spark, sf_dir, "orders")
     f, even = F.col("o_orderstatus") == "F", F.col("o_custkey") % 2 == 0
     t = o.groupBy(F.col("o_orderpriority").alias("g")).agg(*[F.count(F.when(c, 1)).alias(n) for n, c in (("a", f & even), ("b", f & ~even), ("c", ~f & even), ("d", ~f & ~even))])
     return t.select("g", "a", "b", "c", "d", r6(fisher_udf("a", "b", "c", "d"), "p"))
 
 
-@query()
+@query("SELECT n, round(n * ln(f / n) + 2 * (3 + 1), 6) AS aic FROM (SELECT o_custkey AS k, count(*) AS n, sum(o_totalprice) / 1000 AS f FROM orders GROUP BY 1)")
+def aic(spark, sf_dir):
+    """The information criterion of a residual sum over n points with three parameters."""
+    o = read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), (F.sum("o_totalprice") / 1000).alias("f"))
+    return o.select("n", r6(A.aic(F.col("f"), F.col("n"), 3), "aic"))
+
+
+@query("SELECT DISTINCT n, k, CASE WHEN k < 0 THEN 0.0 ELSE round(list_product(list_transform(range(1, k + 1), lambda i: (n - i + 1) / i) || [1.0]), 6) END AS c FROM (SELECT l_suppkey % 11 - 5 AS n, l_linenumber - 1 AS k FROM lineitem)")
+def binomial_coefficient(spark, sf_dir):
+    li = read(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 11 - 5).cast("long").alias("n"), (F.col("l_linenumber") - 1).cast("long").alias("k")).distinct()
+    return li.select("n", "k", r6(A.choose(F.col("n"), F.col("k")), "c"))
+
+
+ORDERED_D = "list_sort(list_transform(range(0, len(d)), lambda i: struct_pack(x := d[i + 1], i := i)))"
+
+
+@query(f"SELECT l_orderkey, {_all(f'list_transform({ORDERED_D}, lambda s: s.i)')} AS places, list_sort(d) = d AS is_sorted FROM {LINES}")
+def sort_index(spark, sf_dir):
+    """Places of the elements in sorted order (ties by place), and whether a vector is sorted."""
+    v = vectors(spark, sf_dir)
+    return v.select("l_orderkey", show(A.order("d")).alias("places"), A.is_sorted("d").alias("is_sorted"))
+
+
+SIGNED = "(SELECT l_suppkey, l_tax - l_discount AS d FROM lineitem)"
+
+
+@query(
+    f"WITH r AS (SELECT l_suppkey, d, rank() OVER (PARTITION BY l_suppkey ORDER BY abs(d)) + (count(*) OVER (PARTITION BY l_suppkey, abs(d)) - 1) / 2 AS rk, count(*) OVER (PARTITION BY l_suppkey, abs(d)) AS t FROM {SIGNED} WHERE d <> 0), "
+    "g AS (SELECT l_suppkey, count(*) AS n, coalesce(sum(rk) FILTER (d > 0), 0) AS v, sum(t * t - 1) AS ties FROM r GROUP BY l_suppkey), z AS (SELECT *, v - n * (n + 1) / 4 AS z, n * (n + 1) * (2 * n + 1) / 24 - ties / 48 AS var FROM g), "
+    "c AS (SELECT l_suppkey, v, abs((z - sign(z) * 0.5) / sqrt(var)) AS z FROM z) "
+    f"SELECT l_suppkey, v, round(least(1, 1 - {erf_sql('z / sqrt(2)')}), 6) AS p FROM c"
+)
 def wilcoxon_test(spark, sf_dir):
     """Paired signed-rank test of prices against scaled quantities in each supplier's lines."""
     import pandas as pd
@@ -343,4 +387,5 @@ def wilcoxon_test(spark, sf_dir):
         v, p = wilcoxon_signed_rank(list(zip(pdf["l_tax"], pdf["l_discount"])))
         return pd.DataFrame({"l_suppkey": [pdf["l_suppkey"].iloc[0]], "v": [v], "p": [p]})
 
-    return read(spark, sf_dir, "lineitem").select("l_suppkey", "l_tax", "l_discount").groupBy("l_suppkey").applyInPandas(test, "l_suppkey long, v double, p double")
+    tested = read(spark, sf_dir, "lineitem").select("l_suppkey", "l_tax", "l_discount").groupBy("l_suppkey").applyInPandas(test, "l_suppkey long, v double, p double")
+    return tested.select("l_suppkey", "v", r6("p"))

@@ -106,16 +106,18 @@ def motif_ic(spark, sf_dir):
     return C.information(C.distribution(sequences(spark, sf_dir), L3), L3).select("seq_id", r6("ic"))
 
 
-HALVES = "(SELECT seq_id, substr(seq, {}) AS seq FROM " + MOTIF_SEQ + ")"
+#: Thirds of whole items; the last one has what is left.
+HALVES = "(SELECT seq_id, substr(seq, CAST({0} * (length(seq) // 3) + 1 AS INTEGER), CAST(CASE WHEN {0} = 2 THEN length(seq) ELSE length(seq) // 3 END AS INTEGER)) AS seq FROM " + MOTIF_SEQ + ")"
 
 
 def halves(spark, sf_dir):
     m = motif_sequences(spark, sf_dir)
-    return [m.select("seq_id", S.window("seq", a, b).alias("seq")) for a, b in ((1, 60), (61, 120), (121, 180))]
+    third = F.floor(F.length("seq") / 3).cast("int")
+    return [m.select("seq_id", F.col("seq").substr(i * third + 1, F.length("seq") if i == 2 else third).alias("seq")) for i in range(3)]
 
 
 @query(
-    f"SELECT seq_id, kmer, round(sqrt((coalesce(a.w * a.w, 0) + coalesce(c.w * c.w, 0)) / 2), 6) AS w FROM {dist(HALVES.format('1, 60'), 3)} a FULL JOIN {dist(HALVES.format('121, 60'), 3)} c USING (seq_id, kmer)"
+    f"SELECT seq_id, kmer, round(sqrt((coalesce(a.w * a.w, 0) + coalesce(c.w * c.w, 0)) / 2), 6) AS w FROM {dist(HALVES.format(0), 3)} a FULL JOIN {dist(HALVES.format(2), 3)} c USING (seq_id, kmer)"
 )
 def mix_distribution(spark, sf_dir):
     first, _, third = (C.distribution(h, L3) for h in halves(spark, sf_dir))
@@ -123,7 +125,7 @@ def mix_distribution(spark, sf_dir):
 
 
 @query(
-    f"WITH a AS {dist(HALVES.format('1, 60'), 3)}, b AS {dist(HALVES.format('61, 60'), 3)} SELECT seq_id, kmer, round(w, 6) AS w FROM a UNION ALL SELECT seq_id + (SELECT max(seq_id) + 1 FROM a), kmer, round(w, 6) FROM b"
+    f"WITH a AS {dist(HALVES.format(0), 3)}, b AS {dist(HALVES.format(1), 3)} SELECT seq_id, kmer, round(w, 6) AS w FROM a UNION ALL SELECT seq_id + (SELECT max(seq_id) + 1 FROM a), kmer, round(w, 6) FROM b"
 )
 def merge_motifs(spark, sf_dir):
     first, second, _ = (C.distribution(h, L3) for h in halves(spark, sf_dir))

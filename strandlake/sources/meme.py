@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 DEFAULT_SITES = 1_000_000
 
@@ -48,3 +49,11 @@ def read_meme(spark: SparkSession, path: str) -> DataFrame:
             yield pd.DataFrame(rows, columns=["name", "n", "pos", "a", "c", "g", "t"])[["name", "pos", "a", "c", "g", "t", "n"]].astype({"n": float})
 
     return spark.read.text(path, wholetext=True).mapInPandas(run, "name string, pos int, a double, c double, g double, t double, n double")
+
+
+def write_meme(pwm: DataFrame, path: str) -> None:
+    """Matrices (name, pos, a, c, g, t, n) as MEME text, one block a motif."""
+    row = F.concat_ws(" ", *[F.col(b).cast("string") for b in "acgt"])
+    held = pwm.groupBy("name").agg(F.sort_array(F.collect_list(F.struct("pos", row.alias("x")))).alias("rows"), F.max("n").cast("long").cast("string").alias("n"))
+    head = F.concat(F.lit("MEME version 4\n\nALPHABET= ACGT\n\nMOTIF "), "name", F.lit("\nletter-probability matrix: alength= 4 w= "), F.size("rows").cast("string"), F.lit(" nsites= "), "n", F.lit("\n"))
+    held.select(F.concat(head, F.array_join(F.transform("rows", lambda r: r["x"]), "\n"), F.lit("\n")).alias("value")).write.text(path)

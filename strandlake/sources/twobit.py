@@ -94,7 +94,10 @@ def write_twobit(path, sequences: dict[str, str]) -> None:
         parts = [ints([len(s), len(n)]), ints([a for a, _ in n]), ints([b for _, b in n]), ints([len(m)]), ints([a for a, _ in m]), ints([b for _, b in m]), ints([0]), bits]
         bodies.append(b"".join(parts))
     at = 16 + sum(5 + len(k.encode()) for k in sequences)
-    with open(path, "wb") as f:
+    from pyarrow import fs
+
+    system, to = fs.FileSystem.from_uri(str(path))
+    with system.open_output_stream(to, compression=None) as f:
         f.write(struct.pack("<4I", SIGNATURE, 0, len(sequences), 0))
         for name, body in zip(sequences, bodies):
             f.write(bytes([len(name.encode())]) + name.encode() + struct.pack("<I", at))
@@ -106,7 +109,7 @@ def write_twobit(path, sequences: dict[str, str]) -> None:
 def _open(uri: str):
     from pyarrow import fs
 
-    system, at = fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("/") else f"/{uri}")
+    system, at = fs.FileSystem.from_uri(uri)
     return system.open_input_file(at)
 
 
