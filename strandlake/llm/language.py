@@ -37,8 +37,8 @@ from strandlake.llm.common import fresh, small_batches
 
 FOLDS = 5
 DOCS, SAMPLE, PIECES, PIECE = 600, 20_000, 4, 96
-WINDOW, CONTEXT, ROWS = 192, 32, 1024
-HIDDEN, SEED = 16, 5
+WINDOW, CONTEXT, ROWS = 448, 24, 1024
+HIDDEN, SEED = 12, 5
 STEPS, BATCH, RATE = 160, 256, 0.02
 UNKNOWN = "und"
 
@@ -162,15 +162,22 @@ class Network:
         """Sums over each window's own positions of the probabilities: (n, languages)."""
         import numpy as np
 
-        out = np.empty((len(parts), len(self.languages)), np.float32)
+        h, p, k = HIDDEN, self.p, len(self.languages)
+        out = np.empty((len(parts), k), np.float32)
         by = np.argsort([len(p) for p, _, _ in parts], kind="stable")
         for i in range(0, len(by), ROWS):
             rows = by[i : i + ROWS]
             x, mask = padded([parts[j][0] for j in rows])
-            y, _ = self.probabilities(x, mask)
-            lead, own = (np.array([parts[j][k] for j in rows]) for k in (1, 2))
+            # ``probabilities`` with the languages in front, so that sums over them are sums of rows.
+            y = p["Of"].T @ self.read(x, mask, "f").reshape(-1, h).T
+            y += p["Ob"].T @ self.read(x, mask, "b").reshape(-1, h).T
+            y += p["b"][:, None]
+            y -= y.max(axis=0)
+            np.exp(y, out=y)
+            lead, own = (np.array([parts[j][i] for j in rows]) for i in (1, 2))
             at = np.arange(len(x))[:, None]
-            out[rows] = np.einsum("tnk,tn->nk", y, ((at >= lead) & (at < lead + own)).astype(np.float32))
+            y *= ((at >= lead) & (at < lead + own)).reshape(-1) / y.sum(axis=0)
+            out[rows] = y.reshape(k, *x.shape).sum(axis=1).T
         return out
 
 
@@ -276,8 +283,8 @@ def annotate(docs: DataFrame, net: Network | None, label: str = "lang_pred", sur
 
     def run(batches):
         for batch in batches:
-            for i in range(0, batch.num_rows, 128):
-                part = batch.slice(i, 128)
+            for i in range(0, batch.num_rows, 512):
+                part = batch.slice(i, 512)
                 best, scores = documents(net, part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array([names[b] for b in best], pa.string()), pa.array(scores)], names=[*columns, label, sure])
 

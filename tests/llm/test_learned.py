@@ -76,7 +76,7 @@ def test_unlabelled_tables_give_unknown(spark):
 def test_windows_read_like_whole_documents(spark, monkeypatch):
     rows = corpus()
     net = language.train(language.sample(docs(spark, rows)))
-    texts = [t * 3 for _, t, _, _ in rows[:12]] + ["", "a", "12", None]
+    texts = [t * 9 for _, t, _, _ in rows[:12]] + ["", "a", "12", None]
     best, score = language.documents(net, texts)
     monkeypatch.setattr(language, "WINDOW", 10**6)  # one window holds a document: no context is cut
     whole, sure = language.documents(net, texts)
@@ -88,7 +88,7 @@ def test_windows_read_like_whole_documents(spark, monkeypatch):
 
 def test_windows_cover_every_position_once():
     data = bytes(range(256)) * 5
-    for n in (0, 1, 191, 192, 193, 1000):
+    for n in (0, 1, 447, 448, 449, 1000):
         parts = language.windows(data[:n])
         assert b"".join(p[lead : lead + own] for p, lead, own in parts) == data[:n]
 
@@ -98,6 +98,9 @@ def test_both_readings_agree():
     x, mask = language.padded([b"hello there", b"ab", b"zzz z"])
     for d in "fb":
         assert np.allclose(net.states(x, mask, d)[0], net.read(x, mask, d), atol=1e-6)
+    y, _ = net.probabilities(x, mask, True)
+    got = net.pooled([(b"hello there", 2, 7), (b"ab", 0, 2), (b"zzz z", 1, 3)])
+    assert np.allclose(got, [y[2:9, 0].sum(axis=0), y[:2, 1].sum(axis=0), y[1:4, 2].sum(axis=0)], atol=1e-5)
 
 
 def test_the_least_score_follows_the_number_of_languages():
