@@ -250,25 +250,33 @@ def _mix(docs: DataFrame, shards: int | None) -> tuple[DataFrame, int]:
     inner = F.sum("size").over(Window.partitionBy("source_key", "bucket").orderBy("h", "doc_id", "t", "k").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
     placed = dealt.withColumn("inner", inner).join(base, ["source_key", "bucket"]).select(*KEY, "size", (F.col("base") + F.col("inner")).alias("start"))
 
-    def drawn(p, start, size):
+    def drawn(p, rows, draws):
+        """Add to ``draws`` the draws of the rows (number, start, size) of one source."""
         import numpy as np
 
-        first, last, n, out = start // BLOCK_WORDS, (start + size - 1) // BLOCK_WORDS, p["n"], []
-        for epoch in range(-(-p["draws"] // n)):
-            place = epoch * n + places(n, p["key"], epoch, np.arange(first, last + 1))
-            for j in np.flatnonzero(place < p["draws"]).tolist():
-                draw, begin = int(place[j]), (first + j) * BLOCK_WORDS
+        spans = [(i, start, size, start // BLOCK_WORDS, (start + size - 1) // BLOCK_WORDS) for i, start, size in rows]
+        blocks, owner = np.concatenate([np.arange(a, b + 1) for *_, a, b in spans]), np.repeat(np.arange(len(spans)), [b - a + 1 for *_, a, b in spans])
+        for epoch in range(-(-p["draws"] // p["n"])):
+            place = epoch * p["n"] + places(p["n"], p["key"], epoch, blocks)
+            hit = np.flatnonzero(place < p["draws"])
+            for block, draw, k in zip(blocks[hit].tolist(), place[hit].tolist(), owner[hit].tolist()):
+                i, start, size = spans[k][:3]
+                begin = block * BLOCK_WORDS
                 end = begin + p["last"] if p["last"] is not None and draw == p["draws"] - 1 else min(begin + BLOCK_WORDS, p["words"])
                 a, b = max(begin, start), min(end, start + size)
                 if a < b:
-                    out.append({"epoch": epoch, "block": first + j, "at": a - start, "words": b - a, "shard": tree.shard(p["key"], draw)})
-        return out
+                    draws[i].append({"epoch": epoch, "block": block, "at": a - start, "words": b - a, "shard": tree.shard(p["key"], draw)})
 
     def run(batches):
         kinds = pa.list_(pa.struct([("epoch", pa.int32()), ("block", pa.int64()), ("at", pa.int64()), ("words", pa.int64()), ("shard", pa.int32())]))
         for batch in batches:
             of = [plans[x] for x in batch.column("source_key").to_pylist()]
-            draws = [drawn(p, start, size) if size else [] for p, start, size in zip(of, batch.column("start").to_pylist(), batch.column("size").to_pylist())]
+            draws, by_source = [[] for _ in of], {}
+            for i, (p, start, size) in enumerate(zip(of, batch.column("start").to_pylist(), batch.column("size").to_pylist())):
+                if size:
+                    by_source.setdefault(p["key"], (p, []))[1].append((i, start, size))
+            for p, rows in by_source.values():
+                drawn(p, rows, draws)
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in (*KEY, "size")), pa.array([p["words"] for p in of], pa.int64()), pa.array([p["target"] for p in of], pa.float64()), pa.array(draws, kinds)],
                 names=[*KEY, "size", "source_size", "target", "draws"],
