@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 
 EPS = 1e-12
 MAX_WORDS = 1 << 20
+#: Numbers of a matrix of words by motifs, which the driver and each task hold a few times over: 1 GB.
+MAX_CELLS = 1 << 27
+#: Columns beyond the rank and passes over the sequences of the search for the leading singular vectors.
+EXTRA, PASSES = 10, 6
 
 
 def _packed(v: DataFrame, index: dict) -> DataFrame:
@@ -22,28 +26,49 @@ def _packed(v: DataFrame, index: dict) -> DataFrame:
 
 
 def product(packed: DataFrame, w, fraction_key: int | None = None, np_columns: int = 0, total: int = 0):
-    """V (V'W) as an array, over all sequences or a seeded choice of about ``np_columns`` of them."""
+    """V (V'W) as an array, over all sequences or a seeded choice of about ``np_columns`` of them.
+
+    A task sums its sequences in one array of W's shape and sends a row of it a
+    word; rows of a word meet in one task, so the driver gets one a word.
+    """
     import numpy as np
-    import pandas as pd
+    import pyarrow as pa
 
-    shape = w.shape
+    if w.size > MAX_CELLS:
+        raise ValueError(f"{w.shape[0]} words by {w.shape[1]} motifs are too many for a task")
+    shape, names = w.shape, ["i", "x"]
     rows = packed
     if fraction_key is not None and total > np_columns:
         rows = packed.filter(F.pmod(F.xxhash64(F.lit(fraction_key), "seq_id"), F.lit(1 << 30)) < int((1 << 30) * np_columns / total))
 
+    def sent(i, sums):
+        for k in range(0, len(i), 1024):
+            yield pa.RecordBatch.from_arrays([pa.array(i[k : k + 1024], pa.int64()), pa.array([x.tobytes() for x in sums[k : k + 1024]], pa.binary())], names=names)
+
     def part(batches):
         out = np.zeros(shape)
-        for pdf in batches:
-            for at, x in zip(pdf["at"], pdf["w"]):
-                at, x = np.asarray(at, int), np.asarray(x, float)
-                np.add.at(out, at, np.outer(x, x @ w[at]))
+        for batch in batches:
+            for at, x in zip(batch.column("at"), batch.column("w")):
+                at, x = at.values.to_numpy(zero_copy_only=False), x.values.to_numpy(zero_copy_only=False)
+                # A sequence holds a word once.
+                out[at] += np.outer(x, x @ w[at])
         hit = np.flatnonzero(out.any(axis=1))
-        if len(hit):
-            yield pd.DataFrame({"i": hit, "x": list(out[hit])})
-
-    sums = rows.mapInPandas(part, "i long, x array<double>").select("i", F.posexplode("x").alias("j", "x")).groupBy("i", "j").agg(F.sum("x").alias("x")).toPandas()  # words by motifs
-    out = np.zeros(shape)
-    out[sums["i"].to_numpy(int), sums["j"].to_numpy(int)] = sums["x"]
+        yield from sent(hit, out[hit])
+
+    def summed(batches):
+        at: dict = {}
+        for batch in batches:
+            for i, x in zip(batch.column("i").to_pylist(), batch.column("x").to_pylist()):
+                x = np.frombuffer(x)
+                at[i] = at[i] + x if i in at else x
+        yield from sent(list(at), list(at.values()))
+
+    spark, out = packed.sparkSession, np.zeros(shape)
+    # Every task sends up to all of W's shape, so there are only as many as run at once.
+    parts = rows.coalesce(spark.sparkContext.defaultParallelism).select("at", "w").mapInArrow(part, "i long, x binary")
+    sums = parts.repartition("i").mapInArrow(summed, "i long, x binary").toArrow()  # one row a word
+    for i, x in zip(sums["i"].to_pylist(), sums["x"].to_pylist()):
+        out[i] = np.frombuffer(x)
     return out
 
 
@@ -58,18 +83,33 @@ def update(w, n, sigma=None):
     return new / max(np.linalg.norm(new, 2), EPS)
 
 
-def nndsvd(v, rank: int, fill: float = 0.0):
-    """Start from the signed parts of the leading singular pairs of a small dense matrix."""
+def leading(times, words: int, rank: int, rng):
+    """(vectors, values) of the ``rank`` leading eigenpairs of a symmetric matrix V V' given as ``times(x)`` = V (V'x).
+
+    Subspace iteration from random columns: only words by a few more than
+    ``rank`` numbers are held, never words by words.
+    """
+    import numpy as np
+
+    size = min(words, rank + EXTRA)
+    q, _ = np.linalg.qr(rng.standard_normal((words, size)))
+    for _ in range(PASSES if size < words else 0):
+        q, _ = np.linalg.qr(times(q))
+    values, turn = np.linalg.eigh(q.T @ times(q))
+    order = np.argsort(-values, kind="stable")[:rank]
+    return q @ turn[:, order], np.maximum(values[order], 0)
+
+
+def nndsvd(u, s, rank: int, fill: float = 0.0):
+    """Start from the signed parts of the leading eigenpairs (u, s) of a symmetric matrix: the larger part of each vector."""
     import numpy as np
 
-    u, s, vt = np.linalg.svd(v, full_matrices=False)
-    w = np.zeros((v.shape[0], rank))
+    w = np.zeros((u.shape[0], rank))
     w[:, 0] = np.sqrt(s[0]) * np.abs(u[:, 0])
     for j in range(1, min(rank, len(s))):
-        up, un, vp, vn = np.maximum(u[:, j], 0), np.maximum(-u[:, j], 0), np.maximum(vt[j], 0), np.maximum(-vt[j], 0)
-        plus, minus = np.linalg.norm(up) * np.linalg.norm(vp), np.linalg.norm(un) * np.linalg.norm(vn)
-        side, mass = (up, plus) if plus >= minus else (un, minus)
-        w[:, j] = np.sqrt(s[j] * mass) * side / max(np.linalg.norm(side), EPS)
+        plus, minus = np.maximum(u[:, j], 0), np.maximum(-u[:, j], 0)
+        side = plus if np.linalg.norm(plus) >= np.linalg.norm(minus) else minus
+        w[:, j] = np.sqrt(s[j]) * side
     w[w < EPS] = fill
     return w
 
@@ -122,8 +162,7 @@ def factorise(v: DataFrame, rank: int, np_columns: int = 0, init: str = "random"
         w, at = np.zeros((len(words), rank)), {k: i for i, k in enumerate(words)}
         w[rows["kmer"].map(at), rows["cluster"]] = rows["w"]
     elif init == "nndsvd":
-        gram = product(packed, np.eye(len(words)))
-        w = nndsvd(gram, rank)
+        w = nndsvd(*leading(lambda x: product(packed, x), len(words), rank, rng), rank)
     else:
         w = rng.random((len(words), rank))
     w = w / max(np.linalg.norm(w, 2), EPS)

@@ -50,12 +50,28 @@ def excluding(a: DataFrame, b: DataFrame, width: int = BIN) -> DataFrame:
     return a.join(bad, (F.col("chrom") == F.col("_c")) & (F.col("start") == F.col("_s")) & (F.col("end") == F.col("_e")), "left_anti")
 
 
-def clusters(df: DataFrame, touching: bool = True) -> DataFrame:
-    """``df`` with ``cluster``: number, within its chrom, of the chain of intervals it hangs together with."""
-    w = Window.partitionBy("chrom").orderBy("start", "end")
-    before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    apart = before.isNull() | ((F.col("start") > before) if touching else (F.col("start") >= before))
-    return df.withColumn("_new", apart.cast("long")).withColumn("cluster", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+def clusters(df: DataFrame, touching: bool = True, width: int = BIN) -> DataFrame:
+    """``df`` with ``cluster``: number, within its chrom, of the chain of intervals it hangs together with.
+
+    Intervals are ordered within bins of ``width`` bases; only one row a bin
+    (how far its intervals reach, how many chains begin in it) goes through a
+    window over the chromosome, so no task sorts a chromosome's intervals.
+    """
+    at = F.col("_i.start"), F.col("_i.end")
+    held = df.select(F.struct(*df.columns).alias("_i"), F.col("chrom").alias("_c"), F.floor(F.col("start") / width).alias("_k"))
+    w, earlier = Window.partitionBy("_c", "_k").orderBy(*at), Window.partitionBy("_c").orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
+
+    def with_bins(rows, value, total, name):
+        """``rows`` with ``name``: the total of ``value`` over the earlier bins of the chromosome."""
+        bins = rows.groupBy("_c", "_k").agg(total(value).alias("_v")).select(F.col("_c").alias("_bc"), F.col("_k").alias("_bk"), total("_v").over(earlier).alias(name))
+        return rows.join(bins, F.col("_c").eqNullSafe(F.col("_bc")) & F.col("_k").eqNullSafe(F.col("_bk"))).drop("_bc", "_bk")
+
+    reached = with_bins(held, at[1], F.max, "_reach")
+    before = F.greatest(F.max(at[1]).over(w.rowsBetween(Window.unboundedPreceding, -1)), "_reach")
+    apart = before.isNull() | ((at[0] > before) if touching else (at[0] >= before))
+    begun = with_bins(reached.withColumn("_new", apart.cast("long")), F.col("_new"), F.sum, "_past")
+    number = F.coalesce("_past", F.lit(0)) + F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return begun.select("_i.*", number.alias("cluster"))
 
 
 def merged(df: DataFrame, touching: bool = False) -> DataFrame:

@@ -114,3 +114,21 @@ def test_merged_alleles_are_remapped(spark):
     assert {r["pos"]: r["alleles"] for r in vs.collect()} == {1: ["A", "G", "T"], 5: ["C", "G"]}
     with pytest.raises(Exception, match="different reference"):
         G.merge_variants(va, spark.createDataFrame([("c", 1, ["T", "A"])], v)).collect()
+
+
+def test_chains_are_numbered_alike_whatever_the_bins(spark):
+    import random
+
+    rng = random.Random(5)
+    rows = [(c, s, s + rng.choice([0, 1, 3, 8, 40]), i) for i, (c, s) in enumerate((rng.choice(["x", "y", None]), rng.randrange(400)) for _ in range(120))]
+    for touching in (True, False):
+        want, seen = {}, {}
+        for c, s, e, i in sorted(rows, key=lambda r: r[1:3]):
+            n, reach = seen.get(c, (0, -1))
+            n += reach < 0 or (s > reach if touching else s >= reach)
+            seen[c], want[i] = (n, max(reach, e)), n
+        for width in (7, 64, 1 << 14):
+            got = I.clusters(spark.createDataFrame(rows, "chrom string, start long, end long, i int"), touching, width)
+            assert got.columns == ["chrom", "start", "end", "i", "cluster"]
+            assert {r["i"]: r["cluster"] for r in got.collect()} == want
+    assert I.clusters(spark.createDataFrame([], "chrom string, start long, end long")).count() == 0

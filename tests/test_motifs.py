@@ -68,6 +68,25 @@ def test_factorisation_is_non_negative_and_improves(spark, init, columns):
         assert err(m.w) < err(N.factorise(d, 3, columns, init, max_iter=1, seed=1).w) + 1e-9
 
 
+def test_leading_pairs_equal_those_of_the_whole_matrix():
+    rng = np.random.default_rng(2)
+    v = rng.random((60, 5)) @ rng.random((5, 90)) + 0.01 * rng.random((60, 90))
+    gram = v @ v.T
+    u, s = N.leading(lambda x: gram @ x, 60, 4, np.random.default_rng(0))
+    values, vectors = np.linalg.eigh(gram)
+    assert np.allclose(s, values[::-1][:4], rtol=1e-6)
+    assert np.allclose(np.abs((u * vectors[:, ::-1][:, :4]).sum(axis=0)), 1, atol=1e-6)
+
+
+def test_product_sums_over_sequences_and_refuses_what_no_task_can_hold(spark):
+    d = family(spark)
+    rows = d.toPandas().pivot(index="kmer", columns="seq_id", values="w").fillna(0)
+    packed, w = N._packed(d, {k: i for i, k in enumerate(rows.index)}), np.random.default_rng(1).random((len(rows), 3))
+    assert np.allclose(N.product(packed, w), rows.to_numpy() @ (rows.to_numpy().T @ w))
+    with pytest.raises(ValueError):
+        N.product(packed, np.broadcast_to(0.0, (N.MAX_CELLS, 2)))
+
+
 MATRIX = [(f"m{k}", i + 1, *p) for k in range(2) for i, p in enumerate([(0.7, 0.1, 0.1, 0.1), (0.1, 0.2, 0.6, 0.1), (0.25, 0.25, 0.25, 0.25)])]
 
 
