@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandlake.operators.linalg import summed
+
 EPS = 1e-12
 MAX_WORDS = 1 << 20
 #: Numbers of a matrix of words by motifs, which the driver and each task hold a few times over: 1 GB.
@@ -26,50 +28,21 @@ def _packed(v: DataFrame, index: dict) -> DataFrame:
 
 
 def product(packed: DataFrame, w, fraction_key: int | None = None, np_columns: int = 0, total: int = 0):
-    """V (V'W) as an array, over all sequences or a seeded choice of about ``np_columns`` of them.
-
-    A task sums its sequences in one array of W's shape and sends a row of it a
-    word; rows of a word meet in one task, so the driver gets one a word.
-    """
+    """V (V'W) as an array, over all sequences or a seeded choice of about ``np_columns`` of them."""
     import numpy as np
-    import pyarrow as pa
 
     if w.size > MAX_CELLS:
         raise ValueError(f"{w.shape[0]} words by {w.shape[1]} motifs are too many for a task")
-    shape, names = w.shape, ["i", "x"]
     rows = packed
     if fraction_key is not None and total > np_columns:
         rows = packed.filter(F.pmod(F.xxhash64(F.lit(fraction_key), "seq_id"), F.lit(1 << 30)) < int((1 << 30) * np_columns / total))
 
-    def sent(i, sums):
-        for k in range(0, len(i), 1024):
-            yield pa.RecordBatch.from_arrays([pa.array(i[k : k + 1024], pa.int64()), pa.array([x.tobytes() for x in sums[k : k + 1024]], pa.binary())], names=names)
-
-    def part(batches):
-        out = np.zeros(shape)
-        for batch in batches:
-            for at, x in zip(batch.column("at"), batch.column("w")):
-                at, x = at.values.to_numpy(zero_copy_only=False), x.values.to_numpy(zero_copy_only=False)
-                # A sequence holds a word once.
-                out[at] += np.outer(x, x @ w[at])
-        hit = np.flatnonzero(out.any(axis=1))
-        yield from sent(hit, out[hit])
-
-    def summed(batches):
-        at: dict = {}
-        for batch in batches:
-            for i, x in zip(batch.column("i").to_pylist(), batch.column("x").to_pylist()):
-                x = np.frombuffer(x)
-                at[i] = at[i] + x if i in at else x
-        yield from sent(list(at), list(at.values()))
-
-    spark, out = packed.sparkSession, np.zeros(shape)
-    # Every task sends up to all of W's shape, so there are only as many as run at once.
-    parts = rows.coalesce(spark.sparkContext.defaultParallelism).select("at", "w").mapInArrow(part, "i long, x binary")
-    sums = parts.repartition("i").mapInArrow(summed, "i long, x binary").toArrow()  # one row a word
-    for i, x in zip(sums["i"].to_pylist(), sums["x"].to_pylist()):
-        out[i] = np.frombuffer(x)
-    return out
+    def add(out, batch):
+        for at, x in zip(batch.column("at"), batch.column("w")):
+            at, x = at.values.to_numpy(zero_copy_only=False), x.values.to_numpy(zero_copy_only=False)
+            out[at] += np.outer(x, x @ w[at])  # a sequence holds a word once
+
+    return summed(rows.select("at", "w"), w.shape, add)
 
 
 def update(w, n, sigma=None):

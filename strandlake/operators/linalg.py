@@ -49,3 +49,39 @@ def sample_columns(a: DataFrame, n: int, seed: int) -> DataFrame:
     """``n`` columns chosen by a seeded hash, the same on every run."""
     chosen = a.select("col").distinct().orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("col").cast("string"))), "col").limit(n)
     return a.join(chosen, "col", "left_semi")
+
+
+def summed(rows: DataFrame, shape: tuple[int, int], add):
+    """The array of ``shape`` to which ``add(out, batch)`` has added every Arrow batch of ``rows``.
+
+    A task adds its batches to one array and sends the rows of it that aren't
+    zero; those of one number meet in one task, so the driver gets one each.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    def sent(i, sums):
+        for k in range(0, len(i), 1024):
+            yield pa.RecordBatch.from_arrays([pa.array(i[k : k + 1024], pa.int64()), pa.array([x.tobytes() for x in sums[k : k + 1024]], pa.binary())], names=["i", "x"])
+
+    def part(batches):
+        out = np.zeros(shape)
+        for batch in batches:
+            add(out, batch)
+        hit = np.flatnonzero(out.any(axis=1))
+        yield from sent(hit, out[hit])
+
+    def meet(batches):
+        at: dict = {}
+        for batch in batches:
+            for i, x in zip(batch.column("i").to_pylist(), batch.column("x").to_pylist()):
+                x = np.frombuffer(x)
+                at[i] = at[i] + x if i in at else x
+        yield from sent(list(at), list(at.values()))
+
+    # Every task sends up to a whole array, so there are only as many as run at once.
+    parts = rows.coalesce(rows.sparkSession.sparkContext.defaultParallelism).mapInArrow(part, "i long, x binary")
+    sums, out = parts.repartition("i").mapInArrow(meet, "i long, x binary").toArrow(), np.zeros(shape)
+    for i, x in zip(sums["i"].to_pylist(), sums["x"].to_pylist()):
+        out[i] = np.frombuffer(x)
+    return out

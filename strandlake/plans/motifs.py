@@ -185,11 +185,9 @@ def model_correlation(spark, sf_dir):
 def lasso_cv(spark, sf_dir):
     """L1 logistic regression of document quality on motif features, by five folds of the id."""
     f = features(C.distribution(sequences(spark, sf_dir), L3), motifs(spark, sf_dir))
-    labels = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("seq_id"), F.col("quality").alias("y"))
-    wide = f.join(labels, "seq_id").groupBy("seq_id", "y").pivot("motif_id").agg(F.first("bc")).na.fill(0.0).orderBy("seq_id").toPandas()
-    names = [c for c in wide.columns if c not in ("seq_id", "y")]
-    coef, intercept, lam, mean = M.lasso_path(wide[names], wide["y"], wide["seq_id"] % 5, 20, 150)
-    return spark.createDataFrame([(int(n), float(c), float(intercept), lam, float(mean.max())) for n, c in zip(names, coef)], "motif_id long, coef double, intercept double, lambda double, auroc double")
+    labels = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("seq_id"), F.col("quality").alias("y"), F.pmod("doc_id", F.lit(5)).alias("fold"))
+    ids, coef, intercept, lam, mean = M.lasso_cv(f, labels, 20, 60)
+    return spark.createDataFrame([(int(n), float(c), intercept, lam, float(mean.max())) for n, c in zip(ids, coef)], "motif_id long, coef double, intercept double, lambda double, auroc double")
 
 
 # Motif matching: all items are queries and targets.

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from strandlake.functions import arrays as A
 from strandlake.functions import stats as S
 from strandlake.operators import windows as W
-from strandlake.operators.models import best_threshold, lasso_path, metrics
+from strandlake.operators.models import best_threshold, lasso_cv, lasso_path, metrics
 
 
 def exact(k, n, p):
@@ -102,3 +102,21 @@ def test_lasso_finds_the_signal():
     y = (x[:, 1] + 0.2 * rng.normal(size=300) > 0).astype(float)
     coef, _, _, mean = lasso_path(x, y, np.arange(300) % 5, 15, 150)
     assert mean.max() > 0.95 and abs(coef).argmax() == 1
+
+
+def test_lasso_on_the_cluster_equals_the_one_in_memory(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = rng.random((150, 4)) * (rng.random((150, 4)) < 0.8)
+    x[:, 3] = 0.5  # constant: no part in a model
+    y = (x[:, 1] - x[:, 0] + 0.3 * rng.normal(size=150) > 0).astype(int)
+    f = spark.createDataFrame([(i, j, float(x[i, j])) for i in range(150) for j in range(4) if x[i, j]], "seq_id long, motif_id long, bc double")
+    labels = spark.createDataFrame([(i, int(y[i]), i % 3) for i in range(150)], "seq_id long, y int, fold int")
+    ids, coef, intercept, lam, mean = lasso_cv(f, labels, 6, 120)
+    want, b, at, areas = lasso_path(x, y, np.arange(150) % 3, 6, 4000)
+    assert ids == [0, 1, 2, 3] and coef[3] == 0
+    assert lam == pytest.approx(at) and np.allclose(mean, areas, atol=2e-3)
+    assert np.allclose(coef, want, atol=0.02) and intercept == pytest.approx(b, abs=0.02)
+    with pytest.raises(ValueError):
+        lasso_cv(f, labels.filter("y = 1"), 2, 2)
