@@ -56,10 +56,14 @@ def clusters(df: DataFrame, touching: bool = True, width: int = BIN) -> DataFram
     Intervals are ordered within bins of ``width`` bases; only one row a bin
     (how far its intervals reach, how many chains begin in it) goes through a
     window over the chromosome, so no task sorts a chromosome's intervals.
+    What lies before an interval also orders equal ones, so that both windows
+    see them in the same order.  A missing end reaches nowhere; a missing start
+    begins no chain and comes last.
     """
     at = F.col("_i.start"), F.col("_i.end")
     held = df.select(F.struct(*df.columns).alias("_i"), F.col("chrom").alias("_c"), F.floor(F.col("start") / width).alias("_k"))
-    w, earlier = Window.partitionBy("_c", "_k").orderBy(*at), Window.partitionBy("_c").orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
+    w, earlier = Window.partitionBy("_c", "_k"), Window.partitionBy("_c").orderBy(F.asc_nulls_last("_k")).rowsBetween(Window.unboundedPreceding, -1)
+    order = [x.asc_nulls_last() for x in at]
 
     def with_bins(rows, value, total, name):
         """``rows`` with ``name``: the total of ``value`` over the earlier bins of the chromosome."""
@@ -67,10 +71,12 @@ def clusters(df: DataFrame, touching: bool = True, width: int = BIN) -> DataFram
         return rows.join(bins, F.col("_c").eqNullSafe(F.col("_bc")) & F.col("_k").eqNullSafe(F.col("_bk"))).drop("_bc", "_bk")
 
     reached = with_bins(held, at[1], F.max, "_reach")
-    before = F.greatest(F.max(at[1]).over(w.rowsBetween(Window.unboundedPreceding, -1)), "_reach")
-    apart = before.isNull() | ((at[0] > before) if touching else (at[0] >= before))
-    begun = with_bins(reached.withColumn("_new", apart.cast("long")), F.col("_new"), F.sum, "_past")
-    number = F.coalesce("_past", F.lit(0)) + F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    before = F.greatest(F.max(at[1]).over(w.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), "_reach")
+    apart = F.coalesce((at[0] > F.col("_before")) if touching else (at[0] >= F.col("_before")), F.lit(False))
+    begins = reached.withColumn("_before", before).withColumn("_new", apart.cast("long"))
+    numbered = begins.withColumn("_nth", F.sum("_new").over(w.orderBy(*order, F.asc_nulls_first("_before")).rowsBetween(Window.unboundedPreceding, 0)))
+    begun = with_bins(numbered, F.col("_new"), F.sum, "_past")
+    number = 1 + F.coalesce("_past", F.lit(0)) + F.col("_nth")
     return begun.select("_i.*", number.alias("cluster"))
 
 
@@ -93,7 +99,10 @@ def first_come(df: DataFrame, order: str) -> DataFrame:
 
         pdf = pdf.sort_values(order, kind="stable")
         kept, starts, ends = [], [], []
-        for i, (s, e) in enumerate(zip(pdf["start"], pdf["end"])):
+        for i, (s, e, unknown) in enumerate(zip(pdf["start"], pdf["end"], pdf["start"].isna() | pdf["end"].isna())):
+            if unknown:  # meets nothing
+                kept.append(i)
+                continue
             at = bisect_left(starts, s)
             if (at < len(starts) and starts[at] <= e) or (at > 0 and ends[at - 1] >= s):
                 continue

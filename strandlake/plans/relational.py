@@ -87,8 +87,9 @@ ORDERED = "(SELECT o_orderkey, o_orderpriority AS chrom, cast(epoch(o_orderdate)
 
 
 def spans(spark, sf_dir):
-    """Intervals (chrom, start, end) of minutes from events."""
-    start = minutes("ts")
+    """Intervals (chrom, start, end) of minutes from events; minutes before 1970 are cut towards it, as by SQL's division."""
+    whole = minutes("ts")
+    start = whole + ((whole < 0) & (F.second("ts") > 0)).cast("long")
     return read(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("chrom"), start.alias("start"), (start + 1 + F.floor("value") % 7).alias("end"))
 
 

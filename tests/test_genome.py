@@ -132,3 +132,38 @@ def test_chains_are_numbered_alike_whatever_the_bins(spark):
             assert got.columns == ["chrom", "start", "end", "i", "cluster"]
             assert {r["i"]: r["cluster"] for r in got.collect()} == want
     assert I.clusters(spark.createDataFrame([], "chrom string, start long, end long")).count() == 0
+
+
+def test_chains_hold_whichever_side_of_a_join_is_broadcast(spark, monkeypatch):
+    """Spark broadcasts the rows where their shuffle ends first, and hands equal ones back in another order."""
+    rows = [(c, s, s + 2, i) for i, (c, s) in enumerate((c, 5 * (k % 40)) for k in range(200) for c in "xy")]
+    df = spark.createDataFrame(rows, BED)
+    join = type(df).join
+    monkeypatch.setattr(type(df), "join", lambda self, *args: join(self.hint("broadcast"), *args))
+    got = I.clusters(df).groupBy("chrom", "start").agg(F.countDistinct("cluster").alias("n"), F.min("cluster").alias("c")).collect()
+    assert {(r["chrom"], r["start"]): (r["n"], r["c"]) for r in got} == {(c, 5 * k): (1, k + 1) for k in range(40) for c in "xy"}
+    assert sorted(map(tuple, I.merged(df, True).collect())) == [(c, 5 * k, 5 * k + 2) for c in "xy" for k in range(40)]
+
+
+@pytest.mark.parametrize("shift", ["0", "INTERVAL 700000 HOUR"])
+def test_interval_merge_and_its_sql_on_odd_events(spark, tmp_path, shift):
+    from strandlake import plans
+
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    con.execute("SET threads = 1")  # ties of equal spans are open between threads
+    odd = "CASE WHEN i % 11 = 0 THEN NULL WHEN i % 3 = 0 THEN -3.5 ELSE i % 8 END"
+    con.execute(
+        f"COPY (SELECT i AS event_id, CASE WHEN i % 17 <> 0 THEN TIMESTAMP '2024-01-01 00:00:07.3' {'' if shift == '0' else '- ' + shift} + to_seconds(i * 7919 % 1000 // 2 * 300) END AS ts, i AS user_id, "
+        f"CASE i % 4 WHEN 0 THEN NULL WHEN 1 THEN 'late' ELSE 'b' END AS event_type, CAST({odd} AS DOUBLE) AS value, '' AS props FROM range(1, 1500) t(i) "
+        f"UNION ALL SELECT -i, TIMESTAMP '1960-01-01 00:00:05' + to_seconds(i // 2 * 600), i, 'first', CAST(CASE WHEN i > 3 THEN -3.5 END AS DOUBLE), '' FROM range(12) t(i)) TO '{tmp_path}/events.parquet' (FORMAT parquet)"
+    )
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    want = con.execute(plans.oracle_sql()["interval_merge"]).fetchall()
+    got = [tuple(r) for r in plans.queries()["interval_merge"](spark, str(tmp_path)).collect()]
+    assert len(want) > 100 and sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_first_come_keeps_intervals_without_a_bound(spark):
+    rows = [("a", 0, 5, 0), ("a", 3, None, 1), ("a", 4, 6, 2), ("a", None, 9, 3), ("a", 7, 8, 4), ("a", None, None, 5), (None, 1, 2, 6)]
+    assert {r["i"] for r in I.first_come(spark.createDataFrame(rows, BED), "i").collect()} == {0, 1, 3, 4, 5, 6}
